@@ -10,8 +10,11 @@ from pyspark.sql import Column, functions as F
 TOKEN_GAP = "[ \\n\\t\\r]+"
 SENTENCE_END = "[.!?\\n]+"
 
-# Any whitespace, also beyond ASCII.
-BLANK = "[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]"
+# The characters that count as whitespace at the ends of a text.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Marks a layout service leaves for check boxes.
 SELECTION_MARKS = (":selected:", ":unselected:")
@@ -46,7 +49,7 @@ def drop_selection_marks(content: Column) -> Column:
 def clean_layout_text(content: Column) -> Column:
     """Text as it is compared: no marks, no newlines, no outer whitespace."""
     joined = F.replace(drop_selection_marks(content), F.lit("\n"), F.lit(""))
-    return F.regexp_replace(joined, f"^{BLANK}+|{BLANK}+\\z", "")
+    return F.btrim(joined, F.lit(BLANKS))
 
 
 def sentences(text: Column) -> Column:

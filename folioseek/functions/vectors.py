@@ -12,29 +12,33 @@ DEFAULT_DIM = 2**18
 
 def token_bucket(token: Column, dim: int = DEFAULT_DIM) -> Column:
     """Bucket from the first eight hex digits of md5, the same in any engine."""
-    return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    number = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long")
+    return F.coalesce((number % dim).cast("int"), F.lit(0))
 
 
 def hashed_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """``struct(buckets, tfs)`` with ascending buckets, built inside the row.
+    """Buckets of the tokens of a text, ascending, each as often as it occurs.
 
-    The hashed tokens are sorted and run-length coded, so a vector costs no
-    shuffle: the tokens of a chunk never leave the row that holds it.
+    The vector is built inside the row that holds the text, so embedding costs
+    no shuffle, and equal neighbours make it short when stored.
     """
+    return F.sort_array(F.transform(tokens(text), lambda token: token_bucket(token, dim)))
 
-    def run_lengths(hashed: Column) -> Column:
+
+def term_frequencies(vector: Column) -> Column:
+    """``array<struct(bucket, tf)>`` of a hashed vector."""
+
+    def runs(hashed: Column) -> Column:
         n = F.size(hashed)
-        is_start = lambda i: (i == 0) | (i == n) | (hashed[i] != hashed[i - 1])
+        is_edge = lambda i: (i == 0) | (i == n) | (hashed[i] != hashed[i - 1])
         return let(
-            F.filter(F.sequence(F.lit(0), n), is_start),
-            lambda edges: let(
+            F.filter(F.sequence(F.lit(0), n), is_edge),
+            lambda edges: F.transform(
                 F.slice(edges, F.lit(1), F.size(edges) - 1),
-                lambda starts: F.struct(
-                    F.transform(starts, lambda i: hashed[i]).alias("buckets"),
-                    F.transform(starts, lambda i, j: edges[j + 1] - i).alias("tfs"),
+                lambda start, i: F.struct(
+                    hashed[start].alias("bucket"), (edges[i + 1] - start).alias("tf")
                 ),
             ),
         )
 
-    hashes = F.transform(tokens(text), lambda token: token_bucket(token, dim))
-    return let(F.sort_array(hashes), run_lengths)
+    return let(vector, runs)

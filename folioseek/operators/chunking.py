@@ -82,9 +82,7 @@ def chunk_with_tokenizer(
 
         return texts.map(cut)
 
-    cut_rows = documents.withColumn("windows", windows(F.col(text))).drop(text)
-    kept = [name for name in cut_rows.columns if name != "windows"]
-    return cut_rows.select(*kept, F.inline("windows")).withColumnRenamed("chunk", "text")
+    return _explode_windows(documents, text, windows(F.col(text)))
 
 
 def chunk_metadata(chunks: DataFrame, keys: Sequence[str] = ("doc_id", "chunk_no")) -> DataFrame:

@@ -47,7 +47,7 @@ class HashedTerms:
 
     def cells(self) -> Column:
         """How much of a block of questions one question takes up."""
-        return F.size(F.col(f"{self.column}.buckets"))
+        return F.size(self.column)
 
     def statistics(self, chunks: DataFrame) -> DataFrame:
         """In how many chunks each bucket occurs; at most ``dim`` rows.
@@ -55,7 +55,7 @@ class HashedTerms:
         A bucket that is in every chunk is counted up before the shuffle, so
         it sends one row per task and not one per chunk.
         """
-        buckets = chunks.select(F.explode(F.col(f"{self.column}.buckets")).alias("bucket"))
+        buckets = chunks.select(F.explode(F.array_distinct(self.column)).alias("bucket"))
         return buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
 
     def prepare(self, statistics: DataFrame, num_chunks: int) -> np.ndarray:
@@ -64,30 +64,35 @@ class HashedTerms:
             "bucket", bucket_weight(F.col("df"), F.lit(num_chunks)).cast("long").alias("weight")
         )
         # At most ``dim`` rows of two numbers, whatever the size of the index.
-        known = weighted.toPandas()
+        known = weighted.toArrow()
         weights = np.full(self.dim, max(num_chunks, 1).bit_length(), dtype=np.int64)
-        weights[known["bucket"].to_numpy(dtype=np.int64)] = known["weight"].to_numpy(dtype=np.int64)
+        weights[known["bucket"].to_numpy()] = known["weight"].to_numpy()
         return weights * weights
 
     def scorer(self, vectors: Sequence, prepared: np.ndarray) -> SparseScorer:
         return SparseScorer(vectors, prepared)
 
 
+def term_runs(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, bucket, tf)`` of hashed vectors laid end to end."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(flat, prepend=-1))
+    return row[starts], flat[starts], np.diff(starts, append=len(flat))
+
+
 class SparseScorer:
     """Cosine of weighted term frequencies against a block of questions."""
 
     def __init__(self, vectors: Sequence, squared_weights: np.ndarray) -> None:
-        sizes = [len(v["buckets"]) for v in vectors]
-        buckets = np.concatenate([np.asarray(v["buckets"], np.int64) for v in vectors] or [np.empty(0, np.int64)])
-        tfs = np.concatenate([np.asarray(v["tfs"], np.int64) for v in vectors] or [np.empty(0, np.int64)])
-        owner = np.repeat(np.arange(len(vectors)), sizes)
-        worth = tfs * squared_weights[buckets]
-        order = np.argsort(buckets, kind="stable")
+        flat = np.concatenate([np.asarray(v, np.int64) for v in (*vectors, [])])
+        owner, bucket, tf = term_runs(flat, np.array([len(v) for v in vectors], np.int64))
+        worth = tf * squared_weights[bucket]
+        order = np.argsort(bucket, kind="stable")
         self.num_questions = len(vectors)
         self.squared_weights = squared_weights
-        self.norms = np.bincount(owner, weights=tfs * worth, minlength=len(vectors))
+        self.norms = np.bincount(owner, weights=tf * worth, minlength=len(vectors))
         # Questions by bucket: those of bucket b are first[b] .. first[b + 1].
-        self.first = np.searchsorted(buckets[order], np.arange(len(squared_weights) + 1))
+        self.first = np.searchsorted(bucket[order], np.arange(len(squared_weights) + 1))
         self.owner = owner[order]
         self.worth = worth[order].astype(np.float64)
 
@@ -95,39 +100,32 @@ class SparseScorer:
         """A score has to be above this to count."""
         return 0.0
 
-    def tiles(self, vectors: pa.StructArray) -> Iterator[tuple[int, np.ndarray]]:
+    def tiles(self, vectors: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
         """First row and ``rows x questions`` scores of successive slices."""
-        lists = vectors.field("buckets")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        buckets = lists.values.to_numpy().astype(np.int64)
-        tf_lists = vectors.field("tfs")
-        tf_offsets = tf_lists.offsets.to_numpy().astype(np.int64)
-        tfs = tf_lists.values.to_numpy().astype(np.int64)
+        offsets = vectors.offsets.to_numpy().astype(np.int64)
+        flat = vectors.values.to_numpy().astype(np.int64)
         rows = max(1, TILE_CELLS // max(self.num_questions, 1))
-        for top in range(0, len(lists), rows):
-            end = min(top + rows, len(lists))
-            sizes = np.diff(offsets[top : end + 1])
-            row = np.repeat(np.arange(end - top), sizes)
-            bucket = buckets[offsets[top] : offsets[end]]
-            tf = tfs[tf_offsets[top] : tf_offsets[end]]
-            norms = np.bincount(row, weights=tf * tf * self.squared_weights[bucket], minlength=end - top)
-            dots = np.zeros((end - top) * self.num_questions)
-            asked = self.first[bucket + 1] - self.first[bucket]
-            # One pass holds at most TILE_CELLS products.
-            passes = np.concatenate([[0], np.cumsum(asked)]) // TILE_CELLS
-            for number in np.unique(passes[:-1]):
-                at = np.flatnonzero((passes[:-1] == number) & (asked > 0))
-                if len(at) == 0:
-                    continue
-                count = asked[at]
-                inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                posting = np.repeat(self.first[bucket[at]], count) + inner
-                cell = np.repeat(row[at], count) * self.num_questions + self.owner[posting]
-                products = np.repeat(tf[at], count) * self.worth[posting]
-                dots += np.bincount(cell, weights=products, minlength=len(dots))
-            dots = dots.reshape(end - top, self.num_questions)
-            lengths = np.sqrt(norms[:, None] * self.norms[None, :])
-            yield top, np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
+        for top in range(0, len(vectors), rows):
+            ends = offsets[top : top + rows + 1]
+            yield top, self._scores(*term_runs(flat[ends[0] : ends[-1]], np.diff(ends)), len(ends) - 1)
+
+    def _scores(self, row: np.ndarray, bucket: np.ndarray, tf: np.ndarray, num_rows: int) -> np.ndarray:
+        norms = np.bincount(row, weights=tf * tf * self.squared_weights[bucket], minlength=num_rows)
+        dots = np.zeros(num_rows * self.num_questions)
+        asked = self.first[bucket + 1] - self.first[bucket]
+        hit = np.flatnonzero(asked)
+        # One pass takes up about TILE_CELLS products.
+        passes = np.cumsum(asked[hit]) // TILE_CELLS
+        for at in np.split(hit, np.flatnonzero(np.diff(passes)) + 1):
+            count = asked[at]
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            posting = np.repeat(self.first[bucket[at]], count) + within
+            cell = np.repeat(row[at], count) * self.num_questions + self.owner[posting]
+            products = np.repeat(tf[at], count) * self.worth[posting]
+            dots += np.bincount(cell, weights=products, minlength=len(dots))
+        dots = dots.reshape(num_rows, self.num_questions)
+        lengths = np.sqrt(norms[:, None] * self.norms[None, :])
+        return np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
 
 
 @dataclass(frozen=True)
@@ -162,9 +160,6 @@ class UserVectors:
     def statistics(self, chunks: DataFrame) -> None:
         return None
 
-    def prepare(self, statistics: None, num_chunks: int) -> None:
-        return None
-
     def scorer(self, vectors: Sequence, prepared: None) -> DenseScorer:
         return DenseScorer(vectors, self.dim)
 

@@ -17,17 +17,20 @@ from folioseek.sources.files import spread_small
 
 CHUNK_KEY = ("doc_id", "chunk_no")
 
+# Folders the chunks of an index are spread over.
+PARTS = 4096
+
 
 def indexed_chunks(corpus: DataFrame, embedder, settings: ChunkSettings = ChunkSettings()) -> DataFrame:
     """Chunk rows with vectors, from ``(doc_id, source, full_text)``.
 
-    It is one pass without a shuffle. ``part`` is the task that made a row:
-    each task writes a folder of its own, and a search that knows the parts of
-    its hits reads no other folder to fetch their texts.
+    It is one pass without a shuffle. ``part`` comes from the task that makes a
+    row, so a task writes to one folder only, and a search that knows the parts
+    of its hits reads no other folders to fetch their texts.
     """
     documents = corpus.select("doc_id", "source", "full_text")
     chunks = embedder.vectorize(chunk_documents(documents, settings=settings))
-    return chunks.withColumn("part", F.spark_partition_id())
+    return chunks.withColumn("part", F.spark_partition_id() % PARTS)
 
 
 @dataclass(frozen=True)
@@ -48,10 +51,12 @@ class ChunkIndex:
         return self.spark.read.schema(schema).parquet(f"{self.path}/chunks")
 
     @cached_property
-    def statistics(self) -> DataFrame | None:
+    def prepared(self):
+        """What scoring needs to know of the whole index; bounded by the embedder's ``dim``."""
         if not self.embedder.uses_statistics:
             return None
-        return self.spark.read.parquet(f"{self.path}/statistics")
+        statistics = self.spark.read.parquet(f"{self.path}/statistics")
+        return self.embedder.prepare(statistics, self.meta["num_chunks"])
 
     def retrieve(self, questions: DataFrame, k: int = DEFAULT_K, prefix: str = QUESTION_PREFIX) -> DataFrame:
         """``(question_id, rank, score, doc_id, chunk_no)`` of the k best chunks."""
@@ -77,8 +82,7 @@ class ChunkIndex:
             self.embedder,
             ids=(*CHUNK_KEY, "part"),
             k=k,
-            statistics=self.statistics,
-            num_rows=self.meta["num_chunks"],
+            prepared=self.prepared,
             attach=attach,
         )
 

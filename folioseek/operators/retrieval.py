@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioseek.sources.scratch import fresh_path
 
@@ -16,6 +17,10 @@ from folioseek.sources.scratch import fresh_path
 MAX_BLOCK_CELLS = 8_000_000
 MAX_BLOCK_HITS = 400_000
 
+# Tasks of a search per core. Each task hands on k rows per question, so a
+# large index is read in few long tasks and not in one task per file split.
+TASKS_PER_CORE = 8
+
 
 class BestRows:
     """The k best rows per question seen so far in one task."""
@@ -81,14 +86,14 @@ def _search_block(
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = ", ".join(f"{name} {kind}" for name, kind in types.items())
-    found = vectors.select(column, *ids).mapInArrow(best, schema)
-    # Every task sends at most k rows per question, so the one window left to
-    # do sees k rows per task and not one per chunk.
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    found = vectors.select(column, *ids).coalesce(tasks).mapInArrow(best, schema)
+    # The window sees k rows per task and question, not one per chunk.
     ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), *[F.asc(name) for name in ids])
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
-def _block_count(question_vectors: DataFrame, cells, k: int) -> int:
+def _block_count(question_vectors: DataFrame, cells: Column, k: int) -> int:
     """Into how many hash blocks the questions go so that each one is bounded."""
     blocks = 1
     while True:
@@ -96,13 +101,14 @@ def _block_count(question_vectors: DataFrame, cells, k: int) -> int:
         sizes = question_vectors.groupBy(block.alias("block")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(cells.cast("long")).alias("cells")
         )
-        most = sizes.agg(F.max("n"), F.max("cells"), F.sum("n")).first()
-        if most[2] is None:
+        largest = sizes.agg(F.max("n").alias("n"), F.max("cells").alias("cells")).first()
+        if largest["n"] is None:
             return 0
+        excess = max(largest["n"] * k / MAX_BLOCK_HITS, largest["cells"] / MAX_BLOCK_CELLS)
         # A block of one question cannot be split further.
-        if most[0] == 1 or (most[0] * k <= MAX_BLOCK_HITS and most[1] <= MAX_BLOCK_CELLS):
+        if excess <= 1 or largest["n"] == 1:
             return blocks
-        blocks *= 2
+        blocks *= max(2, math.ceil(1.25 * excess))
 
 
 def nearest(
@@ -111,24 +117,25 @@ def nearest(
     embedder,
     ids: Sequence[str],
     k: int,
-    statistics: DataFrame | None = None,
-    num_rows: int = 0,
+    prepared=None,
     attach=lambda hits: hits,
 ) -> DataFrame:
     """Exact k nearest rows of ``vectors`` for each ``(question_id, vector)``.
 
     The stored vectors are never shuffled. Questions go to the executors in
-    blocks of bounded size; each task keeps its own k best rows. With more
-    questions than one block holds, each block is searched, completed by
-    ``attach`` and written before the next one, so neither the driver nor an
-    executor ever holds more than one block.
+    blocks of bounded size; each task keeps its own k best rows. The hits of a
+    block are written to the shared folder, so that the search runs once
+    whatever is done with them, and ``attach`` may broadcast them. With more
+    questions than one block holds, each block is completed by ``attach`` and
+    written before the next one: neither the driver nor an executor ever holds
+    more than one block.
     """
     spark = question_vectors.sparkSession
     question_type = question_vectors.schema["question_id"].dataType.simpleString()
     column = embedder.column
     questions = question_vectors.select("question_id", column)
     blocks = _block_count(questions, embedder.cells(), k)
-    prepared = embedder.prepare(statistics, num_rows)
+    path = fresh_path(spark, "search")
 
     def search(block: int) -> DataFrame:
         block_of = F.pmod(F.xxhash64("question_id"), F.lit(max(blocks, 1)))
@@ -136,11 +143,13 @@ def nearest(
         rows = part.collect() if blocks else []  # bounded: see MAX_BLOCK_CELLS
         scorer = embedder.scorer([row[column] for row in rows], prepared)
         asked = [row["question_id"] for row in rows]
-        return attach(_search_block(vectors, column, ids, asked, question_type, scorer, k))
+        hits = _search_block(vectors, column, ids, asked, question_type, scorer, k)
+        hits_path = f"{path}/hits/{block}"
+        hits.write.parquet(hits_path)
+        return attach(spark.read.schema(hits.schema).parquet(hits_path).where(F.col("rank") <= k))
 
     if blocks <= 1:
         return search(0)
-    path = fresh_path(spark, "hits")
     for block in range(blocks):
-        search(block).write.mode("overwrite").parquet(f"{path}/block={block}")
-    return spark.read.parquet(path).drop("block")
+        search(block).write.mode("overwrite").parquet(f"{path}/complete/block={block}")
+    return spark.read.parquet(f"{path}/complete").drop("block")

@@ -66,12 +66,16 @@ def raw_corpus(use_layout: bool, layout_documents: DataFrame, pages: DataFrame)
     return chosen.withColumn("page", page)
 
 
+def spare_cores(df: DataFrame) -> int | None:
+    """How many tasks to spread an input over that has fewer files than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores if len(df.inputFiles()) < cores else None
+
+
 def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for an input that comes in fewer files than there are.
+    """Use all cores for a small input.
 
     A large input has many files and is returned as it is, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    tasks = spare_cores(df)
+    return df if tasks is None else df.repartition(tasks, *keys)

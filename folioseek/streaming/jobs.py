@@ -18,14 +18,17 @@ def stream_chunks(
     settings: ChunkSettings = ChunkSettings(),
     embedder=HashedTerms(),
     trigger: dict | None = None,
+    tasks: int | None = None,
 ) -> StreamingQuery:
     """Add the chunks of arriving ``(doc_id, source, full_text)`` to an index.
 
     Chunking and embedding keep no state, so the file sink writes each chunk
     exactly once. ``complete_index`` brings the statistics up to date.
+    ``tasks`` spreads batches that come in fewer files than there are cores.
     """
+    arriving = documents if tasks is None else documents.repartition(tasks, "doc_id")
     return (
-        indexed_chunks(documents, embedder, settings)
+        indexed_chunks(arriving, embedder, settings)
         .writeStream.format("parquet")
         .partitionBy("part")
         .option("path", f"{path}/chunks")

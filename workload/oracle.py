@@ -9,6 +9,7 @@ from __future__ import annotations
 from folioseek.config import DEFAULT_MODEL, MODELS, ModelSettings
 from folioseek.functions.prompts import PARAGRAPH_PREFIX, QUESTION_PREFIX
 from folioseek.functions.screening import NON_ANSWER_PHRASES
+from folioseek.functions.text import BLANKS
 from folioseek.functions.vectors import DEFAULT_DIM
 from folioseek.operators.answers import DO_NOT_KNOW, NO_ANSWER
 
@@ -22,6 +23,7 @@ def tokens(text: str) -> str:
 
 
 def with_ctes(names: str, body: str) -> str:
+    """A statement that starts with shared CTEs; a body with a comma in front adds its own."""
     return "WITH " + ",\n".join(f"{name} AS ({CTES[name]})" for name in names.split()) + "\n" + body
 
 
@@ -41,8 +43,7 @@ FROM (SELECT doc_id, source, t, unnest(range(0, len(t), {step})) AS i
 
 def clean(content: str) -> str:
     bare = f"replace(replace(replace({content}, ':selected:', ''), ':unselected:', ''), chr(10), '')"
-    blank = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
-    return rf"regexp_replace({bare}, '^{blank}+|{blank}+\z', '', 'g')"
+    return f"trim({bare}, {quoted(BLANKS)})"
 
 
 def unmarked(content: str) -> str:
@@ -233,6 +234,9 @@ SELECT doc_id, source, (pos // 20)::INTEGER AS page, string_agg(line, chr(10) OR
 FROM (SELECT doc_id, source, unnest(range(0, len(l))) AS pos, unnest(l) AS line
       FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))
 GROUP BY ALL""",
+    "page_decode": """
+SELECT unnest(pages) AS full_text, doc_id::VARCHAR AS source, unnest(range(0, len(pages)))::INTEGER AS page
+FROM (SELECT doc_id, string_split(text, chr(10)) AS pages FROM documents)""",
     "corpus_table": "SELECT doc_id, source, text AS full_text FROM documents",
     "corpus_project": "SELECT text AS full_text, source FROM documents",
     "corpus_count": "SELECT count(*) AS num_rows FROM documents",
@@ -337,6 +341,18 @@ GROUP BY g.question_id, g.group_no""",
         ANSWERS, "SELECT question_id, answer, source, output_metadata, vector_doc FROM answers"
     ),
     "qa_batch": ANSWER_ROWS,
+    "qa_user_model": with_ctes(
+        f"{HITS} contexts asked",
+        f"""
+, prompts AS (
+  SELECT question_id, group_no, source, context, length({rendered(MODELS[DEFAULT_MODEL].template)}) AS n FROM asked),
+first_even AS (
+  SELECT * FROM prompts WHERE n % 2 = 0
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY group_no) = 1)
+SELECT question_id, question, coalesce(n || ' characters', {quoted(NO_ANSWER)}) AS answer,
+       coalesce(source, 'NA') AS source, coalesce(context, 'NA') AS vector_doc
+FROM questions LEFT JOIN first_even USING (question_id)""".lstrip(),
+    ),
     "answer_view": with_ctes(ANSWERS, "SELECT question_id, question, answer, vector_doc, source FROM answers"),
     "chat_history": """
 SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer

@@ -10,6 +10,7 @@ from folioseek.config import MODELS, ChunkSettings, model_settings
 from folioseek.functions.screening import is_good_answer
 from folioseek.functions.prompts import prefixed_question
 from folioseek.functions.text import clean_layout_text
+from folioseek.functions.vectors import term_frequencies
 from folioseek.operators import answers as ans
 from folioseek.operators import chunking, contexts, layout, pages
 from folioseek.operators.chat import chat_history as history_rows
@@ -18,6 +19,7 @@ from folioseek.operators.index import build_index, complete_index, indexed_chunk
 from folioseek.operators.retrieval import nearest
 from folioseek.plans.answering import answer_questions, answer_questions_with_model
 from folioseek.plans.evaluation import log_evaluation, log_run_parameters
+from folioseek.sources.files import decode_pages, spare_cores
 from folioseek.sources.scratch import fresh_path
 from folioseek.sources.tables import ensure_questions, project_corpus, save_corpus
 from folioseek.streaming.jobs import stream_answers as answer_stream, stream_chunks
@@ -35,6 +37,17 @@ def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.select("doc_id", "source", "page", "full_text")
 
 
+def _line_pages(content: bytes) -> list[str]:
+    """A stand-in for a decoder of binary files: every line is a page."""
+    return content.decode("utf-8").split("\n")
+
+
+def page_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = fx.spread_corpus(spark, sf_dir)
+    files = documents.select(F.col("doc_id").cast("string").alias("source"), F.encode("full_text", "utf-8").alias("content"))
+    return decode_pages(files, _line_pages)
+
+
 def corpus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return save_corpus(fx.corpus(spark, sf_dir), f"{fx.fresh_database(spark)}.corpus")
 
@@ -109,8 +122,8 @@ def layout_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.chunk_documents(fx.spread_corpus(spark, sf_dir))
-    entries = F.arrays_zip("vec.buckets", "vec.tfs")
-    return HashedTerms().vectorize(chunks).select("doc_id", "chunk_no", F.inline(entries).alias("bucket", "tf"))
+    vectors = HashedTerms().vectorize(chunks)
+    return vectors.select("doc_id", "chunk_no", F.inline(term_frequencies(F.col("vec"))))
 
 
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,15 +133,14 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index_rows(index) -> DataFrame:
-    tokens = F.aggregate("vec.tfs", F.lit(0), lambda total, tf: total + tf)
     return index.chunks.select(
         "doc_id",
         "chunk_no",
         "num_chunks",
         "source",
         "text",
-        F.size("vec.buckets").alias("num_buckets"),
-        tokens.alias("num_tokens"),
+        F.size(F.array_distinct("vec")).alias("num_buckets"),
+        F.size("vec").alias("num_tokens"),
     )
 
 
@@ -212,16 +224,16 @@ def qa_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_questions(fx.questions(spark, sf_dir), fx.index(spark, sf_dir))
 
 
-def _last_sentence(prompt: str) -> str:
-    """A stand-in for a model: the last chunk's closing words, if it has enough."""
-    words = prompt.split("Answer the question")[0].split()
-    return " ".join(words[-12:]) if len(words) % 2 else "I don't know"
+def _prompt_length(prompt: str) -> str:
+    """A stand-in for a model that answers prompts of even length only."""
+    return "I don't know" if len(prompt) % 2 else f"{len(prompt)} characters"
 
 
 def qa_user_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer_questions_with_model(
-        fx.questions(spark, sf_dir), fx.index(spark, sf_dir), _last_sentence
+    answers = answer_questions_with_model(
+        fx.questions(spark, sf_dir), fx.index(spark, sf_dir), _prompt_length
     )
+    return answers.drop("output_metadata")
 
 
 def answer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,15 +269,15 @@ def run_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = fx.table(spark, sf_dir, "documents").schema
+    documents = fx.table(spark, sf_dir, "documents")
     arriving = (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(documents.schema)
         .option("pathGlobFilter", "documents.parquet")
         .parquet(sf_dir)
         .select("doc_id", "source", F.col("text").alias("full_text"))
     )
     path = fresh_path(spark, "stream-index")
-    stream_chunks(arriving, path, f"{path}/checkpoint").awaitTermination()
+    stream_chunks(arriving, path, f"{path}/checkpoint", tasks=spare_cores(documents)).awaitTermination()
     written = indexed_chunks(arriving, HashedTerms()).schema
     return _index_rows(complete_index(spark, path, written, HashedTerms()))
 
@@ -288,6 +300,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         page_split,
+        page_decode,
         corpus_table,
         corpus_project,
         corpus_count,
