@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -91,24 +92,31 @@ def render_prompts_by_model(
     return asked.select("question_id", "group_no", F.inline(F.array(*prompts)))
 
 
+# A model gives an answer, or an answer and a dict that describes it.
+Reply = str | tuple[str, dict] | None
+
+
 def ask_with_retry(
-    model: Callable[[str], str],
+    model: Callable[[str], Reply],
     prompt: str,
     busy: type[BaseException] | tuple[type[BaseException], ...],
     timeout_sec: float = 60,
     pause_sec: float = 2,
-) -> tuple[str | None, str | None]:
-    """``(answer, error)``: wait while the model is busy, until the deadline.
+) -> tuple[str | None, str | None, str | None]:
+    """``(answer, metadata, error)``: wait while the model is busy, until the deadline.
 
     Any other exception is the caller's.
     """
     deadline = time.monotonic() + timeout_sec
     while time.monotonic() < deadline:
         try:
-            return model(prompt), None
+            reply = model(prompt)
         except busy:
             time.sleep(min(pause_sec, max(0.0, deadline - time.monotonic())))
-    return None, f"no answer within {timeout_sec} seconds"
+            continue
+        answer, metadata = reply if isinstance(reply, tuple) else (reply, None)
+        return answer, None if metadata is None else json.dumps(metadata), None
+    return None, None, f"no answer within {timeout_sec} seconds"
 
 
 class ModelBusy(Exception):
@@ -117,7 +125,7 @@ class ModelBusy(Exception):
 
 def generate_answers(
     prompts: DataFrame,
-    model: Callable[[str], str],
+    model: Callable[[str], Reply],
     busy: type[BaseException] | tuple[type[BaseException], ...] = ModelBusy,
     timeout_sec: float = 60,
     pause_sec: float = 2,
@@ -141,11 +149,11 @@ def generate_answers(
                 {
                     "question_id": batch["question_id"],
                     "group_no": batch["group_no"],
-                    "answer": [answer for answer, _ in asked],
+                    "answer": [answer for answer, _, _ in asked],
                     "source": batch["source"],
-                    "output_metadata": [None] * len(batch),
+                    "output_metadata": [metadata for _, metadata, _ in asked],
                     "vector_doc": batch["context"],
-                    "error": [error for _, error in asked],
+                    "error": [error for _, _, error in asked],
                 }
             )
 
@@ -189,14 +197,13 @@ def answer_in_rounds(
     checkpointed, so that a model is not asked again when a later round or a
     lost executor needs the answers.
     """
-    spark = prompts.sparkSession
-    prompts = checkpointed(prompts, spark)
+    prompts = checkpointed(prompts)
     open_questions = questions.select("question_id")
     answered = None
     for group_no in range(num_groups):
         turn = prompts.where(F.col("group_no") == group_no).join(open_questions, "question_id", "left_semi")
         good = generate(turn).where(is_good_answer(F.col("answer"), phrases))
-        good = checkpointed(good, spark)
+        good = checkpointed(good)
         answered = good if answered is None else answered.unionByName(good)
         open_questions = open_questions.join(good, "question_id", "left_anti")
     return first_good_answers(answered, questions, phrases)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from folioseek.config import ChunkSettings
 from folioseek.functions.text import let, tokens
+from folioseek.sources.scratch import checkpointed
 
 
 def token_windows(text: Column, settings: ChunkSettings = ChunkSettings()) -> Column:
@@ -51,6 +52,59 @@ def chunk_documents(
     return _explode_windows(documents, text, token_windows(F.col(text), settings))
 
 
+def chunk_blocks(
+    blocks: DataFrame,
+    order: Sequence[str],
+    key: str = "doc_id",
+    text: str = "text",
+    settings: ChunkSettings = ChunkSettings(),
+) -> DataFrame:
+    """``(key, chunk_no, num_chunks, text)`` of documents given as blocks of text.
+
+    ``order`` are the columns that put the blocks of a document in sequence; a
+    block ends where a token ends. The result is that of ``chunk_documents``
+    over the joined blocks, but a document of any size stays spread over the
+    tasks: only the token counts of its blocks are summed up in one place, and
+    each chunk is put together from the blocks that it touches.
+    """
+    place = F.struct(*order).alias("place")
+    # Read for the counts and for the words.
+    blocks = checkpointed(blocks.select(key, place, tokens(F.col(text)).alias("words")).where(F.size("words") > 0))
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    counts = blocks.select(key, "place", F.size("words").cast("long").alias("n")).select(
+        key,
+        "place",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
+        F.sum("n").over(whole).alias("total"),
+    )
+    end = F.col("start") + F.size("words")
+    first = F.greatest(F.floor((F.col("start") - settings.size) / settings.step) + 1, F.lit(0))
+    last = F.floor((end - 1) / settings.step)
+    pieces = blocks.join(counts, [key, "place"]).select(
+        key,
+        "place",
+        "words",
+        "start",
+        end.alias("end"),
+        F.ceil(F.col("total") / settings.step).cast("int").alias("num_chunks"),
+        F.explode(F.sequence(first, last)).alias("chunk_no"),
+    )
+    opens = F.greatest(F.col("chunk_no") * settings.step, F.col("start"))
+    closes = F.least(F.col("chunk_no") * settings.step + settings.size, F.col("end"))
+    words = F.slice("words", (opens - F.col("start") + 1).cast("int"), (closes - opens).cast("int"))
+    piece = F.struct("place", F.array_join(words, " ").alias("words"))
+    # A chunk has at most ``size`` tokens, and so at most as many pieces.
+    return (
+        pieces.groupBy(key, F.col("chunk_no").cast("int").alias("chunk_no"))
+        .agg(
+            F.first("num_chunks").alias("num_chunks"),
+            F.array_join(F.sort_array(F.collect_list(piece))["words"], " ").alias("text"),
+        )
+        .select(key, "chunk_no", "num_chunks", "text")
+    )
+
+
 def chunk_with_tokenizer(
     documents: DataFrame,
     encode: Callable[[str], Sequence],

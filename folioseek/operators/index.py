@@ -12,7 +12,7 @@ from folioseek.config import DEFAULT_K, ChunkSettings
 from folioseek.functions.prompts import QUESTION_PREFIX, prefixed_question
 from folioseek.operators.chunking import chunk_documents
 from folioseek.operators.embedders import HashedTerms
-from folioseek.operators.retrieval import nearest
+from folioseek.operators.retrieval import MAX_BLOCK_HITS, nearest
 from folioseek.sources.files import spread_small
 
 CHUNK_KEY = ("doc_id", "chunk_no")
@@ -69,8 +69,10 @@ class ChunkIndex:
 
         def attach(hits: DataFrame) -> DataFrame:
             texts = self.chunks.select("part", *CHUNK_KEY, "source", "text")
-            # The hits of a block of questions are bounded, see ``nearest``.
-            return texts.join(F.broadcast(hits), ["part", *CHUNK_KEY]).drop("part")
+            # The hits of a block of questions are bounded, see ``nearest``;
+            # only a block of one question may go beyond, by its k.
+            found = F.broadcast(hits) if k <= MAX_BLOCK_HITS else hits
+            return texts.join(found, ["part", *CHUNK_KEY]).drop("part")
 
         return self._search(questions, k, prefix, attach)
 

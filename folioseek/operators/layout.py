@@ -181,7 +181,8 @@ def flatten_layout(
     """``(doc_id, full_text)``: paragraphs, then the tables, one line per cell.
 
     The last step only strings together the blocks of a document, whose text
-    is one value by definition.
+    is one value here. ``layout_blocks`` and ``chunk_blocks`` lead to the same
+    chunks for documents that are too large to be one value.
     """
     blocks = layout_blocks(paragraphs, cells, reset_per_table, block_rows)
     ordered = F.sort_array(F.collect_list(F.struct("section", "table_idx", "blk", "text")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from folioseek.config import CHUNKS_PER_CONTEXT, DEFAULT_K, DEFAULT_MODEL, model_settings
 from folioseek.operators.answers import (
+    Reply,
     answer_extractive,
     answer_in_rounds,
     first_good_answers,
@@ -29,7 +30,7 @@ def answer_questions(
 def answer_questions_with_model(
     questions: DataFrame,
     index: ChunkIndex,
-    model: Callable[[str], str],
+    model: Callable[[str], Reply],
     model_id: str = DEFAULT_MODEL,
     k: int = DEFAULT_K,
     per_group: int = CHUNKS_PER_CONTEXT,

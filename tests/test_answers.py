@@ -121,9 +121,9 @@ def test_retry_until_an_answer():
         calls.append(prompt)
         if len(calls) < 3:
             raise ModelBusy
-        return "done"
+        return "done", {"tokens": 3}
 
-    assert ask_with_retry(model, "p", ModelBusy, 5, 0.01) == ("done", None)
+    assert ask_with_retry(model, "p", ModelBusy, 5, 0.01) == ("done", '{"tokens": 3}', None)
     assert len(calls) == 3
 
 
@@ -132,7 +132,7 @@ def test_retry_stops_at_the_deadline():
         raise ModelBusy
 
     started = time.monotonic()
-    answer, error = ask_with_retry(model, "p", ModelBusy, 0.2, 0.05)
+    answer, _, error = ask_with_retry(model, "p", ModelBusy, 0.2, 0.05)
     assert answer is None and "0.2 seconds" in error
     assert time.monotonic() - started < 2
 

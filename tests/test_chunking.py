@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from folioseek.config import ChunkSettings
-from folioseek.operators.chunking import chunk_documents, chunk_metadata, chunk_with_tokenizer
+from folioseek.operators.chunking import chunk_blocks, chunk_documents, chunk_metadata, chunk_with_tokenizer
 from folioseek.operators.pages import longest_document, split_pages
 
 
@@ -22,6 +24,26 @@ def test_windows_match_plain_slices(spark, n):
     assert {row["num_chunks"] for row in rows} <= {len(expected)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_give_the_chunks_of_the_whole_text(spark, seed):
+    rng = random.Random(seed)
+    blocks = []
+    for doc in range(4):
+        for at in range(rng.randint(1, 30)):
+            words = [f"{doc}.{at}.{i}" for i in range(rng.choice([0, 1, 2, 9, 40]))]
+            blocks.append((doc, at // 5, at % 5, "\n".join(words) + "\n"))
+    texts = {}
+    for doc, _, _, text in blocks:
+        texts[doc] = texts.get(doc, "") + text
+    rng.shuffle(blocks)
+    settings = ChunkSettings(8, 3)
+    frame = spark.createDataFrame(blocks, "doc_id long, major int, minor int, text string")
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, full_text string")
+    whole = chunk_documents(documents, settings=settings)
+    cut = chunk_blocks(frame, ["major", "minor"], settings=settings)
+    assert sorted(cut.collect()) == sorted(whole.select(*cut.columns).collect())
+
+
 def test_null_text_has_no_chunks(spark):
     documents = spark.createDataFrame([(1, None)], "doc_id long, full_text string")
     assert chunk_documents(documents).count() == 0

@@ -4,8 +4,16 @@ import pytest
 
 from folioseek.config import MODELS
 from folioseek.plans.evaluation import log_evaluation, run_parameters
-from folioseek.sources import scratch
-from folioseek.sources.files import decode_pages, raw_corpus, read_binary, read_text_documents
+from folioseek.operators.layout import flatten_layout
+from folioseek.sources import files, scratch
+from folioseek.sources.files import (
+    analyze_layout,
+    decode_pages,
+    layout_rows,
+    raw_corpus,
+    read_binary,
+    read_text_documents,
+)
 from folioseek.sources.scratch import fresh_path, shared_folder
 from folioseek.sources.tables import ensure_questions, project_corpus, save_corpus, use_database
 
@@ -67,8 +75,8 @@ def test_files_in_sub_folders_become_pages(spark, tmp_path):
     (tmp_path / "one.bin").write_bytes("p0|p1é".encode())
     (tmp_path / "sub" / "two.bin").write_bytes(b"x")
     (tmp_path / "skip.txt").write_text("other")
-    files = read_binary(spark, str(tmp_path), "*.bin")
-    pages = decode_pages(files, lambda content: content.decode().split("|"), batch_files=1)
+    found = read_binary(spark, str(tmp_path), "*.bin")
+    pages = decode_pages(found, lambda content: content.decode().split("|"), batch_files=1)
     rows = sorted((r["source"].rsplit("/", 1)[-1], r["page"], r["full_text"]) for r in pages.collect())
     assert rows == [("one.bin", 0, "p0"), ("one.bin", 1, "p1é"), ("two.bin", 0, "x")]
 
@@ -84,6 +92,39 @@ def test_text_files_are_whole_documents(spark, tmp_path):
     assert raw_corpus(True, documents.drop("page"), pages).first()["page"] is None
 
 
+def test_layout_service_results_become_a_corpus(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"Head|x|y")
+
+    def analyze(content):
+        head, *cells = content.decode().split("|")
+        return {
+            "paragraphs": [{"role": None, "content": head}, {"role": "pageFooter", "content": "1"}],
+            "cells": [
+                {"table_idx": 0, "cell_idx": i, "row_index": 0, "column_index": i, "kind": "content", "content": text}
+                for i, text in enumerate(cells)
+            ],
+        }
+
+    layouts = analyze_layout(read_binary(spark, str(tmp_path), "*.pdf"), analyze)
+    text = flatten_layout(*layout_rows(layouts)).first()
+    assert text["doc_id"].endswith("a.pdf")
+    assert text["full_text"] == (
+        "Head\nBelow is a Table:\nCell[0][0] has text 'x'\nCell[0][1] has text 'y'\n"
+    )
+
+
+def test_only_small_inputs_are_spread(spark, tmp_path, monkeypatch):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    assert files.spare_cores(one) == cores
+    assert files.spare_cores(spark.range(10)) is None  # not read from files
+    monkeypatch.setattr(files, "SPLIT_BYTES", 1)
+    assert files.spare_cores(one) is None
+    spark.range(100).repartition(2 * cores).write.parquet(str(tmp_path / "many"))
+    assert files.spare_cores(spark.read.parquet(str(tmp_path / "many"))) is None
+
+
 class FakeSession:
     def __init__(self, master, folder):
         self.sparkContext = type("Context", (), {"master": master})()

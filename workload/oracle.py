@@ -118,6 +118,9 @@ UNION ALL
 SELECT DISTINCT doc_id, 1, table_idx, -1, 'Below is a Table:' FROM cells
 UNION ALL
 SELECT doc_id, 1, table_idx, cell_idx, {LINE} FROM headed""",
+    "flattened": """
+SELECT doc_id, string_agg(line || chr(10), '' ORDER BY section, table_idx, place) AS full_text
+FROM printed GROUP BY doc_id""",
     "chunks": chunks(512, 50),
     "chunk_tokens": "SELECT doc_id, chunk_no, unnest(string_split(text, ' ')) AS token FROM chunks",
     "chunk_vectors": f"""
@@ -180,6 +183,8 @@ FROM questions LEFT JOIN first_good USING (question_id)""",
 }
 
 LAYOUT = "lines placed cells"
+FLATTENED = f"{LAYOUT} paragraphs headed cell_texts printed flattened"
+LAYOUT_DOCUMENTS = "(SELECT doc_id, NULL AS source, full_text AS text FROM flattened)"
 VECTORS = "chunks chunk_tokens chunk_vectors"
 HITS = (
     f"{VECTORS} questions question_tokens question_vectors num dfs question_weights question_norms "
@@ -280,11 +285,9 @@ WHERE coalesce(role, '') NOT IN ('pageNumber', 'pageFooter')""",
         LAYOUT,
         f"SELECT doc_id, table_idx, cell_idx, {LINE} AS line FROM ({headed('doc_id, table_idx')})",
     ),
-    "layout_flatten": with_ctes(
-        f"{LAYOUT} paragraphs headed cell_texts printed",
-        """
-SELECT doc_id, string_agg(line || chr(10), '' ORDER BY section, table_idx, place) AS full_text
-FROM printed GROUP BY doc_id""",
+    "layout_flatten": with_ctes(FLATTENED, "SELECT doc_id, full_text FROM flattened"),
+    "layout_chunks": with_ctes(
+        FLATTENED, f"SELECT doc_id, chunk_no, num_chunks, text FROM ({chunks(512, 50, LAYOUT_DOCUMENTS)})"
     ),
     "embed_hashed": with_ctes(VECTORS, "SELECT doc_id, chunk_no, bucket, tf FROM chunk_vectors"),
     "index_build": INDEX_ROWS,

@@ -117,6 +117,13 @@ def layout_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.flatten_layout(fx.layout_paragraphs(spark, sf_dir), fx.layout_cells(spark, sf_dir))
 
 
+def layout_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = layout.layout_blocks(
+        fx.layout_paragraphs(spark, sf_dir), fx.layout_cells(spark, sf_dir), block_rows=32
+    )
+    return chunking.chunk_blocks(blocks, ["section", "table_idx", "blk"])
+
+
 # Vectors and retrieval
 
 
@@ -315,6 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         layout_headers,
         layout_cells,
         layout_flatten,
+        layout_chunks,
         embed_hashed,
         index_build,
         question_prefix,
