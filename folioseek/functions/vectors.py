@@ -4,25 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from folioseek.functions.text import let, tokens
+from folioseek.functions.text import let
 
 # Fixed value: number of buckets tokens are hashed into.
 DEFAULT_DIM = 2**18
 
 
 def token_bucket(token: Column, dim: int = DEFAULT_DIM) -> Column:
-    """Bucket from the first eight hex digits of md5, the same in any engine."""
-    number = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long")
-    return F.coalesce((number % dim).cast("int"), F.lit(0))
+    """Bucket of a token from the CRC-32 of its UTF-8 bytes."""
+    return (F.crc32(token) % dim).cast("int")
 
 
-def hashed_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """Buckets of the tokens of a text, ascending, each as often as it occurs.
+def hashed_vector(words: Column, dim: int = DEFAULT_DIM) -> Column:
+    """Buckets of tokens, ascending, each as often as it occurs.
 
-    The vector is built inside the row that holds the text, so embedding costs
-    no shuffle, and equal neighbours make it short when stored.
+    The vector is built inside the row that holds the tokens, so embedding
+    costs no shuffle, and equal neighbours make it short when stored.
     """
-    return F.sort_array(F.transform(tokens(text), lambda token: token_bucket(token, dim)))
+    return F.sort_array(F.transform(words, lambda token: token_bucket(token, dim)))
 
 
 def term_frequencies(vector: Column) -> Column:

@@ -13,7 +13,7 @@ from folioseek.config import ModelSettings
 from folioseek.functions.prompts import PARAGRAPH_PREFIX, render
 from folioseek.functions.screening import NON_ANSWER_PHRASES, is_good_answer
 from folioseek.functions.text import let, sentences, terms
-from folioseek.sources.scratch import checkpointed
+from folioseek.sources.scratch import written
 
 # The record of a question that no context answers.
 NO_ANSWER = "Could not fine answer please rephrase the question or provide more context?"
@@ -157,8 +157,11 @@ def generate_answers(
                 }
             )
 
+    # Prompts are small and slow to answer, so they are spread by number and
+    # not by size.
+    tasks = 2 * prompts.sparkSession.sparkContext.defaultParallelism
     given = prompts.select("question_id", "group_no", "source", "context", "prompt")
-    return given.mapInPandas(answer, schema)
+    return given.repartition(tasks, "question_id", "group_no").mapInPandas(answer, schema)
 
 
 def first_good_answers(
@@ -193,17 +196,17 @@ def answer_in_rounds(
 ) -> DataFrame:
     """``first_good_answers`` with no model call after a question's first good answer.
 
-    Each round asks only the next group of the questions still open. Rounds are
-    checkpointed, so that a model is not asked again when a later round or a
-    lost executor needs the answers.
+    Each round asks only the next group of the questions still open. Its answers
+    are written, so that a model is not asked again when a later round or a lost
+    executor needs them.
     """
-    prompts = checkpointed(prompts)
+    prompts = written(prompts, "prompts")
     open_questions = questions.select("question_id")
     answered = None
     for group_no in range(num_groups):
         turn = prompts.where(F.col("group_no") == group_no).join(open_questions, "question_id", "left_semi")
         good = generate(turn).where(is_good_answer(F.col("answer"), phrases))
-        good = checkpointed(good)
+        good = written(good, "answers")
         answered = good if answered is None else answered.unionByName(good)
         open_questions = open_questions.join(good, "question_id", "left_anti")
     return first_good_answers(answered, questions, phrases)

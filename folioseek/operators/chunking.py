@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from folioseek.config import ChunkSettings
 from folioseek.functions.text import let, tokens
-from folioseek.sources.scratch import checkpointed
+from folioseek.sources.scratch import written
 
 
 def token_windows(text: Column, settings: ChunkSettings = ChunkSettings()) -> Column:
@@ -68,17 +68,18 @@ def chunk_blocks(
     each chunk is put together from the blocks that it touches.
     """
     place = F.struct(*order).alias("place")
-    # Read for the counts and for the words.
-    blocks = checkpointed(blocks.select(key, place, tokens(F.col(text)).alias("words")).where(F.size("words") > 0))
+    words = blocks.select(key, place, tokens(F.col(text)).alias("words"))
+    # Written once, then read for the counts alone and for the words.
+    blocks = written(words.withColumn("n", F.size("words").cast("long")).where(F.col("n") > 0), "blocks")
     whole = Window.partitionBy(key)
     before = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    counts = blocks.select(key, "place", F.size("words").cast("long").alias("n")).select(
+    counts = blocks.select(
         key,
         "place",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
         F.sum("n").over(whole).alias("total"),
     )
-    end = F.col("start") + F.size("words")
+    end = F.col("start") + F.col("n")
     first = F.greatest(F.floor((F.col("start") - settings.size) / settings.step) + 1, F.lit(0))
     last = F.floor((end - 1) / settings.step)
     pieces = blocks.join(counts, [key, "place"]).select(

@@ -1,7 +1,7 @@
 """Embedders: text to vectors on executors, and scores of vectors per Arrow batch.
 
 An embedder has a ``name`` and a ``dim`` that are stored with an index,
-``vectorize`` for texts of chunks and questions, ``prepare`` for what scoring
+``vectorize`` for texts, ``vectorize_chunks`` for chunks of the native chunker, ``prepare`` for what scoring
 needs to know of the whole index, and ``scorer`` for a bounded block of question
 vectors.
 """
@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioseek.functions.text import tokens
 from folioseek.functions.vectors import DEFAULT_DIM, hashed_vector
 
 # Scores are computed for at most this many chunk x question cells at a time.
@@ -43,7 +44,12 @@ class HashedTerms:
     uses_statistics = True
 
     def vectorize(self, texts: DataFrame, text: str = "text") -> DataFrame:
-        return texts.withColumn(self.column, hashed_vector(F.col(text), self.dim))
+        return texts.withColumn(self.column, hashed_vector(tokens(F.col(text)), self.dim))
+
+    def vectorize_chunks(self, chunks: DataFrame) -> DataFrame:
+        """The same for chunks, whose tokens are known to have one space between them."""
+        words = F.array_remove(F.split("text", " "), "")
+        return chunks.withColumn(self.column, hashed_vector(words, self.dim))
 
     def cells(self) -> Column:
         """How much of a block of questions one question takes up."""
@@ -154,6 +160,9 @@ class UserVectors:
 
         return texts.withColumn(self.column, embed(F.col(text)))
 
+    def vectorize_chunks(self, chunks: DataFrame) -> DataFrame:
+        return self.vectorize(chunks)
+
     def cells(self) -> Column:
         return F.lit(self.dim)
 

@@ -29,7 +29,7 @@ def indexed_chunks(corpus: DataFrame, embedder, settings: ChunkSettings = ChunkS
     of its hits reads no other folders to fetch their texts.
     """
     documents = corpus.select("doc_id", "source", "full_text")
-    chunks = embedder.vectorize(chunk_documents(documents, settings=settings))
+    chunks = embedder.vectorize_chunks(chunk_documents(documents, settings=settings))
     return chunks.withColumn("part", F.spark_partition_id() % PARTS)
 
 

@@ -39,8 +39,10 @@ def mark_paragraphs(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
     )
     cleaned = paragraphs.withColumn("clean", clean_layout_text(F.col("content")))
     left_out = F.coalesce(F.col("role"), F.lit("")).isin(*LEFT_OUT_ROLES)
+    # Both sides grow with the corpus. A merge join spills where it has to, and
+    # adaptive execution splits a hot text on the side of the paragraphs.
     return (
-        cleaned.join(cell_texts, ["doc_id", "clean"], "left")
+        cleaned.join(cell_texts.hint("merge"), ["doc_id", "clean"], "left")
         .withColumn("keep", F.col("in_table").isNull() & ~left_out)
         .drop("in_table")
     )
@@ -51,7 +53,7 @@ def kept_paragraphs(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
     left_out = F.coalesce(F.col("role"), F.lit("")).isin(*LEFT_OUT_ROLES)
     cell_texts = cells.select("doc_id", clean_layout_text(F.col("content")).alias("clean")).distinct()
     cleaned = paragraphs.where(~left_out).withColumn("clean", clean_layout_text(F.col("content")))
-    return cleaned.join(cell_texts, ["doc_id", "clean"], "left_anti").select(
+    return cleaned.join(cell_texts.hint("merge"), ["doc_id", "clean"], "left_anti").select(
         "doc_id", "para_idx", "role", "clean"
     )
 

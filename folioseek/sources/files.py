@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioseek.sources.scratch import checkpointed
+from folioseek.sources.scratch import written
 
 # The size of a file split that Spark aims at by default.
 SPLIT_BYTES = 128 * 1024 * 1024
@@ -61,8 +61,8 @@ def analyze_layout(
     """One row per file with its ``paragraphs`` and table ``cells``, as a layout service finds them.
 
     ``analyze`` turns the bytes of one file into these two lists, with the
-    fields of ``LAYOUT_SCHEMA``. The result is checkpointed: it is read for
-    paragraphs and for cells, and a service should be asked once.
+    fields of ``LAYOUT_SCHEMA``. The result is written to the shared folder:
+    it is read for paragraphs and for cells, and a service should be asked once.
     """
 
     def results(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +78,7 @@ def analyze_layout(
                     }
                 )
 
-    return checkpointed(files.select("source", "content").mapInPandas(results, LAYOUT_SCHEMA))
+    return written(files.select("source", "content").mapInPandas(results, LAYOUT_SCHEMA), "layouts")
 
 
 def layout_rows(layouts: DataFrame) -> tuple[DataFrame, DataFrame]:

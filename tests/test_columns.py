@@ -1,3 +1,5 @@
+import zlib
+
 import pytest
 
 from folioseek.config import MODELS, model_settings
@@ -72,12 +74,17 @@ def test_model_settings_with_and_without_owner():
         assert "Given the context: {context}. Answer the question {question}" in settings.template
 
 
+@pytest.mark.parametrize("token", ["a", "é", "word", "日本語"])
+def test_bucket_is_crc32(column_value, token):
+    assert column_value(token_bucket, text=token) == zlib.crc32(token.encode()) % 2**18
+
+
 def test_hashed_vector_counts_terms(column_value):
-    frequencies = column_value(lambda text: term_frequencies(hashed_vector(text)), text="b a b c b a")
+    frequencies = column_value(lambda text: term_frequencies(hashed_vector(tokens(text))), text="b a b c b a")
     buckets = {word: column_value(token_bucket, text=word) for word in "abc"}
     assert {row["bucket"]: row["tf"] for row in frequencies} == {
         buckets["a"]: 2,
         buckets["b"]: 3,
         buckets["c"]: 1,
     }
-    assert column_value(lambda text: term_frequencies(hashed_vector(text)), text="") == []
+    assert column_value(lambda text: term_frequencies(hashed_vector(tokens(text))), text="") == []

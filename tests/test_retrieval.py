@@ -1,6 +1,6 @@
-import hashlib
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -26,7 +26,7 @@ def texts(seed, n, longest=40):
 
 
 def bucket(word, dim):
-    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+    return zlib.crc32(word.encode()) % dim
 
 
 def brute_force(corpus, questions, k, dim):

@@ -27,10 +27,6 @@ def with_ctes(names: str, body: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({CTES[name]})" for name in names.split()) + "\n" + body
 
 
-def bucket(token: str) -> str:
-    return f"(('0x' || substr(md5({token}), 1, 8))::BIGINT % {DEFAULT_DIM})::INTEGER"
-
-
 def chunks(size: int, overlap: int, source: str = "documents") -> str:
     step = size - overlap
     return f"""
@@ -122,15 +118,28 @@ SELECT doc_id, 1, table_idx, cell_idx, {LINE} FROM headed""",
 SELECT doc_id, string_agg(line || chr(10), '' ORDER BY section, table_idx, place) AS full_text
 FROM printed GROUP BY doc_id""",
     "chunks": chunks(512, 50),
+    # CRC-32, bit by bit for the 256 bytes, then byte by byte for each token.
+    "crc_bytes": """
+SELECT list(c ORDER BY i) AS crc_table
+FROM (SELECT i, list_reduce([i] || range(8), lambda c, bit:
+             CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))""",
+    "words": f"""
+SELECT DISTINCT token FROM (SELECT token FROM chunk_tokens UNION ALL SELECT token FROM question_tokens)""",
+    "word_bytes": """
+SELECT token, [('0x' || substr(hex(token), 2 * i + 1, 2))::BIGINT for i in range(strlen(token))] AS bytes FROM words""",
+    "buckets": f"""
+SELECT token, (xor(list_reduce([4294967295] || bytes, lambda c, b:
+                   xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295) % {DEFAULT_DIM})::INTEGER AS bucket
+FROM word_bytes, crc_bytes""",
     "chunk_tokens": "SELECT doc_id, chunk_no, unnest(string_split(text, ' ')) AS token FROM chunks",
-    "chunk_vectors": f"""
-SELECT doc_id, chunk_no, {bucket('token')} AS bucket, count(*)::INTEGER AS tf
-FROM chunk_tokens GROUP BY ALL""",
+    "chunk_vectors": """
+SELECT doc_id, chunk_no, bucket, count(*)::INTEGER AS tf
+FROM chunk_tokens JOIN buckets USING (token) GROUP BY ALL""",
     "questions": "SELECT item_id AS question_id, text AS question FROM benchmark",
     "question_tokens": f"""
 SELECT question_id, unnest({tokens(quoted(QUESTION_PREFIX) + ' || question')}) AS token FROM questions""",
-    "question_vectors": f"""
-SELECT question_id, {bucket('token')} AS bucket, count(*) AS tf FROM question_tokens GROUP BY ALL""",
+    "question_vectors": """
+SELECT question_id, bucket, count(*) AS tf FROM question_tokens JOIN buckets USING (token) GROUP BY ALL""",
     "num": "SELECT count(*) AS n FROM chunks",
     "dfs": "SELECT bucket, count(*) AS df FROM chunk_vectors GROUP BY bucket",
     "question_weights": """
@@ -185,9 +194,9 @@ FROM questions LEFT JOIN first_good USING (question_id)""",
 LAYOUT = "lines placed cells"
 FLATTENED = f"{LAYOUT} paragraphs headed cell_texts printed flattened"
 LAYOUT_DOCUMENTS = "(SELECT doc_id, NULL AS source, full_text AS text FROM flattened)"
-VECTORS = "chunks chunk_tokens chunk_vectors"
+VECTORS = "chunks chunk_tokens questions question_tokens words word_bytes crc_bytes buckets chunk_vectors"
 HITS = (
-    f"{VECTORS} questions question_tokens question_vectors num dfs question_weights question_norms "
+    f"{VECTORS} question_vectors num dfs question_weights question_norms "
     "chunk_norms dots scored ranked hits"
 )
 CANDIDATES = f"{HITS} contexts context_sentences sentence_rows sentence_scores best_sentences candidates"

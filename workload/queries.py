@@ -129,7 +129,7 @@ def layout_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.chunk_documents(fx.spread_corpus(spark, sf_dir))
-    vectors = HashedTerms().vectorize(chunks)
+    vectors = HashedTerms().vectorize_chunks(chunks)
     return vectors.select("doc_id", "chunk_no", F.inline(term_frequencies(F.col("vec"))))
 
 
