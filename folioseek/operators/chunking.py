@@ -68,9 +68,14 @@ def chunk_blocks(
     each chunk is put together from the blocks that it touches.
     """
     place = F.struct(*order).alias("place")
-    words = blocks.select(key, place, tokens(F.col(text)).alias("words"))
-    # Written once, then read for the counts alone and for the words.
-    blocks = written(words.withColumn("n", F.size("words").cast("long")).where(F.col("n") > 0), "blocks")
+    words = let(
+        tokens(F.col(text)),
+        lambda found: F.struct(F.size(found).cast("long").alias("n"), F.array_join(found, " ").alias("words")),
+    )
+    # Written once, then read for the counts alone and for the words. Blocks
+    # without words are left out after that: a filter before would tokenize twice.
+    found = written(blocks.select(key, place, words.alias("found")), "blocks")
+    blocks = found.select(key, "place", "found.n", "found.words").where(F.col("n") > 0)
     whole = Window.partitionBy(key)
     before = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     counts = blocks.select(
@@ -79,30 +84,28 @@ def chunk_blocks(
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
         F.sum("n").over(whole).alias("total"),
     )
-    end = F.col("start") + F.col("n")
-    first = F.greatest(F.floor((F.col("start") - settings.size) / settings.step) + 1, F.lit(0))
+    start, end = F.col("start"), F.col("start") + F.col("n")
+    first = F.greatest(F.floor((start - settings.size) / settings.step) + 1, F.lit(0))
     last = F.floor((end - 1) / settings.step)
-    pieces = blocks.join(counts, [key, "place"]).select(
-        key,
-        "place",
-        "words",
-        "start",
-        end.alias("end"),
-        F.ceil(F.col("total") / settings.step).cast("int").alias("num_chunks"),
-        F.explode(F.sequence(first, last)).alias("chunk_no"),
+
+    def piece(words: Column, chunk_no: Column) -> Column:
+        opens = F.greatest(chunk_no * settings.step, start)
+        closes = F.least(chunk_no * settings.step + settings.size, end)
+        part = F.slice(words, (opens - start + 1).cast("int"), (closes - opens).cast("int"))
+        return F.struct(chunk_no.cast("int").alias("chunk_no"), F.array_join(part, " ").alias("piece"))
+
+    pieces = let(
+        F.split("words", " "),
+        lambda words: F.transform(F.sequence(first, last), lambda chunk_no: piece(words, chunk_no)),
     )
-    opens = F.greatest(F.col("chunk_no") * settings.step, F.col("start"))
-    closes = F.least(F.col("chunk_no") * settings.step + settings.size, F.col("end"))
-    words = F.slice("words", (opens - F.col("start") + 1).cast("int"), (closes - opens).cast("int"))
-    piece = F.struct("place", F.array_join(words, " ").alias("words"))
+    num_chunks = F.ceil(F.col("total") / settings.step).cast("int").alias("num_chunks")
     # A chunk has at most ``size`` tokens, and so at most as many pieces.
+    in_order = F.sort_array(F.collect_list(F.struct("place", "piece")))
     return (
-        pieces.groupBy(key, F.col("chunk_no").cast("int").alias("chunk_no"))
-        .agg(
-            F.first("num_chunks").alias("num_chunks"),
-            F.array_join(F.sort_array(F.collect_list(piece))["words"], " ").alias("text"),
-        )
-        .select(key, "chunk_no", "num_chunks", "text")
+        blocks.join(counts, [key, "place"])
+        .select(key, "place", num_chunks, F.inline(pieces))
+        .groupBy(key, "chunk_no")
+        .agg(F.first("num_chunks").alias("num_chunks"), F.array_join(in_order["piece"], " ").alias("text"))
     )
 
 

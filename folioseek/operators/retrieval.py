@@ -35,7 +35,11 @@ class BestRows:
 
     def add(self, scores: np.ndarray, ids: list[np.ndarray]) -> None:
         """Merge a ``rows x questions`` tile; smaller ids win equal scores."""
-        row, question = np.nonzero((scores >= self.bar) & (scores > self.floor))
+        worthy = (scores >= self.bar) & (scores > self.floor)
+        if len(scores) > self.k and np.count_nonzero(worthy) > 4 * self.k * len(self.bar):
+            # Only what is as good as the k-th of this tile can stay.
+            worthy &= scores >= np.partition(scores, -self.k, axis=0)[-self.k]
+        row, question = np.nonzero(worthy)
         if len(row) == 0:
             return
         new_ids = [column[row] for column in ids]

@@ -1,3 +1,4 @@
+from types import SimpleNamespace
 from uuid import uuid4
 
 import pytest
@@ -127,10 +128,8 @@ def test_only_small_inputs_are_spread(spark, tmp_path, monkeypatch):
 
 class FakeSession:
     def __init__(self, master, folder):
-        self.sparkContext = type("Context", (), {"master": master})()
-        self.conf = {} if folder is None else {"spark.checkpoint.dir": folder}
-        settings = self.conf
-        self.conf = type("Conf", (), {"get": staticmethod(settings.get), "set": staticmethod(settings.__setitem__)})()
+        self.sparkContext = SimpleNamespace(master=master, applicationId=f"app-{uuid4().hex}")
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
 
 
 def test_shared_folder_comes_from_the_session():

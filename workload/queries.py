@@ -275,28 +275,28 @@ def run_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
+def _arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files.
+
+    The path is a pattern, as it may name one file, which a plain path may not.
+    """
+    schema = fx.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = fx.table(spark, sf_dir, "documents")
-    arriving = (
-        spark.readStream.schema(documents.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-        .select("doc_id", "source", F.col("text").alias("full_text"))
-    )
+    documents = _arriving(spark, sf_dir, "documents")
+    arriving = documents.select("doc_id", "source", F.col("text").alias("full_text"))
     path = fresh_path(spark, "stream-index")
-    stream_chunks(arriving, path, f"{path}/checkpoint", tasks=spare_cores(documents)).awaitTermination()
+    tasks = spare_cores(fx.table(spark, sf_dir, "documents"))
+    stream_chunks(arriving, path, f"{path}/checkpoint", tasks=tasks).awaitTermination()
     written = indexed_chunks(arriving, HashedTerms()).schema
     return _index_rows(complete_index(spark, path, written, HashedTerms()))
 
 
 def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = fx.table(spark, sf_dir, "benchmark").schema
-    arriving = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "benchmark.parquet")
-        .parquet(sf_dir)
-        .select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    )
+    asked = _arriving(spark, sf_dir, "benchmark")
+    arriving = asked.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     path = fresh_path(spark, "stream-answers")
     index = fx.index(spark, sf_dir)
     answer_stream(arriving, index, f"{path}/answers", f"{path}/checkpoint").awaitTermination()
