@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioseek.sources.scratch import fresh_path
+from folioseek.sources.scratch import fresh_path, written
 
 # Bounds of one block of questions. Vectors of a block are sent to all
 # executors and its hits are broadcast to fetch texts, so both are limited:
@@ -67,7 +67,7 @@ def _id_array(column: pa.Array) -> np.ndarray:
 def _search_block(
     vectors: DataFrame, column: str, ids: Sequence[str], question_ids: list, question_type: str, scorer, k: int
 ) -> DataFrame:
-    """``(question_id, score, *ids)``: k best rows per question, ranked."""
+    """``(question_id, score, *ids, rank)``: k best rows per question, found once and written."""
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast((scorer, question_ids))
     types = {"question_id": question_type, "score": "double"}
@@ -94,7 +94,10 @@ def _search_block(
     found = vectors.select(column, *ids).coalesce(tasks).mapInArrow(best, schema)
     # The window sees k rows per task and question, not one per chunk.
     ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), *[F.asc(name) for name in ids])
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    best_found = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    hits = written(best_found, "hits")
+    shared.destroy()
+    return hits.where(F.col("rank") <= k)
 
 
 def _block_count(question_vectors: DataFrame, cells: Column, k: int) -> int:
@@ -105,13 +108,17 @@ def _block_count(question_vectors: DataFrame, cells: Column, k: int) -> int:
         sizes = question_vectors.groupBy(block.alias("block")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(cells.cast("long")).alias("cells")
         )
-        largest = sizes.agg(F.max("n").alias("n"), F.max("cells").alias("cells")).first()
+        largest = sizes.agg(
+            F.max("n").alias("n"), F.max("cells").alias("cells"), F.sum("n").alias("questions")
+        ).first()
         if largest["n"] is None:
             return 0
         excess = max(largest["n"] * k / MAX_BLOCK_HITS, largest["cells"] / MAX_BLOCK_CELLS)
         # A block of one question cannot be split further.
         if excess <= 1 or largest["n"] == 1:
             return blocks
+        if blocks > 1000 * largest["questions"]:
+            raise ValueError("question_id has to be unique")
         blocks *= max(2, math.ceil(1.25 * excess))
 
 
@@ -134,12 +141,11 @@ def nearest(
     written before the next one: neither the driver nor an executor ever holds
     more than one block.
     """
-    spark = question_vectors.sparkSession
     question_type = question_vectors.schema["question_id"].dataType.simpleString()
     column = embedder.column
-    questions = question_vectors.select("question_id", column)
+    # Blocks are counted and then read one by one; vectors are made once.
+    questions = written(question_vectors.select("question_id", column), "questions")
     blocks = _block_count(questions, embedder.cells(), k)
-    path = fresh_path(spark, "search")
 
     def search(block: int) -> DataFrame:
         block_of = F.pmod(F.xxhash64("question_id"), F.lit(max(blocks, 1)))
@@ -147,13 +153,12 @@ def nearest(
         rows = part.collect() if blocks else []  # bounded: see MAX_BLOCK_CELLS
         scorer = embedder.scorer([row[column] for row in rows], prepared)
         asked = [row["question_id"] for row in rows]
-        hits = _search_block(vectors, column, ids, asked, question_type, scorer, k)
-        hits_path = f"{path}/hits/{block}"
-        hits.write.parquet(hits_path)
-        return attach(spark.read.schema(hits.schema).parquet(hits_path).where(F.col("rank") <= k))
+        return attach(_search_block(vectors, column, ids, asked, question_type, scorer, k))
 
     if blocks <= 1:
         return search(0)
+    path = fresh_path(question_vectors.sparkSession, "search")
     for block in range(blocks):
-        search(block).write.mode("overwrite").parquet(f"{path}/complete/block={block}")
-    return spark.read.parquet(f"{path}/complete").drop("block")
+        complete = search(block)
+        complete.write.parquet(f"{path}/block={block}")
+    return question_vectors.sparkSession.read.schema(complete.schema).parquet(f"{path}/block=*")

@@ -92,6 +92,13 @@ def test_many_questions_go_in_bounded_blocks(spark, data, index, monkeypatch):
     assert sorted(index.retrieve_texts(questions, k=5).collect()) == whole
 
 
+def test_repeated_question_ids_are_refused(spark, index, monkeypatch):
+    monkeypatch.setattr(retrieval, "MAX_BLOCK_HITS", 1)
+    questions = spark.createDataFrame([(7, "word1"), (7, "word2")], "question_id long, question string")
+    with pytest.raises(ValueError, match="unique"):
+        index.retrieve(questions, k=5)
+
+
 def test_hit_texts_are_read_from_their_parts_only(spark, data, index):
     hits = index.retrieve_texts(question_frame(spark, data), k=2)
     rows = hits.collect()
