@@ -62,6 +62,19 @@ def test_only_needed_columns_are_read(spark):
     assert "ReadSchema: struct<text:string,source:string>" in plan
 
 
+def test_questions_find_the_documents_that_hold_them(spark):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
+    texts = [(row["doc_id"], row["text"]) for row in documents.collect()]
+    held = {
+        row["item_id"]: {doc_id for doc_id, text in texts if row["text"] in text} for row in benchmark.collect()
+    }
+    first = QUERIES["retrieve_sparse"](spark, SF_DIR).where("rank = 1").collect()
+    found = {row["question_id"]: row["doc_id"] for row in first}
+    known = {item for item, ids in held.items() if ids}
+    assert known and all(found[item] in held[item] for item in known)
+
+
 def test_entry(spark):
     frame = registered.entry(spark)
     assert frame.count() > 0
