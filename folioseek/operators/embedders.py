@@ -1,9 +1,9 @@
 """Embedders: text to vectors on executors, and scores of vectors per Arrow batch.
 
 An embedder has a ``name`` and a ``dim`` that are stored with an index,
-``vectorize`` for texts, ``vectorize_chunks`` for chunks of the native chunker, ``prepare`` for what scoring
-needs to know of the whole index, and ``scorer`` for a bounded block of question
-vectors.
+``vectorize`` for texts and ``vectorize_chunks`` for chunks of the native
+chunker, ``prepare`` for what scoring needs to know of the whole index, and
+``scorer`` for a bounded block of question vectors.
 """
 
 from __future__ import annotations
