@@ -29,7 +29,10 @@ def indexed_chunks(corpus: DataFrame, embedder, settings: ChunkSettings = ChunkS
     of its hits reads no other folders to fetch their texts.
     """
     documents = corpus.select("doc_id", "source", "full_text")
-    chunks = embedder.vectorize_chunks(chunk_documents(documents, settings=settings))
+    return _with_part(embedder.vectorize_chunks(chunk_documents(documents, settings=settings)))
+
+
+def _with_part(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("part", F.spark_partition_id() % PARTS)
 
 
@@ -93,9 +96,21 @@ def build_index(
     corpus: DataFrame, path: str, settings: ChunkSettings = ChunkSettings(), embedder=HashedTerms()
 ) -> ChunkIndex:
     """Chunk and embed a corpus and replace what is kept below ``path``."""
-    chunks = indexed_chunks(spread_small(corpus, "doc_id"), embedder, settings)
+    return _write_index(indexed_chunks(spread_small(corpus, "doc_id"), embedder, settings), path, embedder)
+
+
+def index_chunks(chunks: DataFrame, path: str, embedder=HashedTerms()) -> ChunkIndex:
+    """Index chunks that were made elsewhere, from a user's tokenizer or from blocks.
+
+    ``chunks``: ``doc_id, source, chunk_no, num_chunks, text``.
+    """
+    rows = chunks.select("doc_id", "source", "chunk_no", "num_chunks", "text")
+    return _write_index(_with_part(embedder.vectorize(rows)), path, embedder)
+
+
+def _write_index(chunks: DataFrame, path: str, embedder) -> ChunkIndex:
     chunks.write.mode("overwrite").partitionBy("part").parquet(f"{path}/chunks")
-    return complete_index(corpus.sparkSession, path, chunks.schema, embedder)
+    return complete_index(chunks.sparkSession, path, chunks.schema, embedder)
 
 
 def complete_index(spark: SparkSession, path: str, schema: T.StructType, embedder) -> ChunkIndex:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from folioseek.config import ChunkSettings
 from folioseek.operators import embedders, retrieval
+from folioseek.operators.chunking import chunk_with_tokenizer
 from folioseek.operators.embedders import HashedTerms, SparseScorer, UserVectors, term_runs
-from folioseek.operators.index import build_index, open_index
+from folioseek.operators.index import build_index, index_chunks, open_index
 from folioseek.operators.retrieval import BestRows, nearest
 from folioseek.sources.scratch import fresh_path
 
@@ -84,6 +85,17 @@ def test_matches_brute_force(spark, data, index):
     assert found == expected
 
 
+def test_chunks_of_a_user_tokenizer_can_be_indexed(spark, data, index):
+    corpus = spark.createDataFrame([(i, f"s{i % 4}", t) for i, t in data[0]], "doc_id long, source string, full_text string")
+    chunks = chunk_with_tokenizer(corpus, str.split, " ".join, settings=SETTINGS)
+    other = index_chunks(chunks, fresh_path(spark, "index"), HashedTerms(dim=512))
+    questions = question_frame(spark, data)
+    columns = ["question_id", "rank", "doc_id", "chunk_no", "source", "text"]
+    assert sorted(other.retrieve_texts(questions, 5).select(*columns).collect()) == sorted(
+        index.retrieve_texts(questions, 5).select(*columns).collect()
+    )
+
+
 def test_many_questions_go_in_bounded_blocks(spark, data, index, monkeypatch):
     questions = question_frame(spark, data)
     whole = sorted(index.retrieve_texts(questions, k=5).collect())
