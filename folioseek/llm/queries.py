@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioseek.llm import mixing, near_duplicates, quality
-from folioseek.llm.common import table
+from folioseek.llm import chat, hosts, language, mixing, near_duplicates, quality
+from folioseek.llm.common import crc_rest, table
 from folioseek.sources.scratch import written
 
 
@@ -19,14 +19,35 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents).select("doc_id", *measures)
 
 
+def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.expanded(turns.unionByName(chat.extra_conversation(turns))))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sizes = written(mixing.sized(documents, mixing.distinct_share).drop("text"), "sizes")
     return mixing.taken(sizes, mixing.plan(sizes))
 
 
+def op8_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judged(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
+def op10_compressed_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_rest(F.col("doc_id"), 4) == 2
+    samples = language.dictionaries(documents.where(~F.coalesce(held_out, F.lit(False))))
+    letters = language.letters(F.col("text")).alias(language.LETTERS)
+    rows = documents.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), letters)
+    return language.classify(rows, samples).withColumn("accepted", language.accepted())
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op4_chat_prefix_targets": op4_chat_prefix_targets,
     "op5_mix_sources": op5_mix_sources,
+    "op8_host_graph": op8_host_graph,
+    "op10_compressed_language": op10_compressed_language,
 }
