@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioseek.llm import chat, hosts, language, mixing, near_duplicates, quality
+from folioseek.llm import chat, decontamination, hosts, language, licenses, mixing, near_duplicates, quality
 from folioseek.llm.common import crc_rest, table
 from folioseek.sources.scratch import written
 
@@ -19,6 +19,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents).select("doc_id", *measures)
 
 
+def op3_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.expanded(turns.unionByName(chat.extra_conversation(turns))))
@@ -30,6 +34,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(sizes, mixing.plan(sizes))
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontamination.parted(table(spark, sf_dir, "benchmark"))
+    found = decontamination.searched(table(spark, sf_dir, "documents"), items, keep=["doc_id"])
+    return found.select("doc_id", F.inline("leaks"))
+
+
 def op8_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judged(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
@@ -46,8 +56,10 @@ def op10_compressed_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_license_automaton": op3_license_automaton,
     "op4_chat_prefix_targets": op4_chat_prefix_targets,
     "op5_mix_sources": op5_mix_sources,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
     "op8_host_graph": op8_host_graph,
     "op10_compressed_language": op10_compressed_language,
 }
