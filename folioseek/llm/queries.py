@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioseek.llm import chat, decontamination, hosts, language, licenses, mixing, near_duplicates, quality
+from folioseek.llm import chat, decontamination, hosts, language, licenses, mixing, near_duplicates, quality, surrogates
 from folioseek.llm.common import crc_rest, table
 from folioseek.sources.scratch import written
 
+# The key of the test run; a production run passes a secret of its own.
+SURROGATE_KEY = "test run"
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85).drop("n_links")
@@ -44,6 +47,11 @@ def op8_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judged(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replaced(documents, SURROGATE_KEY)
+
+
 def op10_compressed_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_rest(F.col("doc_id"), 4) == 2
@@ -61,5 +69,6 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op8_host_graph": op8_host_graph,
+    "op9_surrogates": op9_surrogates,
     "op10_compressed_language": op10_compressed_language,
 }
