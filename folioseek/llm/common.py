@@ -108,6 +108,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             first = last
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key together, of input sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        found = list(zip(*(batch.column(key).to_pylist() for key in keys), strict=True))
+        first = 0
+        while first < len(found):
+            end = first
+            while end < len(found) and found[end] == found[first]:
+                end += 1
+            if held and found[first] != last:
+                yield pa.concat_batches(held)
+                held = []
+            last = found[first]
+            held.append(batch.slice(first, end - first))
+            first = end
+    if held:
+        yield pa.concat_batches(held)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """64-bit integers with every output bit depending on every input bit."""
     values = values ^ (values >> np.uint64(30))

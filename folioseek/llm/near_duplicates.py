@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from folioseek.llm.common import mixed, numbers, slices, tokens
+from folioseek.llm.common import grouped, mixed, numbers, slices, tokens
 from folioseek.llm.graph import components
 from folioseek.sources.scratch import written
 
@@ -207,27 +207,6 @@ def shared_bands(percent: int) -> int:
     return BANDS
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of each key together, of input sorted by ``keys``."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        found = list(zip(*(batch.column(key).to_pylist() for key in keys), strict=True))
-        first = 0
-        while first < len(found):
-            end = first
-            while end < len(found) and found[end] == found[first]:
-                end += 1
-            if held and found[first] != last:
-                yield pa.concat_batches(held)
-                held = []
-            last = found[first]
-            held.append(batch.slice(first, end - first))
-            first = end
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _candidates(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs in different components that must be compared, in this bucket and these two parts only."""
     low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
@@ -254,7 +233,7 @@ def _candidates(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndar
 
 def _suspects(percent: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, ["band", "low", "high"]):
+        for rows in grouped(batches, ["band", "low", "high"]):
             places = np.unique(np.concatenate(_candidates(rows, percent)))
             if len(places):
                 yield rows.take(pa.array(places))
@@ -264,7 +243,7 @@ def _suspects(percent: int):
 
 def _compared(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, ["band", "low", "high"]):
+        for rows in grouped(batches, ["band", "low", "high"]):
             sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in rows.column("shingles")]
             linked = []
             for a, b in zip(*_candidates(rows, percent), strict=True):

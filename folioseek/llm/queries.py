@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioseek.llm import chat, decontamination, hosts, language, licenses, mixing, near_duplicates, quality, surrogates
+from folioseek.llm import chat, decontamination, hosts, language, licenses, mixing, near_duplicates, quality, scoring, surrogates
 from folioseek.llm.common import crc_rest, table
 from folioseek.sources.scratch import written
 
@@ -43,6 +43,12 @@ def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline("leaks"))
 
 
+def op7_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_rest(F.col("doc_id"), 7) == 2, F.lit(False))
+    documents = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    return scoring.scored(documents, scoring.trained(documents.where("not held_out")))
+
+
 def op8_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judged(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op4_chat_prefix_targets": op4_chat_prefix_targets,
     "op5_mix_sources": op5_mix_sources,
     "op6_benchmark_leaks": op6_benchmark_leaks,
+    "op7_trie_scores": op7_trie_scores,
     "op8_host_graph": op8_host_graph,
     "op9_surrogates": op9_surrogates,
     "op10_compressed_language": op10_compressed_language,
