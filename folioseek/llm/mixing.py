@@ -33,7 +33,8 @@ PERCENT = 150
 MOST_COPIES = 2
 LEVELS = 64
 BINS = 4096
-RESULTS = ("size", "source_size", "target", "copies", "taken", "level")
+LEVEL = "weight level"
+RESULTS = ("size", "source_size", "target", "copies", "taken", LEVEL)
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = PERCENT) -> DataFrame:
@@ -99,22 +100,22 @@ def distinct_share(found: Column) -> Column:
 
 
 def sized(documents: DataFrame, weight: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The documents with ``size`` (words) and the ``level`` of their weight."""
-    found = documents.withColumn("words", words(F.col("text")))
+    """The documents with ``size`` (words) and the level of their weight."""
+    found = documents.withColumn("words of the text", words(F.col("text")))
     level = F.lit(LEVELS)
     if weight is not None:
-        level = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.round(F.coalesce(weight(F.col("words")), F.lit(1.0)) * LEVELS)))
+        level = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.round(F.coalesce(weight(F.col("words of the text")), F.lit(1.0)) * LEVELS)))
     return found.select(
-        *[c for c in documents.columns if c not in RESULTS], F.size("words").cast("long").alias("size"), level.cast("long").alias("level")
+        *[c for c in documents.columns if c not in RESULTS], F.size("words of the text").cast("long").alias("size"), level.cast("long").alias(LEVEL)
     )
 
 
 def plan(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = PERCENT, seed: int = 1) -> DataFrame:
     """One row for each source and level: whole copies, the rest of a copy, and the rank at which the sample ends.
 
-    ``sizes(doc_id, source, size, level)`` is read several times and should be a written table.
+    ``sizes``, the columns ``doc_id, source, size`` and the level of ``sized``, is read several times and should be a written table.
     """
-    levels = written(sizes.groupBy("source", "level").agg(F.sum("size").alias("words")), "levels")
+    levels = written(sizes.groupBy("source", F.col(LEVEL).alias("level")).agg(F.sum("size").alias("words")), "levels")
     goal = targets(levels.groupBy("source").agg(F.sum("words").alias("source_size")), weights, percent)
     goal = written(goal.withColumnRenamed("source", "of"), "targets")
     copies = _copies(levels.join(goal, _same("source", "of")).select("source", "level", "words", "target"))
@@ -131,8 +132,8 @@ def plan(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = PERC
     )
     left = copies.groupBy("of").agg((F.first("target") - F.sum(F.col("whole") * F.col("words"))).alias("left"))
     fractions = copies.select("of", "at", "whole", "part")
-    ranked = sizes.join(fractions, _same("source", "of") & (F.col("level") == F.col("at"))).drop("at", "whole")
-    ranked = written(ranked.withColumn("rank", _rank(seed)).where("rank is not null").select("doc_id", "size", "of", "rank"), "ranked")
+    ranked = sizes.select("doc_id", "source", "size", LEVEL).join(fractions, _same("source", "of") & (F.col(LEVEL) == F.col("at")))
+    ranked = written(ranked.withColumn("rank", _rank(seed, F.col("part"))).where("rank is not null").select("doc_id", "size", "of", "rank"), "ranked")
     cuts = _cuts(ranked, written(left, "left"))
     rows = fractions.join(goal.withColumnRenamed("of", "goal_of"), _same("of", "goal_of")).drop("goal_of")
     return written(rows.join(cuts, _same("of", "cut_of"), "left").drop("cut_of"), "plan")
@@ -140,19 +141,26 @@ def plan(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = PERC
 
 def taken(sizes: DataFrame, made: DataFrame, seed: int = 1) -> DataFrame:
     """``sizes`` with ``source_size``, ``target``, ``copies`` and ``taken`` (words, repeats counted); ``made`` is its plan."""
-    rows = sizes.join(made, _same("source", "of") & (F.col("level") == F.col("at"))).withColumn("rank", _rank(seed))
-    first, second = _bin(F.lit(0.0), F.lit(1.0)), _bin(F.col("next_low"), F.col("next_high"))
+    plan_of = {c: F.col(f"plan {c}") for c in made.columns}
+    rank = F.col("plan rank")
+    rows = sizes.join(
+        made.select(*[F.col(c).alias(f"plan {c}") for c in made.columns]),
+        F.col("source").eqNullSafe(plan_of["of"]) & (F.col(LEVEL) == plan_of["at"]),
+    ).withColumn("plan rank", _rank(seed, plan_of["part"]))
+    first, second = _bin(rank, F.lit(0.0), F.lit(1.0)), _bin(rank, plan_of["next_low"], plan_of["next_high"])
+    first_bin, second_bin = plan_of["first_bin"], plan_of["second_bin"]
     inside = (
-        F.when(F.col("rank").isNull(), False)
-        .when(F.col("first_bin").isNull(), True)
-        .when(first != F.col("first_bin"), first < F.col("first_bin"))
-        .when(F.col("second_bin").isNull(), True)
-        .when(second != F.col("second_bin"), second < F.col("second_bin"))
-        .otherwise(F.coalesce(F.struct("rank", "doc_id", "size") <= F.col("limit"), F.lit(False)))
+        F.when(rank.isNull(), False)
+        .when(first_bin.isNull(), True)
+        .when(first != first_bin, first < first_bin)
+        .when(second_bin.isNull(), True)
+        .when(second != second_bin, second < second_bin)
+        .otherwise(F.coalesce(F.struct(rank, "doc_id", "size") <= plan_of["limit"], F.lit(False)))
     )
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + inside.cast("int")).cast("long")
-    kept = [c for c in sizes.columns if c != "level"]
-    return rows.select(*kept, "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(plan_of["whole"] + inside.cast("int")).cast("long")
+    kept = [c for c in sizes.columns if c not in (LEVEL, "source_size", "target", "copies", "taken")]
+    found = rows.select(*kept, plan_of["source_size"].alias("source_size"), plan_of["target"].alias("target"), copies.alias("copies"))
+    return found.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed(
@@ -169,27 +177,23 @@ def mixed(
     Texts are read twice and do not shuffle while the plan, of ``LEVELS`` rows
     for each source at most, is small enough for Spark to send it around.
     """
-    sizes = written(sized(documents.select("doc_id", "source", "text"), weight).select("doc_id", "source", "size", "level"), "sizes")
+    sizes = written(sized(documents.select("doc_id", "source", "text"), weight).select("doc_id", "source", "size", LEVEL), "sizes")
     return taken(sized(documents, weight), plan(sizes, weights, percent, seed), seed)
 
 
-def _rank(seed: int) -> Column:
-    u, part = _hashed(F.col("doc_id"), seed), F.col("part")
+def _rank(seed: int, part: Column) -> Column:
+    u = _hashed(F.col("doc_id"), seed)
     return F.when((part > 0) & (F.col("size") > 0), (u / (1 - u)) / (part / (1 - part)))
 
 
-def _bin(low: Column, high: Column) -> Column:
-    place = F.floor((_place() - low) / (high - low) * BINS)
+def _bin(rank: Column, low: Column, high: Column) -> Column:
+    place = F.floor((rank / (1 + rank) - low) / (high - low) * BINS)
     return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), place)).cast("long")
 
 
-def _place() -> Column:
-    return F.col("rank") / (1 + F.col("rank"))
-
-
 def _boundary(rows: DataFrame) -> DataFrame:
     """The bin of each source in which ``left`` words are reached, and what is left at its start."""
-    sums = rows.groupBy("of", "left", "low", "high", _bin(F.col("low"), F.col("high")).alias("bin")).agg(F.sum("size").alias("words"))
+    sums = rows.groupBy("of", "left", "low", "high", _bin(F.col("rank"), F.col("low"), F.col("high")).alias("bin")).agg(F.sum("size").alias("words"))
     order = W.partitionBy("of").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     found = sums.withColumn("up_to", F.sum("words").over(order)).where("up_to >= left")
     least = F.min(F.struct("bin", "up_to", "words", "left", "low", "high")).alias("found")
@@ -207,10 +211,10 @@ def _cuts(ranked: DataFrame, left: DataFrame) -> DataFrame:
     """Where the sample of each source ends: in the order of ranks, the middle of a document lies within the words left."""
     goal = left.select(F.col("of").alias("goal_of"), "left", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
     first = written(_boundary(ranked.join(goal, _same("of", "goal_of"))).withColumnRenamed("of", "cut_of"), "bins")
-    near = ranked.join(first, _same("of", "cut_of")).where(_bin(F.lit(0.0), F.lit(1.0)) == F.col("bin"))
+    near = ranked.join(first, _same("of", "cut_of")).where(_bin(F.col("rank"), F.lit(0.0), F.lit(1.0)) == F.col("bin"))
     near = written(near.drop("bin", "cut_of").withColumnsRenamed({"next_low": "low", "next_high": "high"}), "near")
     second = written(_boundary(near).select(F.col("of").alias("in_of"), "left", F.col("bin").alias("second_bin")), "bins")
-    last = near.drop("left").join(second, _same("of", "in_of")).where(_bin(F.col("low"), F.col("high")) == F.col("second_bin"))
+    last = near.drop("left").join(second, _same("of", "in_of")).where(_bin(F.col("rank"), F.col("low"), F.col("high")) == F.col("second_bin"))
     order = W.partitionBy("of").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     last = last.withColumn("up_to", F.sum("size").over(order)).where(F.col("up_to") - F.col("size") / 2 <= F.col("left"))
     limit = last.groupBy("of").agg(F.max(F.struct("rank", "doc_id", "size")).alias("limit")).withColumnRenamed("of", "limit_of")
