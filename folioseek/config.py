@@ -65,6 +65,14 @@ INST_TEMPLATE_EXPLORATORY = INST_SYSTEM + (
     "  <</SYS>>[INST] Given the context: {context}.  Answer the question {question} ?\n [/INST]"
 )
 
+# Templates by name, for runs that do not take the one of their model.
+TEMPLATES = {
+    "hosted": HOSTED_TEMPLATE,
+    "im": IM_TEMPLATE,
+    "inst": INST_TEMPLATE,
+    "inst-exploratory": INST_TEMPLATE_EXPLORATORY,
+}
+
 # Settings per model, keyed by the model's name without its owner.
 MODELS = {
     settings.model_id: settings

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,6 +15,7 @@ from folioseek.functions.prompts import PARAGRAPH_PREFIX, render
 from folioseek.functions.screening import NON_ANSWER_PHRASES, is_good_answer
 from folioseek.functions.text import let, sentences, terms
 from folioseek.sources.scratch import written
+from folioseek.sources.workers import loaded
 
 # The record of a question that no context answers.
 NO_ANSWER = "Could not fine answer please rephrase the question or provide more context?"
@@ -96,6 +98,27 @@ def render_prompts_by_model(
 Reply = str | tuple[str, dict] | None
 
 
+def _called(model: Callable[[str], Reply], prompt: str, seconds: float) -> Reply:
+    """What the model replies, or ``TimeoutError``; a daemon thread keeps a call that hangs from holding its task."""
+    outcome: list = []
+
+    def call() -> None:
+        try:
+            outcome.append((model(prompt), None))
+        except BaseException as error:  # handed to the caller, whatever it is
+            outcome.append((None, error))
+
+    thread = threading.Thread(target=call, daemon=True)
+    thread.start()
+    thread.join(max(0.0, seconds))
+    if not outcome:
+        raise TimeoutError
+    reply, error = outcome[0]
+    if error is not None:
+        raise error
+    return reply
+
+
 def ask_with_retry(
     model: Callable[[str], Reply],
     prompt: str,
@@ -105,12 +128,15 @@ def ask_with_retry(
 ) -> tuple[str | None, str | None, str | None]:
     """``(answer, metadata, error)``: wait while the model is busy, until the deadline.
 
-    Any other exception is the caller's.
+    A call that does not return is left behind at the deadline. Any other
+    exception is the caller's.
     """
     deadline = time.monotonic() + timeout_sec
     while time.monotonic() < deadline:
         try:
-            reply = model(prompt)
+            reply = _called(model, prompt, deadline - time.monotonic())
+        except TimeoutError:
+            break
         except busy:
             time.sleep(min(pause_sec, max(0.0, deadline - time.monotonic())))
             continue
@@ -125,13 +151,18 @@ class ModelBusy(Exception):
 
 def generate_answers(
     prompts: DataFrame,
-    model: Callable[[str], Reply],
+    model: Callable[[str], Reply] | None = None,
     busy: type[BaseException] | tuple[type[BaseException], ...] = ModelBusy,
     timeout_sec: float = 60,
     pause_sec: float = 2,
+    load: Callable[[], Callable[[str], Reply]] | None = None,
+    model_name: str = "model",
 ) -> DataFrame:
     """Candidate answers from a user's model, plus an ``error`` column.
 
+    A model that is large to send or slow to start is given as ``load``, which
+    is called once per Python worker and ``model_name``.
+
     ``prompts`` is what ``render_prompts`` gives. A prompt that stays without
     an answer until its deadline gets a null answer and an error; it does not
     fail the task. Questions of any id type are supported.
@@ -143,8 +174,9 @@ def generate_answers(
     )
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = model if load is None else loaded(model_name, load)
         for batch in batches:
-            asked = [ask_with_retry(model, p, busy, timeout_sec, pause_sec) for p in batch["prompt"]]
+            asked = [ask_with_retry(ask, p, busy, timeout_sec, pause_sec) for p in batch["prompt"]]
             yield pd.DataFrame(
                 {
                     "question_id": batch["question_id"],
@@ -198,18 +230,23 @@ def answer_in_rounds(
 
     Each round asks only the next group of the questions still open. Its answers
     are written, so that a model is not asked again when a later round or a lost
-    executor needs them.
+    executor needs them. ``error`` is the first error of a question's calls,
+    whether or not a later one was answered.
     """
     prompts = written(prompts, "prompts")
     open_questions = questions.select("question_id")
-    answered = None
+    asked = None
     for group_no in range(num_groups):
         turn = prompts.where(F.col("group_no") == group_no).join(open_questions, "question_id", "left_semi")
-        good = generate(turn).where(is_good_answer(F.col("answer"), phrases))
-        good = written(good, "answers")
-        answered = good if answered is None else answered.unionByName(good)
+        candidates = written(generate(turn), "answers")
+        asked = candidates if asked is None else asked.unionByName(candidates)
+        good = candidates.where(is_good_answer(F.col("answer"), phrases))
         open_questions = open_questions.join(good, "question_id", "left_anti")
-    return first_good_answers(answered, questions, phrases)
+    answers = first_good_answers(asked, questions, phrases)
+    if "error" not in asked.columns:
+        return answers
+    errors = asked.where("error is not null").groupBy("question_id").agg(F.min_by("error", "group_no").alias("error"))
+    return answers.join(errors, "question_id", "left")
 
 
 def answer_view(answers: DataFrame) -> DataFrame:

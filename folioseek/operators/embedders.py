@@ -1,6 +1,8 @@
 """Embedders: text to vectors on executors, and scores of vectors per Arrow batch.
 
-An embedder has a ``name`` and a ``dim`` that are stored with an index,
+An embedder has a ``name`` and a ``dim`` that are stored with an index, the
+``prefix`` that its questions get (none for terms, which would be searched
+for like words of the question),
 ``vectorize`` for texts and ``vectorize_chunks`` for chunks of the native
 chunker, ``prepare`` for what scoring needs to know of the whole index, and
 ``scorer`` for a bounded block of question vectors.
@@ -16,8 +18,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioseek.functions.prompts import QUESTION_PREFIX
 from folioseek.functions.text import tokens
 from folioseek.functions.vectors import DEFAULT_DIM, hashed_vector
+from folioseek.sources.workers import loaded
 
 # Scores are computed for at most this many chunk x question cells at a time.
 TILE_CELLS = 1_000_000
@@ -41,6 +45,7 @@ class HashedTerms:
     dim: int = DEFAULT_DIM
     name: str = "hashed-terms"
     column: str = "vec"
+    prefix: str = ""
     uses_statistics = True
 
     def vectorize(self, texts: DataFrame, text: str = "text") -> DataFrame:
@@ -139,24 +144,30 @@ class UserVectors:
     """Dense embedder around a user's model, scored by squared distance.
 
     ``encode`` takes a list of texts and returns as many vectors of ``dim``
-    numbers. It is called per Arrow batch on the executors.
+    numbers. It is called per Arrow batch on the executors. A model that is
+    large to send or slow to start is given as ``load`` instead, which returns
+    such a function and is called once per Python worker.
     """
 
     name: str
     dim: int
     encode: Callable[[list[str]], Sequence[Sequence[float]]] | None = None
     column: str = "vec"
+    prefix: str = QUESTION_PREFIX
+    load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]] | None = None
     uses_statistics = False
 
     def vectorize(self, texts: DataFrame, text: str = "text") -> DataFrame:
-        encode, dim = self.encode, self.dim
+        name, encode, load, dim = self.name, self.encode, self.load, self.dim
 
         @F.pandas_udf("array<float>")
-        def embed(values: pd.Series) -> pd.Series:
-            vectors = np.asarray(encode(values.fillna("").tolist()), dtype=np.float32)
-            if vectors.shape != (len(values), dim):
-                raise ValueError(f"expected {len(values)} vectors of {dim}, got {vectors.shape}")
-            return pd.Series(list(vectors))
+        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            run = encode if load is None else loaded(name, load)
+            for values in batches:
+                vectors = np.asarray(run(values.fillna("").tolist()), dtype=np.float32)
+                if vectors.shape != (len(values), dim):
+                    raise ValueError(f"expected {len(values)} vectors of {dim}, got {vectors.shape}")
+                yield pd.Series(list(vectors))
 
         return texts.withColumn(self.column, embed(F.col(text)))
 
@@ -174,13 +185,17 @@ class UserVectors:
 
 
 class DenseScorer:
-    """Negated squared distance, rounded to six digits, so the largest is nearest."""
+    """Negated squared distance, so the largest is nearest.
+
+    The squares of the differences are added up dimension by dimension, always
+    in the same order and without rounding: close vectors stay apart, and a
+    distance does not depend on what else is in a batch.
+    """
 
     def __init__(self, vectors: Sequence, dim: int) -> None:
         self.num_questions = len(vectors)
         self.dim = dim
         self.questions = np.asarray(vectors, dtype=np.float64).reshape(len(vectors), dim)
-        self.norms = (self.questions**2).sum(axis=1)
 
     def floor(self) -> float:
         return -np.inf
@@ -193,6 +208,23 @@ class DenseScorer:
         rows = max(1, TILE_CELLS // max(self.num_questions, 1))
         for top in range(0, len(stored), rows):
             part = stored[top : top + rows]
-            squares = (part**2).sum(axis=1)[:, None] + self.norms[None, :]
-            distance = np.round(squares - 2 * part @ self.questions.T, 6)
-            yield top, -np.maximum(distance, 0.0)
+            distance = np.zeros((len(part), self.num_questions))
+            for place in range(self.dim):
+                difference = part[:, place, None] - self.questions[None, :, place]
+                distance += difference * difference
+            yield top, -distance
+
+
+_FACTORIES: dict[str, Callable[[], object]] = {"hashed-terms": HashedTerms}
+
+
+def register_embedder(name: str, make: Callable[[], object]) -> None:
+    """Say how the embedder of a name is made, such as that of a model's settings."""
+    _FACTORIES[name] = make
+
+
+def embedder_named(name: str):
+    """The embedder of a name, as ``ModelSettings.embedding_model`` has it."""
+    if name not in _FACTORIES:
+        raise KeyError(f"no embedder for {name!r}; known: {sorted(_FACTORIES)}")
+    return _FACTORIES[name]()

@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from folioseek.config import DEFAULT_K, ChunkSettings
-from folioseek.functions.prompts import QUESTION_PREFIX, prefixed_question
+from folioseek.functions.prompts import prefixed_question
 from folioseek.operators.chunking import chunk_documents
 from folioseek.operators.embedders import HashedTerms
 from folioseek.operators.retrieval import MAX_BLOCK_HITS, nearest
@@ -33,7 +33,9 @@ def indexed_chunks(corpus: DataFrame, embedder, settings: ChunkSettings = ChunkS
 
 
 def _with_part(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("part", F.spark_partition_id() % PARTS)
+    # ``row`` is a key that is unique by construction: pages of one document and
+    # documents that are sent again have the same chunk numbers.
+    return chunks.withColumns({"part": F.spark_partition_id() % PARTS, "row": F.uuid()})
 
 
 @dataclass(frozen=True)
@@ -61,31 +63,32 @@ class ChunkIndex:
         statistics = self.spark.read.parquet(f"{self.path}/statistics")
         return self.embedder.prepare(statistics, self.meta["num_chunks"])
 
-    def retrieve(self, questions: DataFrame, k: int = DEFAULT_K, prefix: str = QUESTION_PREFIX) -> DataFrame:
-        """``(question_id, rank, score, doc_id, chunk_no)`` of the k best chunks."""
-        return self._search(questions, k, prefix, lambda hits: hits.drop("part"))
+    def retrieve(self, questions: DataFrame, k: int = DEFAULT_K, prefix: str | None = None) -> DataFrame:
+        """``(question_id, rank, score, doc_id, chunk_no)`` of the k best chunks; searched when called."""
+        return self._search(questions, k, prefix, lambda hits: hits.drop("part", "row"))
 
     def retrieve_texts(
-        self, questions: DataFrame, k: int = DEFAULT_K, prefix: str = QUESTION_PREFIX
+        self, questions: DataFrame, k: int = DEFAULT_K, prefix: str | None = None
     ) -> DataFrame:
         """``retrieve`` with the ``source`` and ``text`` of each chunk."""
 
         def attach(hits: DataFrame) -> DataFrame:
-            texts = self.chunks.select("part", *CHUNK_KEY, "source", "text")
+            texts = self.chunks.select("part", "row", "source", "text")
             # The hits of a block of questions are bounded, see ``nearest``;
             # only a block of one question may go beyond, by its k.
             found = F.broadcast(hits) if k <= MAX_BLOCK_HITS else hits
-            return texts.join(found, ["part", *CHUNK_KEY]).drop("part")
+            return texts.join(found, ["part", "row"]).drop("part", "row")
 
         return self._search(questions, k, prefix, attach)
 
-    def _search(self, questions: DataFrame, k: int, prefix: str, attach) -> DataFrame:
+    def _search(self, questions: DataFrame, k: int, prefix: str | None, attach) -> DataFrame:
+        prefix = self.embedder.prefix if prefix is None else prefix
         asked = questions.select("question_id", prefixed_question(F.col("question"), prefix).alias("text"))
         return nearest(
             self.embedder.vectorize(asked),
             self.chunks,
             self.embedder,
-            ids=(*CHUNK_KEY, "part"),
+            ids=(*CHUNK_KEY, "part", "row"),
             k=k,
             prepared=self.prepared,
             attach=attach,

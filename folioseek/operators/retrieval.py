@@ -56,7 +56,14 @@ class BestRows:
         self.bar[sorted_question[full]] = self.score[np.flatnonzero(place[place < self.k] == self.k - 1)]
 
 
-ARROW_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+ARROW_TYPES = {
+    "tinyint": pa.int8(),
+    "smallint": pa.int16(),
+    "int": pa.int32(),
+    "bigint": pa.int64(),
+    "string": pa.string(),
+    "date": pa.date32(),
+}
 
 
 def _id_array(column: pa.Array) -> np.ndarray:
@@ -108,17 +115,13 @@ def _block_count(question_vectors: DataFrame, cells: Column, k: int) -> int:
         sizes = question_vectors.groupBy(block.alias("block")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(cells.cast("long")).alias("cells")
         )
-        largest = sizes.agg(
-            F.max("n").alias("n"), F.max("cells").alias("cells"), F.sum("n").alias("questions")
-        ).first()
+        largest = sizes.agg(F.max("n").alias("n"), F.max("cells").alias("cells")).first()
         if largest["n"] is None:
             return 0
         excess = max(largest["n"] * k / MAX_BLOCK_HITS, largest["cells"] / MAX_BLOCK_CELLS)
         # A block of one question cannot be split further.
         if excess <= 1 or largest["n"] == 1:
             return blocks
-        if blocks > 1000 * largest["questions"]:
-            raise ValueError("question_id has to be unique")
         blocks *= max(2, math.ceil(1.25 * excess))
 
 
@@ -133,7 +136,8 @@ def nearest(
 ) -> DataFrame:
     """Exact k nearest rows of ``vectors`` for each ``(question_id, vector)``.
 
-    The stored vectors are never shuffled. Questions go to the executors in
+    The search runs when this is called; what it returns reads its results.
+    Question ids that repeat or are null are refused. The stored vectors are never shuffled. Questions go to the executors in
     blocks of bounded size; each task keeps its own k best rows. The hits of a
     block are written to the shared folder, so that the search runs once
     whatever is done with them, and ``attach`` may broadcast them. With more
@@ -145,6 +149,10 @@ def nearest(
     column = embedder.column
     # Blocks are counted and then read one by one; vectors are made once.
     questions = written(question_vectors.select("question_id", column), "questions")
+    counted = questions.agg(F.count("question_id").alias("ids"), F.count_distinct("question_id").alias("distinct"), F.count("*").alias("rows"))
+    ids_found = counted.first()
+    if len(set(ids_found)) > 1:
+        raise ValueError("question_id has to be unique and not null")
     blocks = _block_count(questions, embedder.cells(), k)
 
     def search(block: int) -> DataFrame:

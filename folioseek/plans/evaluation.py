@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,9 +21,13 @@ def evaluation_rows(answers: DataFrame, models: Sequence[ModelSettings]) -> Data
     ).select("run_name", "questions", "outputs", "source", "template")
 
 
-def log_evaluation(answers: DataFrame, models: Sequence[ModelSettings], table: str) -> DataFrame:
-    """Append the rows of an evaluation to the log table and return the table."""
-    append_log(evaluation_rows(answers, models), table)
+def log_evaluation(answers: DataFrame, models: Sequence[ModelSettings], table: str, run_id: str | None = None) -> DataFrame:
+    """Log an evaluation and return the table.
+
+    Every call is a run of its own unless ``run_id`` names one, whose rows it replaces.
+    """
+    rows = evaluation_rows(answers, models).withColumn("run_id", F.lit(run_id or uuid4().hex))
+    append_log(rows, table)
     return answers.sparkSession.table(table)
 
 
@@ -52,7 +57,9 @@ def run_parameters(questions: DataFrame, dataset: str, models: Sequence[ModelSet
 
 
 def log_run_parameters(
-    questions: DataFrame, dataset: str, models: Sequence[ModelSettings], table: str
+    questions: DataFrame, dataset: str, models: Sequence[ModelSettings], table: str, run_id: str | None = None
 ) -> DataFrame:
-    append_log(run_parameters(questions, dataset, models), table)
+    """Log the parameters of a run, as ``log_evaluation`` does its rows."""
+    rows = run_parameters(questions, dataset, models).withColumn("run_id", F.lit(run_id or uuid4().hex))
+    append_log(rows, table)
     return questions.sparkSession.table(table)

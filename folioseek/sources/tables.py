@@ -34,8 +34,24 @@ def ensure_questions(questions: DataFrame, table: str) -> DataFrame:
 
 
 def append_log(rows: DataFrame, table: str) -> None:
-    """Add rows to a table that keeps one partition per run."""
-    rows.write.mode("append").partitionBy("run_name").saveAsTable(table)
+    """Add runs to a table that keeps one partition per ``run_id`` and ``run_name``.
+
+    A run that is logged again, as by a job that is repeated, replaces its own
+    partitions and no others.
+    """
+    keys = ["run_id", "run_name"]
+    ordered = rows.select(*[c for c in rows.columns if c not in keys], *keys)
+    spark = rows.sparkSession
+    if not spark.catalog.tableExists(table):
+        ordered.write.partitionBy(*keys).saveAsTable(table)
+        return
+    # Inserts take the mode from the session alone.
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        ordered.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
 
 
 def parameter_rows(settings: DataFrame, run_name: str) -> DataFrame:

@@ -137,7 +137,7 @@ SELECT doc_id, chunk_no, bucket, count(*)::INTEGER AS tf
 FROM chunk_tokens JOIN buckets USING (token) GROUP BY ALL""",
     "questions": "SELECT item_id AS question_id, text AS question FROM benchmark",
     "question_tokens": f"""
-SELECT question_id, unnest({tokens(quoted(QUESTION_PREFIX) + ' || question')}) AS token FROM questions""",
+SELECT question_id, unnest({tokens('question')}) AS token FROM questions""",
     "question_vectors": """
 SELECT question_id, bucket, count(*) AS tf FROM question_tokens JOIN buckets USING (token) GROUP BY ALL""",
     "num": "SELECT count(*) AS n FROM chunks",
@@ -233,10 +233,10 @@ def parameter_statement() -> str:
     for model in MODELS.values():
         settings = {"model_id": model.model_id, "embedding_model": model.embedding_model, "dataset": "benchmark"}
         for key, value in {**settings, **model.options}.items():
-            rows.append(f"SELECT {quoted(model.model_id)} AS run_name, {quoted(key)} AS key, {quoted(value)} AS value")
-        rows.append(f"SELECT {quoted(model.model_id)}, 'dataset_rows', count(*)::VARCHAR FROM benchmark")
+            rows.append(f"SELECT 'first run' AS run_id, {quoted(model.model_id)} AS run_name, {quoted(key)} AS key, {quoted(value)} AS value")
+        rows.append(f"SELECT 'first run', {quoted(model.model_id)}, 'dataset_rows', count(*)::VARCHAR FROM benchmark")
         rows.append(
-            f"SELECT {quoted(model.model_id)}, 'dataset_digest', "
+            f"SELECT 'first run', {quoted(model.model_id)}, 'dataset_digest', "
             "sum(('0x' || substr(md5(text), 1, 8))::BIGINT)::VARCHAR FROM benchmark"
         )
     return "\nUNION ALL\n".join(rows)
@@ -313,11 +313,11 @@ WITH means AS (
 asked AS (SELECT label AS question_id, list(x ORDER BY pos) AS q FROM means GROUP BY label),
 pairs AS (
   SELECT question_id, vec_id,
-         round(list_sum(list_transform(range(1, len(q) + 1),
-               lambda i: (embedding[i]::DOUBLE - q[i]) * (embedding[i]::DOUBLE - q[i]))), 6) AS distance
+         list_reduce([0::DOUBLE] || list_transform(range(1, len(q) + 1),
+               lambda i: (embedding[i]::DOUBLE - q[i]) * (embedding[i]::DOUBLE - q[i])), lambda x, y: x + y) AS exact
   FROM asked, embeddings)
-SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY distance, vec_id)::INTEGER AS rank,
-       vec_id, distance
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY exact, vec_id)::INTEGER AS rank,
+       vec_id, round(exact, 6) AS distance
 FROM pairs QUALIFY rank <= 10""",
     "context_groups": with_ctes(
         f"{HITS} contexts", "SELECT question_id, group_no, context, source FROM contexts"
@@ -364,6 +364,21 @@ first_even AS (
 SELECT question_id, question, coalesce(n || ' characters', {quoted(NO_ANSWER)}) AS answer,
        coalesce(source, 'NA') AS source, coalesce(context, 'NA') AS vector_doc
 FROM questions LEFT JOIN first_even USING (question_id)""".lstrip(),
+    ),
+    "qa_busy_model": with_ctes(
+        f"{HITS} contexts asked",
+        f"""
+, prompts AS (
+  SELECT question_id, group_no, length({rendered(MODELS[DEFAULT_MODEL].template)}) AS n FROM asked),
+first_even AS (
+  SELECT * FROM prompts WHERE n % 2 = 0 AND n % 3 <> 0
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY group_no) = 1),
+busy AS (
+  SELECT DISTINCT p.question_id FROM prompts p LEFT JOIN first_even f ON f.question_id = p.question_id
+  WHERE p.n % 3 = 0 AND p.group_no < coalesce(f.group_no, 1000000))
+SELECT question_id, coalesce(n || ' characters', {quoted(NO_ANSWER)}) AS answer,
+       CASE WHEN b.question_id IS NOT NULL THEN 'no answer within 0.05 seconds' END AS error
+FROM questions LEFT JOIN first_even USING (question_id) LEFT JOIN busy b USING (question_id)""".lstrip(),
     ),
     "answer_view": with_ctes(ANSWERS, "SELECT question_id, question, answer, vector_doc, source FROM answers"),
     "chat_history": """
@@ -374,7 +389,7 @@ WHERE u.role = 'user' AND a.role = 'assistant'""",
     "eval_log": with_ctes(
         ANSWERS,
         model_rows(
-            "SELECT {model_id} AS run_name, question AS questions, answer AS outputs, source, "
+            "SELECT 'first run' AS run_id, {model_id} AS run_name, question AS questions, answer AS outputs, source, "
             "{template} AS template FROM answers",
             list(MODELS.values()),
         ),

@@ -240,7 +240,21 @@ def qa_user_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = answer_questions_with_model(
         fx.questions(spark, sf_dir), fx.index(spark, sf_dir), _prompt_length
     )
-    return answers.drop("output_metadata")
+    return answers.drop("output_metadata", "error")
+
+
+def _often_busy(prompt: str) -> str:
+    """A stand-in for a model that stays busy for every third length of a prompt."""
+    if len(prompt) % 3 == 0:
+        raise ans.ModelBusy
+    return _prompt_length(prompt)
+
+
+def qa_busy_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = answer_questions_with_model(
+        fx.questions(spark, sf_dir), fx.index(spark, sf_dir), _often_busy, timeout_sec=0.05, pause_sec=0.02
+    )
+    return answers.select("question_id", "answer", "error")
 
 
 def answer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,12 +278,12 @@ def eval_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"{fx.fresh_database(spark)}.eval_log"
-    return log_evaluation(qa_batch(spark, sf_dir), list(MODELS.values()), name)
+    return log_evaluation(qa_batch(spark, sf_dir), list(MODELS.values()), name, "first run")
 
 
 def run_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"{fx.fresh_database(spark)}.run_params"
-    return log_run_parameters(fx.questions(spark, sf_dir), "benchmark", list(MODELS.values()), name)
+    return log_run_parameters(fx.questions(spark, sf_dir), "benchmark", list(MODELS.values()), name, "first run")
 
 
 # Streams
@@ -339,6 +353,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         first_good_answer,
         qa_batch,
         qa_user_model,
+        qa_busy_model,
         answer_view,
         chat_history,
         eval_questions,
