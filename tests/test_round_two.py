@@ -11,6 +11,7 @@ from folioseek.operators.index import build_index
 from folioseek.operators.retrieval import nearest
 from folioseek.plans.answering import answer_questions_with_model
 from folioseek.plans.evaluation import log_evaluation
+from workload import fixtures
 
 
 def test_close_vectors_are_ranked_before_rounding(spark):
@@ -106,3 +107,13 @@ def test_a_repeated_run_replaces_its_rows(spark, tmp_path):
     log_evaluation(answers, models[:1], "runs.log", "two")
     log = log_evaluation(answers, models, "runs.log", "one")
     assert sorted((r.run_id, r.run_name) for r in log.collect()) == sorted((i, m.model_id) for i in ("one", "two") for m in models)
+
+
+def test_paragraphs_are_whole(spark, tmp_path):
+    html = "<body><p><b>Bold</b> and <i>more</i><br>text<p>second &amp; last</p><footer>foot <a href='/x'>li<b>n</b>k</a></footer></body>"
+    spark.createDataFrame([(1, "u", html), (2, "u", "<p>open end"), (3, "u", "none")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = fixtures.page_paragraphs(spark, str(tmp_path)).orderBy("doc_id", "para_idx").collect()
+    assert [(r.doc_id, r.role, r.content) for r in rows] == [
+        (1, None, "Bold and more text"), (1, None, "second &amp; last"), (1, "pageFooter", "foot link"), (2, None, "open end"),
+    ]
+    assert [r.content for r in fixtures.page_cells(spark, str(tmp_path)).collect()] == ["link"]

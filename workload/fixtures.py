@@ -102,13 +102,22 @@ def layout_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A paragraph need not be closed: it ends where the next block begins or its parent ends.
+_BLOCK = r"(?=</?(?:p|article|body|footer|div|nav|h[1-6]|ul|table)\b|$)"
+
+
+def _plain(markup):
+    """Text of markup: line breaks are spaces, other tags are gone, entities stay as they are written."""
+    return F.regexp_replace(F.regexp_replace(markup, r"(?i)<br\s*/?>", " "), r"<[^>]*>", "")
+
+
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs and footers of web pages."""
+    """Paragraphs and footers of web pages, whole texts with the tags in them left out."""
     pages = spread_small(table(spark, sf_dir, "pages"), "page_id")
 
     def found(tag: str, role):
-        texts = F.regexp_extract_all("html", F.lit(f"<{tag}>([^<]*)"), F.lit(1))
-        return F.transform(texts, lambda text: F.struct(role.alias("role"), text.alias("content")))
+        texts = F.regexp_extract_all("html", F.lit(rf"(?s)<{tag}>(.*?){_BLOCK}"), F.lit(1))
+        return F.transform(texts, lambda text: F.struct(role.alias("role"), _plain(text).alias("content")))
 
     both = F.concat(found("p", F.lit(None).cast("string")), found("footer", F.lit("pageFooter")))
     return pages.select(F.col("page_id").alias("doc_id"), F.posexplode(both).alias("para_idx", "entry")).select(
@@ -119,7 +128,7 @@ def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link texts of web pages as the cells of one table."""
     pages = spread_small(table(spark, sf_dir, "pages"), "page_id")
-    links = F.regexp_extract_all("html", F.lit("<a [^>]*>([^<]*)"), F.lit(1))
+    links = F.transform(F.regexp_extract_all("html", F.lit(r"(?s)<a [^>]*>(.*?)</a>"), F.lit(1)), _plain)
     return pages.select(
         F.col("page_id").alias("doc_id"),
         F.lit(0).alias("table_idx"),

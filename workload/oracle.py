@@ -42,6 +42,12 @@ def clean(content: str) -> str:
     return f"trim({bare}, {quoted(BLANKS)})"
 
 
+def page_text(after: str) -> str:
+    """The text behind an opening tag, up to where a block begins or ends, without the tags in it."""
+    block = r"</?(p|article|body|footer|div|nav|h[1-6]|ul|table)\b"
+    return rf"regexp_replace(replace(regexp_split_to_array({after}, '{block}')[1], '<br>', ' '), '<[^>]*>', '', 'g')"
+
+
 def unmarked(content: str) -> str:
     return f"replace(replace({content}, ':selected:', ''), ':unselected:', '')"
 
@@ -271,20 +277,23 @@ FROM (SELECT doc_id, source, text, unnest(range(0, length(text), 462)) AS i FROM
     "layout_clean": with_ctes(
         LAYOUT, f"SELECT doc_id, table_idx, cell_idx, {clean('content')} AS clean FROM cells"
     ),
-    "layout_paragraphs": f"""
+    "layout_paragraphs": rf"""
 WITH found AS (
   SELECT page_id AS doc_id,
-         list_concat(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1),
-                                    lambda t: {{'role': NULL::VARCHAR, 'content': t}}),
-                     list_transform(regexp_extract_all(html, '<footer>([^<]*)', 1),
-                                    lambda t: {{'role': 'pageFooter', 'content': t}})) AS entries FROM pages),
+         list_concat(list_transform(string_split(html, '<p>')[2:],
+                                    lambda t: {{'role': NULL::VARCHAR, 'content': {page_text('t')}}}),
+                     list_transform(string_split(html, '<footer>')[2:],
+                                    lambda t: {{'role': 'pageFooter', 'content': {page_text('t')}}})) AS entries FROM pages),
 paragraphs AS (
   SELECT doc_id, unnest(range(0, len(entries)))::INTEGER AS para_idx, unnest(entries) AS entry FROM found),
 cleaned AS (
   SELECT doc_id, para_idx, entry.role AS role, {clean('entry.content')} AS clean FROM paragraphs),
 cell_texts AS (
   SELECT DISTINCT doc_id, {clean('content')} AS clean
-  FROM (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<a [^>]*>([^<]*)', 1)) AS content FROM pages))
+  FROM (SELECT page_id AS doc_id,
+               unnest(list_transform(string_split(html, '<a ')[2:], lambda t:
+                 regexp_replace(split_part(substr(t, strpos(t, '>') + 1), '</a>', 1), '<[^>]*>', '', 'g'))) AS content
+        FROM pages))
 SELECT doc_id, para_idx, role, clean FROM cleaned ANTI JOIN cell_texts USING (doc_id, clean)
 WHERE coalesce(role, '') NOT IN ('pageNumber', 'pageFooter')""",
     "layout_headers": with_ctes(
