@@ -247,8 +247,9 @@ def replaced(documents: DataFrame, key: str) -> DataFrame:
     new = written(one.groupBy("key").agg(listed, F.sum("changed").alias("n_entities")), "new")
     gaps = F.split("text", ENTITY, -1)
     text = let(
-        F.col("new"),
+        F.col("new entities"),
         lambda n: F.array_join(F.transform(gaps, lambda gap, i: F.concat(F.coalesce(F.get(n, i - 1)["new"], F.lit("")), gap)), ""),
     )
-    changed = hits.join(new, F.col("key of the text") == F.col("key")).withColumn("text", text)
+    new = new.select(F.col("key").alias("key of the new text"), F.col("new").alias("new entities"), "n_entities")
+    changed = hits.join(new, F.col("key of the text") == F.col("key of the new text")).withColumn("text", text)
     return clean.unionByName(changed.select(*clean.columns))
