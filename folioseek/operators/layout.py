@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioseek.functions.text import clean_layout_text, drop_selection_marks
+from folioseek.sources.scratch import written
 
 # Roles of paragraphs that are left out, kinds of cells, heading line.
 LEFT_OUT_ROLES = ("pageNumber", "pageFooter")
@@ -32,11 +33,10 @@ def mark_paragraphs(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
     A paragraph is left out for its role, or when its clean text is the clean
     text of a cell of the same document. A paragraph without a role is kept.
     """
-    cell_texts = (
-        cells.select("doc_id", clean_layout_text(F.col("content")).alias("clean"))
-        .distinct()
-        .withColumn("in_table", F.lit(True))
-    )
+    cell_texts = cells.select("doc_id", clean_layout_text(F.col("content")).alias("clean")).distinct()
+    # Written, so that the join has a plain shuffle on both sides: adaptive
+    # execution splits a skewed key only where no sum stands above the shuffle.
+    cell_texts = written(cell_texts, "cell-texts").withColumn("in_table", F.lit(True))
     cleaned = paragraphs.withColumn("clean", clean_layout_text(F.col("content")))
     left_out = F.coalesce(F.col("role"), F.lit("")).isin(*LEFT_OUT_ROLES)
     # Both sides grow with the corpus. A merge join spills where it has to, and
@@ -51,7 +51,9 @@ def mark_paragraphs(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
 def kept_paragraphs(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
     """``(doc_id, para_idx, role, clean)`` of the paragraphs that are printed."""
     left_out = F.coalesce(F.col("role"), F.lit("")).isin(*LEFT_OUT_ROLES)
-    cell_texts = cells.select("doc_id", clean_layout_text(F.col("content")).alias("clean")).distinct()
+    # Not made distinct: an anti join does not need it, and a sum above the
+    # shuffle would keep adaptive execution from splitting a hot text.
+    cell_texts = cells.select("doc_id", clean_layout_text(F.col("content")).alias("clean"))
     cleaned = paragraphs.where(~left_out).withColumn("clean", clean_layout_text(F.col("content")))
     return cleaned.join(cell_texts.hint("merge"), ["doc_id", "clean"], "left_anti").select(
         "doc_id", "para_idx", "role", "clean"

@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioseek.operators.index import ChunkIndex, build_index
-from folioseek.sources.files import spread_small
+from folioseek.sources.files import read_binary, spread_small
 from folioseek.sources.scratch import fresh_path
 from folioseek.sources.tables import use_database
 
@@ -27,6 +27,15 @@ def spread_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_small(corpus(spark, sf_dir), "doc_id")
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of their own, read back as ``source, content``."""
+    path = fresh_path(spark, "files")
+    documents = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    documents.write.partitionBy("doc_id").option("lineSep", "\f").text(path)
+    name = F.concat(F.lit("file-"), F.regexp_extract("source", r"doc_id=(\d+)/", 1))
+    return read_binary(spark, path, "*.txt").select(name.alias("source"), "content")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = table(spark, sf_dir, "benchmark")
     return benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))

@@ -200,6 +200,19 @@ FROM questions LEFT JOIN first_good USING (question_id)""",
 LAYOUT = "lines placed cells"
 FLATTENED = f"{LAYOUT} paragraphs headed cell_texts printed flattened"
 LAYOUT_DOCUMENTS = "(SELECT doc_id, NULL AS source, full_text AS text FROM flattened)"
+# Pages of 20 lines, and documents whose lines are followed by a table of their lengths.
+PAGE_DOCUMENTS = """(
+  SELECT 'file-' || doc_id || '#page=' || (pos // 20) AS doc_id, 'file-' || doc_id AS source, (pos // 20)::INTEGER AS page,
+         string_agg(line, chr(10) ORDER BY pos) AS text
+  FROM (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) GROUP BY doc_id, pos // 20)"""
+LINE_DOCUMENTS = f"""(
+  SELECT 'file-' || doc_id AS doc_id, 'file-' || doc_id AS source,
+         list_aggregate(list_filter(list_transform(l, lambda x: {clean('x')}),
+           lambda x: NOT list_contains(list_transform(l, lambda y: length(y)::VARCHAR), x)) || ['Below is a Table:']
+           || list_transform(range(0, len(l)), lambda i: concat('Cell[', i, '][0] has text ''', length(l[i + 1]), '''')),
+           'string_agg', chr(10)) AS text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 VECTORS = "chunks chunk_tokens questions question_tokens words word_bytes crc_bytes buckets chunk_vectors"
 HITS = (
     f"{VECTORS} question_vectors num dfs question_weights question_norms "
@@ -307,6 +320,12 @@ WHERE coalesce(role, '') NOT IN ('pageNumber', 'pageFooter')""",
     "layout_chunks": with_ctes(
         FLATTENED, f"SELECT doc_id, chunk_no, num_chunks, text FROM ({chunks(512, 50, LAYOUT_DOCUMENTS)})"
     ),
+    "ingest_pages": f"""
+SELECT d.doc_id, d.source, page, chunk_no, num_chunks, c.text
+FROM ({chunks(512, 50, PAGE_DOCUMENTS)}) c JOIN {PAGE_DOCUMENTS} d USING (doc_id)""",
+    "ingest_layout": f"""
+SELECT doc_id, source, NULL::INTEGER AS page, chunk_no, num_chunks, text
+FROM ({chunks(512, 50, LINE_DOCUMENTS)})""",
     "embed_hashed": with_ctes(VECTORS, "SELECT doc_id, chunk_no, bucket, tf FROM chunk_vectors"),
     "index_build": INDEX_ROWS,
     "question_prefix": f"SELECT item_id AS question_id, {quoted(QUESTION_PREFIX)} || text AS text FROM benchmark",

@@ -18,6 +18,7 @@ from folioseek.operators.embedders import HashedTerms, UserVectors
 from folioseek.operators.index import build_index, complete_index, indexed_chunks, open_index
 from folioseek.operators.retrieval import nearest
 from folioseek.plans.answering import answer_questions, answer_questions_with_model
+from folioseek.plans.ingest import ingest
 from folioseek.plans.evaluation import log_evaluation, log_run_parameters
 from folioseek.sources.files import decode_pages, spare_cores
 from folioseek.sources.scratch import fresh_path
@@ -124,6 +125,40 @@ def layout_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_blocks(blocks, ["section", "table_idx", "blk"])
 
 
+# Files to an index
+
+
+def _ingested(spark: SparkSession, sf_dir: str, **reader) -> DataFrame:
+    table = f"{fx.fresh_database(spark)}.corpus"
+    index = ingest(fx.document_files(spark, sf_dir), table, fresh_path(spark, "index"), **reader)
+    pages = spark.table(table).select("doc_id", "page")
+    return index.chunks.join(pages, "doc_id").select("doc_id", "source", "page", "chunk_no", "num_chunks", "text")
+
+
+def _twenty_lines(content: bytes) -> list[str]:
+    """A stand-in for a decoder of binary files: every 20 lines are a page."""
+    lines = content.decode("utf-8").removesuffix("\f").split("\n")
+    return ["\n".join(lines[i : i + 20]) for i in range(0, len(lines), 20)]
+
+
+def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested(spark, sf_dir, decode=_twenty_lines)
+
+
+def _lines_and_a_table(content: bytes) -> dict[str, list[dict]]:
+    """A stand-in for a layout service: lines are paragraphs, their lengths a table."""
+    lines = content.decode("utf-8").removesuffix("\f").split("\n")
+    cells = [
+        {"table_idx": 0, "cell_idx": i, "row_index": i, "column_index": 0, "kind": "content", "content": str(len(line))}
+        for i, line in enumerate(lines)
+    ]
+    return {"paragraphs": [{"role": None, "content": line} for line in lines], "cells": cells}
+
+
+def ingest_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested(spark, sf_dir, analyze=_lines_and_a_table)
+
+
 # Vectors and retrieval
 
 
@@ -337,6 +372,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         layout_cells,
         layout_flatten,
         layout_chunks,
+        ingest_pages,
+        ingest_layout,
         embed_hashed,
         index_build,
         question_prefix,
