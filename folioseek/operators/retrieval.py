@@ -17,9 +17,11 @@ from folioseek.sources.scratch import fresh_path, written
 MAX_BLOCK_CELLS = 8_000_000
 MAX_BLOCK_HITS = 400_000
 
-# Tasks of a search per core. Each task hands on k rows per question, so a
-# large index is read in few long tasks and not in one task per file split.
+# Each task of a search hands on k rows per question, so file splits are read
+# several in one task: as many tasks per core, or as many splits per task,
+# whichever makes more tasks.
 TASKS_PER_CORE = 8
+SPLITS_PER_TASK = 64
 
 
 class BestRows:
@@ -97,8 +99,10 @@ def _search_block(
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = ", ".join(f"{name} {kind}" for name, kind in types.items())
-    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    found = vectors.select(column, *ids).coalesce(tasks).mapInArrow(best, schema)
+    stored = vectors.select(column, *ids)
+    splits = stored.rdd.getNumPartitions()
+    tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-splits // SPLITS_PER_TASK))
+    found = stored.coalesce(tasks).mapInArrow(best, schema)
     # The window sees k rows per task and question, not one per chunk.
     ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), *[F.asc(name) for name in ids])
     best_found = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +32,32 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
+# The folders of the operations that are open in this thread, the innermost last.
+_OPEN = threading.local()
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Folders that ``fresh_path`` names inside are dropped at the end.
+
+    For an operation that has written its result elsewhere by then.
+    """
+    _OPEN.stack = [*getattr(_OPEN, "stack", []), []]
+    try:
+        yield
+    finally:
+        *_OPEN.stack, paths = _OPEN.stack
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody else uses."""
-    return f"{shared_folder(spark)}/folioseek/{name}-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/folioseek/{name}-{uuid4().hex}"
+    if getattr(_OPEN, "stack", None):
+        _OPEN.stack[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from folioseek.config import ChunkSettings
 from folioseek.operators.embedders import HashedTerms
 from folioseek.operators.index import ChunkIndex, indexed_chunks
 from folioseek.plans.answering import answer_questions
+from folioseek.sources.scratch import owned
 
 
 def stream_chunks(
@@ -49,12 +50,14 @@ def stream_answers(
     """Answer arriving ``(question_id, question)`` rows.
 
     Each batch is answered by the batch plan and replaces its own folder, so a
-    batch that is run again after a failure leaves its answers once.
+    batch that is run again after a failure leaves its answers once. What a
+    batch writes on its way is dropped with it.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        answers = answer_questions(batch, index, k)
-        answers.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        with owned(batch.sparkSession):
+            answers = answer_questions(batch, index, k)
+            answers.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         questions.writeStream.foreachBatch(answer)

@@ -11,6 +11,7 @@ from folioseek.operators.index import build_index
 from folioseek.operators.retrieval import nearest
 from folioseek.plans.answering import answer_questions_with_model
 from folioseek.plans.evaluation import log_evaluation
+from folioseek.sources import scratch
 from workload import fixtures
 
 
@@ -117,3 +118,14 @@ def test_paragraphs_are_whole(spark, tmp_path):
         (1, None, "Bold and more text"), (1, None, "second &amp; last"), (1, "pageFooter", "foot link"), (2, None, "open end"),
     ]
     assert [r.content for r in fixtures.page_cells(spark, str(tmp_path)).collect()] == ["link"]
+
+
+def test_an_operation_drops_its_tables(spark):
+    kept = scratch.written(spark.range(3).toDF("x"), "kept")
+    with scratch.owned(spark):
+        dropped = scratch.written(spark.range(3).toDF("x"), "dropped")
+        (path,) = scratch._OPEN.stack[-1]
+        assert dropped.count() == 3
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
