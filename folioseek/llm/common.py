@@ -61,8 +61,18 @@ class Tokens:
         return self.codes[self.starts[text] : self.starts[text + 1]]
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each distinct word."""
-        return np.array([xxhash.xxh3_64_intdigest(word) for word in self.distinct.to_pylist()], dtype=np.uint64)
+        """A 64-bit hash of each distinct word: a sum of random numbers for its bytes at their places."""
+        if not len(self.distinct):
+            return np.zeros(0, np.uint64)
+        _, offsets, data = self.distinct.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int32)[self.distinct.offset : self.distinct.offset + len(self.distinct) + 1].astype(np.int64)
+        data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
+        lengths, starts = np.diff(offsets), offsets[:-1] - offsets[0]
+        place = np.arange(len(data)) - np.repeat(starts, lengths)
+        values = BYTE_NUMBERS[place & (len(BYTE_NUMBERS) - 1), data]
+        if lengths.max() > len(BYTE_NUMBERS):
+            values = values * (mixed((place // len(BYTE_NUMBERS)).astype(np.uint64)) | np.uint64(1))
+        return mixed(np.add.reduceat(values, starts) + lengths.astype(np.uint64))
 
 
 def tokens(texts: pa.Array, members: np.ndarray = WORD_BYTES) -> Tokens:
@@ -138,6 +148,10 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+# Random numbers for 64 places and 256 bytes; further places take a multiple of them.
+BYTE_NUMBERS = mixed(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(64, 256)
+
+
 def numbers(seed: str, count: int) -> np.ndarray:
     """Odd 64-bit integers that a name stands for, the same on every machine."""
     return np.array([xxhash.xxh3_64_intdigest(f"{seed} {i}".encode()) | 1 for i in range(count)], dtype=np.uint64)

@@ -80,13 +80,21 @@ class Monotone:
         rest -= np.where(byte > 0, total[rows, byte - 1], 0)
         return block * BLOCK_BITS + word * 64 + byte * 8 + _PLACE[bytes_[rows, byte], rest]
 
+    def _ones_from(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand in a row from a place on, up to 64."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        following = self.bits[np.minimum(word + 1, len(self.bits) - 1)]
+        window = (self.bits[word] >> shift) | (following << (_U(63) - shift) << _U(1))
+        zeros = ~window
+        return np.bitwise_count((zeros & (~zeros + _U(1))) - _U(1)).astype(np.int64)
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), dtype=np.int64)
         at = i * self.width
         word, shift = at >> 6, (at & 63).astype(np.uint64)
         value = self.low[word] >> shift
-        value |= np.where(shift > 0, self.low[word + 1] << (_U(63) - shift + (shift == 0).astype(np.uint64)) << _U(1), _U(0))
+        value |= self.low[word + 1] << (_U(63) - shift) << _U(1)
         return (value & _U((1 << self.width) - 1)).astype(np.int64)
 
     def at(self, i: np.ndarray) -> np.ndarray:
@@ -104,7 +112,11 @@ class Monotone:
         within = np.flatnonzero((values >= 0) & (high < len(self.bits) * 64 - self.n - 1))
         values, high = values[within], high[within]
         begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
-        end = self._select(high, False)
+        end = begin + self._ones_from(begin)
+        # A run of ones that fills the window may go on; its end is the next zero.
+        long = np.flatnonzero(end - begin == 64)
+        if len(long):
+            end[long] = self._select(high[long], False)
         low = begin - high
         stop = end - high
         last = stop.copy()

@@ -43,8 +43,11 @@ def quantised(probabilities: np.ndarray) -> np.ndarray:
     return np.clip(codes, 0, LARGEST_CODE).astype(np.uint16)
 
 
+_PROBABILITIES = np.exp2(np.arange(LARGEST_CODE + 1) / -STEPS)
+
+
 def restored(codes: np.ndarray) -> np.ndarray:
-    return np.exp2(codes.astype(np.float64) / -STEPS)
+    return _PROBABILITIES[codes]
 
 
 def smallest(values: np.ndarray) -> np.ndarray:
@@ -190,13 +193,12 @@ class Level:
         return self._shards[number]
 
     def _routed(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """The shards and the places of the keys that lie in their ranges."""
+        """The shards and the places of the keys that lie in their ranges, in the order of keys."""
         if not self.rows or not len(keys):
             return
-        number = np.searchsorted(self.firsts, keys, side="right") - 1
-        order = np.argsort(number, kind="stable")
-        cuts = np.searchsorted(number[order], np.arange(len(self.rows) + 1))
-        for shard in np.unique(number[number >= 0]):
+        order = np.argsort(keys)
+        cuts = np.append(np.searchsorted(keys, self.firsts, sorter=order), len(keys))
+        for shard in np.flatnonzero(np.diff(cuts)):
             yield int(shard), order[cuts[shard] : cuts[shard + 1]]
 
     def words(self, keys: np.ndarray) -> np.ndarray:
@@ -213,14 +215,18 @@ class Level:
 
     def probabilities(self, entries: np.ndarray) -> np.ndarray:
         """Discounted probabilities of entries, zero for -1."""
-        return np.where(entries >= 0, restored(self._values(entries, "probabilities")), 0.0)
+        result = np.zeros(len(entries))
+        known = np.flatnonzero(entries >= 0)
+        result[known] = restored(self._values(entries[known], "probabilities"))
+        return result
 
     def _values(self, entries: np.ndarray, name: str) -> np.ndarray:
         result = np.zeros(len(entries), dtype=np.int64)
         known = np.flatnonzero(entries >= 0)
-        number = np.searchsorted(self.offsets, entries[known], side="right") - 1
-        for shard in np.unique(number):
-            here = known[number == shard]
+        order = known[np.argsort(entries[known])]
+        cuts = np.searchsorted(entries[order], self.offsets)
+        for shard in np.flatnonzero(np.diff(cuts)):
+            here = order[cuts[shard] : cuts[shard + 1]]
             result[here] = self._shard(int(shard))[0][name][entries[here] - self.offsets[shard]]
         return result
 
@@ -233,9 +239,13 @@ class Level:
             sequences = self._shard(shard)[1]
             low = self.rows[shard].first >> WORD_BITS
             places = places[(contexts[asked[places]] - low) < sequences["pointers"].n - 1]
+            if not len(places):
+                continue
             here = asked[places]
-            # A context occurs many times in a batch; where it begins is looked up once.
-            distinct, place = np.unique(contexts[here], return_inverse=True)
+            # Keys are in order, so equal contexts stand together; where one begins is looked up once.
+            context = contexts[here]
+            first = np.concatenate([[True], context[1:] != context[:-1]])
+            distinct, place = context[first], np.cumsum(first) - 1
             begin = sequences["pointers"].at(distinct - low)
             end = sequences["pointers"].at(distinct - low + 1)
             base = np.zeros(len(distinct), dtype=np.int64)
@@ -249,18 +259,18 @@ class Level:
         return found
 
     def weights(self, contexts: np.ndarray) -> np.ndarray:
-        """Back-off weights; one for a context without entries."""
+        """Back-off weights; one for a context without entries and for -1."""
         result = np.ones(len(contexts))
-        if not self.rows:
+        known = np.flatnonzero(contexts >= 0)
+        if not self.rows or not len(known):
             return result
-        keys = contexts << WORD_BITS
-        for shard, places in self._routed(np.where(contexts >= 0, keys | ((1 << WORD_BITS) - 1), -1)):
-            places = places[contexts[places] >= 0]
+        own = contexts[known]
+        weight = np.ones(len(own))
+        for shard, places in self._routed((own << WORD_BITS) | ((1 << WORD_BITS) - 1)):
             arrays, sequences = self._shard(shard)
-            local = contexts[places] - (self.rows[shard].first >> WORD_BITS)
+            local = own[places] - (self.rows[shard].first >> WORD_BITS)
             inside = local < sequences["pointers"].n - 1
-            result[places[inside]] = restored(arrays["weights"][local[inside]])
-        if len(self.end_contexts):
-            at = np.minimum(np.searchsorted(self.end_contexts, contexts), len(self.end_contexts) - 1)
-            result = np.where(self.end_contexts[at] == contexts, self.end_weights[at], result)
+            weight[places[inside]] = restored(arrays["weights"][local[inside]])
+        at = np.minimum(np.searchsorted(self.end_contexts, own), len(self.end_contexts) - 1)
+        result[known] = np.where(self.end_contexts[at] == own, self.end_weights[at], weight)
         return result
