@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -107,15 +108,16 @@ def tokens(texts: pa.Array, members: np.ndarray = WORD_BYTES) -> Tokens:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches with about ``SLICE_BYTES`` of text, or one row with more."""
     for batch in batches:
-        texts = batch.column(column).cast(pa.large_binary())
-        lengths = np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
-        ends = np.cumsum(lengths)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
         first = 0
         while first < batch.num_rows:
             done = ends[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
             yield batch.slice(first, last - first)
             first = last
+        # What a batch took is given back before the next one comes.
+        pa.default_memory_pool().release_unused()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
