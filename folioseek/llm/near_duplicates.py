@@ -241,15 +241,37 @@ def _suspects(percent: int):
     return keep
 
 
+def _linked(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Those of the pairs ``a, b`` whose sets are similar enough; ``a`` is in order.
+
+    The members of one set are marked, and the marks are summed over all the
+    sets that it is compared with at once.
+    """
+    if not len(a):
+        return []
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    members = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marks = np.zeros(len(members), dtype=np.int64)
+    linked = []
+    for own, first, count in zip(*np.unique(a, return_index=True, return_counts=True), strict=True):
+        others = b[first : first + count]
+        ends = np.cumsum(sizes[others])
+        places = np.arange(ends[-1]) + np.repeat(starts[others] - (ends - sizes[others]), sizes[others])
+        mine = members[starts[own] : starts[own] + sizes[own]]
+        marks[mine] = 1
+        common = np.add.reduceat(marks[members[places]], ends - sizes[others])
+        marks[mine] = 0
+        near = 100 * common >= percent * (sizes[own] + sizes[others] - common)
+        linked += [(int(own), int(other)) for other in others[near]]
+    return linked
+
+
 def _compared(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, ["band", "low", "high"]):
             sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in rows.column("shingles")]
-            linked = []
-            for a, b in zip(*_candidates(rows, percent), strict=True):
-                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
-                    linked.append((a, b))
+            linked = _linked(sets, *_candidates(rows, percent), percent)
             if linked:
                 ids = rows.column("class")
                 a, b = (ids.take(pa.array(places)) for places in zip(*linked, strict=True))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -74,7 +75,14 @@ def test_signature_estimates_similarity():
     common, rest = draw.integers(1, 2**62, 800).astype(np.uint64), draw.integers(1, 2**62, 200).astype(np.uint64)
     a, b = (nd.signature(np.unique(s)) for s in (np.concatenate([common, rest[:100]]), np.concatenate([common, rest[100:]])))
     assert abs((a == b).mean() - 0.8**nd.ROWS) < 0.3
-    assert nd.shared_bands(85) >= 3 and nd.shared_bands(80) >= 2
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_required_bands_lose_one_pair_in_a_million_at_most(percent):
+    equal = (percent / 100) ** nd.ROWS
+    bands = nd.shared_bands(percent)
+    lost = [sum(math.comb(nd.BANDS, k) * equal**k * (1 - equal) ** (nd.BANDS - k) for k in range(n)) for n in (bands, bands + 1)]
+    assert lost[0] <= 1e-6 < lost[1]
 
 
 def test_shingles_do_not_cross_texts():
