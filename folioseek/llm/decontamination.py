@@ -8,11 +8,11 @@ a block, which knows the greatest weight of each word in it.
 
 Passages are windows of two strides, one stride apart, so any run of
 ``STRIDE`` words lies in one of them whole. Each passage is a query. Block-max
-WAND, over all passages of a batch at once: words that stand in few blocks are
-added up block by block, words that stand in many are added as their greatest
-weight without a look at their postings; only blocks whose bound reaches the
-threshold are scored in full. The bound never lies under the score, so every
-segment at or above ``MIN_SCORE`` is found.
+WAND, over all passages of a batch at once: the greatest weights of a
+passage's distinct words are added up block by block, from lists of blocks or,
+for words that stand in many, from a matrix; only passages and blocks whose
+bound reaches the threshold are scored segment by segment. The bound never
+lies under the score, so every segment at or above ``MIN_SCORE`` is found.
 
 What is found is verified against the whole text: an item leaks if at least
 ``MIN_OVERLAP`` of the words of its question, and of its answer, stand in runs
@@ -35,9 +35,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from folioseek.llm.common import byte_class, slices, tokens
+from folioseek.llm.common import Tokens, byte_class, slices, tokens
 
 WORD = byte_class(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + bytes(range(128, 256)))
 STRIDE = 32
@@ -80,12 +81,44 @@ class Item:
     answer: np.ndarray
 
 
+class Postings:
+    """Weights of words in columns (blocks or segments): lists by word, and a matrix for the few words of many columns."""
+
+    def __init__(self, rows: list[tuple[int, int, float]], size: int, columns: int, common: np.ndarray | None = None):
+        rows = sorted(rows)
+        words = np.array([word for word, *_ in rows], dtype=np.int64)
+        self.column = np.array([column for _, column, _ in rows], dtype=np.int64)
+        self.weight = np.array([weight for *_, weight in rows])
+        self.columns = columns
+        self.first = np.searchsorted(words, np.arange(size + 1))
+        # A small index walks the lists of all words.
+        self.common = np.diff(self.first) > max(16, COMMON * columns) if common is None else common
+        self.place = np.cumsum(self.common) - 1
+        self.matrix = np.zeros((int(self.common.sum()), columns))
+        dense = self.common[words]
+        self.matrix[self.place[words[dense]], self.column[dense]] = self.weight[dense]
+
+    def sums(self, row: np.ndarray, word: np.ndarray, rows: int) -> np.ndarray:
+        """For each row the sums of the weights of its distinct words, by column."""
+        dense = self.common[word]
+        present = np.zeros((rows, len(self.matrix)))
+        present[row[dense], self.place[word[dense]]] = 1.0
+        row, word = row[~dense], word[~dense]
+        begin = self.first[word]
+        count = self.first[word + 1] - begin
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.arange(total) - np.repeat(ends - count, count) + np.repeat(begin, count)
+        cell = np.repeat(row, count) * self.columns + self.column[place]
+        return present @ self.matrix + np.bincount(cell, self.weight[place], rows * self.columns).reshape(rows, self.columns)
+
+
 class ItemIndex:
     """The inverted index of a block of items."""
 
     def __init__(self, rows: Sequence[tuple]):
         found = tokens(pa.array([part for _, *parts in rows for part in parts], pa.string()), WORD)
-        self.words = {word: i for i, word in enumerate(found.distinct.to_pylist())}
+        self.words = found.distinct
         self.items = [Item(row[0], found.of(2 * i), found.of(2 * i + 1)) for i, row in enumerate(rows)]
         segments, self.item_of = [], []
         for number, item in enumerate(self.items):
@@ -96,6 +129,11 @@ class ItemIndex:
                     self.item_of.append(number)
         self._weigh(segments)
 
+    def ids(self, found: Tokens) -> np.ndarray:
+        """The word of the index for each distinct word of some texts, -1 for none."""
+        place = pc.index_in(found.distinct, value_set=self.words)
+        return place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
     def _weigh(self, segments: list[tuple[np.ndarray, np.ndarray]]) -> None:
         size = len(self.words)
         self.blocks = -(-len(segments) // BLOCK)
@@ -114,77 +152,52 @@ class ItemIndex:
             for word, weight in zip(words.tolist(), weights.tolist(), strict=True):
                 key = (word, number // BLOCK)
                 tops[key] = max(tops.get(key, 0.0), weight)
-        postings = sorted(tops.items())
-        self.posting_block = np.array([block for (_, block), _ in postings], dtype=np.int64)
-        self.posting_weight = np.array([weight for _, weight in postings])
-        self.first = np.searchsorted(np.array([word for (word, _), _ in postings], dtype=np.int64), np.arange(size + 1))
-        self.top = np.zeros(size)
-        for (word, _), weight in postings:
-            self.top[word] = max(self.top[word], weight)
-        # Words in many blocks are only bounded; a small index walks all of them.
-        self.common = np.diff(self.first) > max(16, COMMON * self.blocks)
-
-    def candidates(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """``(text, first word, end word, block)`` of passages whose bound for a block reaches the threshold.
+        self.in_blocks = Postings([(word, block, weight) for (word, block), weight in tops.items()], size, self.blocks)
+        rows = [(w, number, x) for number, (words, weights) in enumerate(self.segments) for w, x in zip(words.tolist(), weights.tolist(), strict=True)]
+        self.in_segments = Postings(rows, size, len(segments), common=self.in_blocks.common)
+        self.block_of = np.arange(len(segments)) // BLOCK
+        self.item_of = np.array(self.item_of, dtype=np.int64)
+
+    def above(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """``(text, first word, segment, score)`` of all passages and segments at or above the threshold, as arrays.
 
         ``ids`` are the words of all texts, -1 if in no item; text ``i`` has ``starts[i]`` to ``starts[i + 1]``.
         """
         counts = -(-np.diff(starts) // STRIDE)
-        first_half = np.concatenate([[0], np.cumsum(counts)])
+        first = np.concatenate([[0], np.cumsum(counts)])
         text_of = np.repeat(np.arange(len(counts)), counts)
         places = np.flatnonzero(ids >= 0)
-        if not len(places):
-            return
         text = np.searchsorted(starts, places, side="right") - 1
-        half = first_half[text] + (places - starts[text]) // STRIDE
+        stride = first[text] + (places - starts[text]) // STRIDE
+        # A passage is a stride and the next one of its text; each of its words counts once.
         size = len(self.words)
-        keys = np.unique(half * size + ids[places])
-        half, word = keys // size, keys % size
-        bound = np.zeros(len(text_of) + 1)
-        rest = self.common[word]
-        bound[:-1] = np.bincount(half[rest], self.top[word[rest]], len(text_of))
-        half, word = half[~rest], word[~rest]
-        step = max(2, CELLS // max(1, self.blocks))
-        for low in range(0, len(text_of), step - 1):
+        own = stride * size + ids[places]
+        keys = np.unique(np.concatenate([own, own[stride > first[text]] - size]))
+        passage, word = keys // size, keys % size
+        step = max(1, CELLS // max(1, len(self.segments)))
+        for low in range(0, len(text_of), step):
             high = min(low + step, len(text_of))
-            here = slice(*np.searchsorted(half, [low, high]))
-            cells = self._sums(half[here] - low, word[here], high - low)
-            second = np.zeros_like(cells)
-            second[:-1] = cells[1:] + bound[low + 1 : high, None]
-            same = np.append(text_of[low + 1 : high] == text_of[low : high - 1], False)
-            total = cells + bound[low:high, None] + second * same[:, None]
-            last = high < len(text_of)
-            for row, block in zip(*np.nonzero(total[: len(total) - last] >= MIN_SCORE - 1e-9), strict=True):
-                at = low + int(row)
-                start = int(starts[text_of[at]]) + (at - int(first_half[text_of[at]])) * STRIDE
-                yield int(text_of[at]), start, min(start + 2 * STRIDE, int(starts[text_of[at] + 1])), int(block)
-
-    def _sums(self, half: np.ndarray, word: np.ndarray, halves: int) -> np.ndarray:
-        begin = self.first[word]
-        count = self.first[word + 1] - begin
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.arange(total) - np.repeat(ends - count, count) + np.repeat(begin, count)
-        cell = np.repeat(half, count) * self.blocks + self.posting_block[place]
-        return np.bincount(cell, self.posting_weight[place], halves * self.blocks).reshape(halves, self.blocks)
-
-    def scored(self, passage: np.ndarray, block: int) -> Iterator[tuple[int, float]]:
-        """Items of a block with a segment at or above the threshold for a passage, and its score."""
-        present = np.zeros(len(self.words), dtype=bool)
-        present[passage[passage >= 0]] = True
-        for number in range(block * BLOCK, min((block + 1) * BLOCK, len(self.segments))):
-            words, weights = self.segments[number]
-            score = float(weights[present[words]].sum())
-            if score >= MIN_SCORE - 1e-9:
-                yield self.item_of[number], score
+            here = slice(*np.searchsorted(passage, [low, high]))
+            rows, words = passage[here] - low, word[here]
+            bounds = self.in_blocks.sums(rows, words, high - low) >= MIN_SCORE - 1e-9
+            reached = np.flatnonzero(bounds.any(axis=1))
+            if not len(reached):
+                continue
+            again = np.isin(rows, reached)
+            place = np.searchsorted(reached, rows[again])
+            scores = self.in_segments.sums(place, words[again], len(reached))
+            wanted = (scores >= MIN_SCORE - 1e-9) & bounds[reached][:, self.block_of]
+            row, segment = np.nonzero(wanted)
+            at = low + reached[row]
+            yield text_of[at], starts[text_of[at]] + (at - first[text_of[at]]) * STRIDE, segment, scores[row, segment]
 
     def search(self, ids: np.ndarray, starts: np.ndarray) -> dict[int, list[tuple]]:
         """For each text with leaks their ``(item_id, score, question_overlap, answer_overlap)``."""
         if not self.segments:
             return {}
         found: dict[tuple[int, int], float] = {}
-        for text, begin, end, block in self.candidates(ids, starts):
-            for item, score in self.scored(ids[begin:end], block):
+        for texts, _, segments, scores in self.above(ids, starts):
+            for text, item, score in zip(texts.tolist(), self.item_of[segments].tolist(), scores.tolist(), strict=True):
                 found[text, item] = max(score, found.get((text, item), 0.0))
         leaks: dict[int, dict] = {}
         held: tuple[int, np.ndarray] | None = None
@@ -244,8 +257,7 @@ def _searcher(rows: list[tuple], keep: list[str], item_type: pa.DataType):
         index = ItemIndex(rows)
         for batch in slices(batches):
             found = tokens(batch.column("text"), WORD)
-            lookup = np.array([index.words.get(word, -1) for word in found.distinct.to_pylist()] or [-1], dtype=np.int64)
-            leaks = index.search(lookup[found.codes], found.starts)
+            leaks = index.search(index.ids(found)[found.codes], found.starts)
             names = ("item_id", "score", "question_overlap", "answer_overlap")
             values = [[dict(zip(names, leak, strict=True)) for leak in leaks.get(i, [])] for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(values, kind)], [*keep, "leaks"])

@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -21,8 +20,7 @@ def items():
 
 def text_ids(index, texts):
     found = tokens(pa.array(texts, pa.string()), dc.WORD)
-    lookup = np.array([index.words.get(w, -1) for w in found.distinct.to_pylist()] or [-1], dtype=np.int64)
-    return lookup[found.codes], found.starts
+    return index.ids(found)[found.codes], found.starts
 
 
 @pytest.mark.parametrize("cells", [dc.CELLS, 64])
@@ -34,9 +32,9 @@ def test_search_finds_every_segment_above_the_threshold(items, monkeypatch, cell
     texts += [words(draw, 50) + " " + f"{q} {a}" + " " + words(draw, 45) for _, q, a in items[::4]] + [None]
     ids, starts = text_ids(index, texts)
     found = {
-        (text, begin, item, round(score, 9))
-        for text, begin, end, block in index.candidates(ids, starts)
-        for item, score in index.scored(ids[begin:end], block)
+        (int(text), int(begin), int(segment), round(float(score), 9))
+        for arrays in index.above(ids, starts)
+        for text, begin, segment, score in zip(*arrays, strict=True)
     }
     expected = set()
     for text in range(len(texts)):
@@ -45,8 +43,10 @@ def test_search_finds_every_segment_above_the_threshold(items, monkeypatch, cell
             for number, (own, weights) in enumerate(index.segments):
                 score = sum(w for t, w in zip(own.tolist(), weights.tolist(), strict=True) if t in passage)
                 if score >= dc.MIN_SCORE:
-                    expected.add((text, int(begin), index.item_of[number], round(score, 9)))
-    assert expected <= found and all(score >= dc.MIN_SCORE - 1e-6 for *_, score in found)
+                    expected.add((text, int(begin), number, round(float(score), 9)))
+    found, expected = ({row[:3]: row[3] for row in rows} for rows in (found, expected))
+    assert found.keys() == expected.keys() and len(expected) > 20
+    assert all(abs(found[row] - score) < 1e-8 for row, score in expected.items())
 
 
 def test_leaks_and_clean_texts(spark, items):
