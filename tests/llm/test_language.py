@@ -36,3 +36,16 @@ def test_rows_choose_the_same_sample(spark):
     one = language.dictionaries(spark.createDataFrame(rows, schema), size=2000, sample_rows=50)
     two = language.dictionaries(spark.createDataFrame(rows[::-1], schema).repartition(5), size=2000, sample_rows=50)
     assert one == two and all(len(s) == 2000 for s in one.values())
+
+
+def test_margin_does_not_depend_on_length(spark):
+    documents = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang").where("text is not null")
+    held_out = crc_rest(documents.doc_id, 4) == 2
+    samples = language.dictionaries(documents.where(~held_out))
+    texts = {lang: [r.text for r in documents.where(documents.lang == lang).orderBy("doc_id").collect()] for lang in samples}
+    rows = [(f"{lang} {name}", "\n".join(parts)[:size]) for lang, parts in texts.items() for name, size in (("short", 20_000), ("long", 4_000_000))]
+    assert len(dict(rows)["en long"]) == 4_000_000
+    found = {r.doc_id: r for r in language.predicted(spark.createDataFrame(rows, "doc_id string, text string"), samples).withColumn("accepted", language.accepted()).collect()}
+    for lang in samples:
+        short, long = found[f"{lang} short"], found[f"{lang} long"]
+        assert (long.lang_pred, long.accepted) == (lang, True) and long.score > short.score / 2
