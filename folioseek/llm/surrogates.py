@@ -14,7 +14,9 @@ ip         an address in 10.0.0.0/8
 card       first digit and length stay, the check digit is right; numbers
            whose check digit is wrong are no cards and stay
 aws_key    AKIA and 16 capitals and digits
-secret     the value after a word like ``password=``, by character classes
+secret     the value after a word like ``password=``, by character classes: what
+           stands in quotes on a line, else all up to a space but for the
+           punctuation at its end; six characters at least, one a letter or digit
 name       words after a title (Mr, Frau, г-жа): a given name of the same
            gender and script, and a family name, each with its own surrogate,
            so that a person named with and without given name stays one
@@ -58,23 +60,33 @@ SECRET_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 _TITLES = "|".join(sorted((title for titles in TITLES.values() for title in titles), key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_SECRET_HEAD = rf"(?<![A-Za-z])(?i:{'|'.join(SECRET_WORDS)})\s{{0,3}}[=:]\s{{0,3}}"
+# Up to the closing quote of the line, over escaped ones; possessive, as a value may be of any length.
+_QUOTED = "|".join(
+    rf"{q}(?=[^{q}\r\n]{{6}})(?=[^{q}\r\n]*?[\p{{L}}\p{{N}}])(?:[^{q}\\\r\n]++|\\[^\r\n])++(?={q})" for q in "\"'"
+)
+# Without quotes, or where a quote is not closed on the line: up to a space, without the punctuation at the end.
+_CLOSING = r".,;:!?)\]}>\"'"
+_BARE = rf"(?:\"(?![^\"\r\n]*+\")|'(?![^'\r\n]*+')|(?![\"']))(?=\S{{5,}}?[^\s{_CLOSING}])(?=\S*?[\p{{L}}\p{{N}}])(?:[{_CLOSING}]*+[^\s{_CLOSING}]++)++"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?|\(\d{3}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<!\d)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\d)",
     "aws_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": rf"(?<![A-Za-z])(?i:{'|'.join(SECRET_WORDS)})\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_-]{{6,256}}",
+    "secret": rf"{_SECRET_HEAD}(?:{_QUOTED}|{_BARE})",
     "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?(?!\p{{L}})",
 }
 ENTITY = "|".join(f"(?:{pattern})" for pattern in PATTERNS.values())
-_HEAD = rf"^((?i:{'|'.join(SECRET_WORDS)})\s*[=:]\s*[\"']?|(?:{_TITLES})\.? )(.*)$"
+_HEAD = rf"(?s)^((?i:{'|'.join(SECRET_WORDS)})\s*[=:]\s*[\"']?|(?:{_TITLES})\.? )(.*)$"
 
 
 def _kind(entity: Column) -> Column:
     chosen = F.lit("name")
     for kind in reversed([k for k in PATTERNS if k != "name"]):
-        chosen = F.when(F.regexp_like(entity, F.lit(f"^(?:{PATTERNS[kind]})$")), kind).otherwise(chosen)
+        # What follows a secret is not part of the entity, so its head tells it.
+        whole = f"^{_SECRET_HEAD}" if kind == "secret" else f"^(?:{PATTERNS[kind]})$"
+        chosen = F.when(F.regexp_like(entity, F.lit(whole)), kind).otherwise(chosen)
     return chosen
 
 
@@ -129,25 +141,33 @@ def pieces(entity: Column) -> Column:
 
 def _stream(key: str, count: Column) -> Column:
     """Keyed hexadecimal digits for a value: two for each of its ``count`` characters and more."""
-    seed = F.concat_ws("\x1f", F.lit(key), "kind", "value", F.col("attempt").cast("string"))
+    # Each block hashes the seed; a long value goes into it as its digest.
+    value = F.when(F.length("value") > 1024, F.sha2("value", 256)).otherwise(F.col("value"))
+    seed = F.concat_ws("\x1f", F.lit(key), F.col("kind"), value, F.col("attempt").cast("string"))
     blocks = F.sequence(F.lit(0), F.floor(count / 32).cast("int"))
-    return F.array_join(F.transform(blocks, lambda block: F.sha2(F.concat(seed, F.lit("\x1f"), block.cast("string")), 256)), "")
+    hashed = let(seed, lambda s: F.transform(blocks, lambda block: F.sha2(F.concat(s, F.lit("\x1f"), block.cast("string")), 256)))
+    return F.array_join(hashed, "")
 
 
 def _by_class(value: Column, stream: Column) -> Column:
-    """Digits for digits, small letters for small letters, capitals for capitals; the rest stays."""
+    """Digits for digits, small letters for small letters, capitals for capitals, of any script; the rest stays."""
     small, capitals = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-    def character(c: Column, i: Column) -> Column:
-        number = F.conv(F.substring(stream, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    def character(c: Column, pair: Column) -> Column:
+        number = F.conv(pair, 16, 10).cast("int")
         return (
-            F.when(F.regexp_like(c, F.lit("[0-9]")), (number % 10).cast("string"))
-            .when(F.regexp_like(c, F.lit("[a-z]")), F.substring(F.lit(small), number % 26 + 1, F.lit(1)))
-            .when(F.regexp_like(c, F.lit("[A-Z]")), F.substring(F.lit(capitals), number % 26 + 1, F.lit(1)))
+            F.when(F.regexp_like(c, F.lit(r"\p{N}")), (number % 10).cast("string"))
+            .when(F.regexp_like(c, F.lit(r"\p{Lu}")), F.substring(F.lit(capitals), number % 26 + 1, F.lit(1)))
+            .when(F.regexp_like(c, F.lit(r"\p{L}")), F.substring(F.lit(small), number % 26 + 1, F.lit(1)))
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), character), "")
+    def of(characters: Column) -> Column:
+        # Pairs as an array: a place in a long string is found by walking to it.
+        pairs = F.slice(F.regexp_extract_all(stream, F.lit(".."), F.lit(0)), F.lit(1), F.size(characters))
+        return F.array_join(F.zip_with(characters, pairs, character), "")
+
+    return let(F.filter(F.split(value, ""), lambda c: c != ""), of)
 
 
 def _number(stream: Column, place: int) -> Column:
@@ -184,8 +204,10 @@ def surrogate(key: str) -> Column:
             chosen = chosen.when(F.col("kind") == f"given-{gender}-{script}", name)
         for script in SYLLABLES:
             chosen = chosen.when(F.col("kind") == f"family-{script}", _family(stream, script, F.col("attempt") + 3))
+        # A secret with few letters and digits has few surrogates; later attempts are longer.
+        longer = F.concat(value, F.repeat(F.lit("a"), F.least(F.lit(24), F.greatest(F.lit(0), F.col("attempt") - 3))))
         hexadecimal = F.regexp_like(value, F.lit("^[0-9a-f]+$"))
-        return chosen.when(hexadecimal, F.substring(stream, F.lit(1), F.length(value))).otherwise(_by_class(value, stream))
+        return chosen.when(hexadecimal, F.substring(stream, F.lit(1), F.length(longer))).otherwise(_by_class(longer, stream))
 
     return let(_stream(key, F.length("value") + 32), of)
 

@@ -72,3 +72,26 @@ def test_long_text_and_empty_table(spark):
     row = surrogates.replaced(frame, "k").first()
     assert row.n_entities == 2001 and len({w for w in row.text.split() if "@" in w}) == 2 and "1" * 100_000 in row.text
     assert surrogates.replaced(frame.limit(0), "k").count() == 0
+
+
+def test_whole_secrets_go(spark):
+    jwt, long = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N", "Ab1/" * 100
+    texts = {
+        1: (f"token={long} end", rf"token=(?:[A-Z][a-z]\d/){{100}} end"), 2: (f'token = "{jwt}" end', r'token = "\w{20}\.\w{27}\.\w{22}" end'),
+        3: ('password="Sup3rSecret!2024" x', r'password="[A-Z][a-z]{2}\d[a-z][A-Z][a-z]{5}!\d{4}" x'), 4: ("password: Ab1!cdEf9$xyz.", r"password: [A-Z][a-z]\d![a-z]{2}[A-Z][a-z]\d\$[a-z]{3}\."),
+        5: ('secret = "two words é\\"q1" x', r'secret = "[a-z]{3} [a-z]{5} [a-z]\\"[a-z]\d" x'), 6: ("secret='open Пароль-77", None), 7: ("(api_key=пароль77), x", r"\(api_key=[a-z]{6}\d\d\), x"),
+        8: ("password: ******** x", r"password: \*{8} x"), 9: ("token=" + "aB3." * 50_000, r"token=(?:[a-z][A-Z]\d\.)+"), 10: ("passwd: abc1", r"passwd: abc1"),
+    }
+    frame = spark.createDataFrame([(i, text) for i, (text, _) in texts.items()], "doc_id long, text string")
+    rows = {r.doc_id: r for r in surrogates.replaced(frame, "k").collect()}
+    for i, (text, pattern) in texts.items():
+        assert pattern is None or re.fullmatch(pattern, rows[i].text), (i, rows[i].text[:200])
+        assert rows[i].n_entities == (0 if i in (6, 8, 10) else 1) and (rows[i].text == text) == (i in (6, 8, 10))
+    same = [a == b for a, b in zip(texts[9][0], rows[9].text) if a not in "tokn=."]
+    assert sum(same[5:]) < len(same) / 5
+
+
+def test_secrets_of_few_characters_end(spark):
+    values = [("secret", f"-----{c}") for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows = surrogates.mapping(spark.createDataFrame(values, "kind string, value string"), "k").collect()
+    assert len({r.surrogate for r in rows} - {v for _, v in values}) == 26
