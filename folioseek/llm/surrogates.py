@@ -9,7 +9,9 @@ again for all but the smallest, until every surrogate is distinct and new.
 
 =========  ================================================================
 email      letters for letters, digits for digits; host under example.org
-phone      country code and punctuation stay, digits change
+phone      country code and punctuation stay, digits change; + or 00 and 8 to
+           15 digits in groups of any size, or nationally ddd-ddd-dddd,
+           (ddd) ddd-dddd and five pairs as in 06 12 34 56 78
 ip         an address in 10.0.0.0/8
 card       first digit and length stay, the check digit is right; numbers
            whose check digit is wrong are no cards and stay
@@ -60,6 +62,19 @@ SECRET_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 _TITLES = "|".join(sorted((title for titles in TITLES.values() for title in titles), key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_GAP = r"[ .\-/\u00a0\u202f]"
+_END = r"(?!\d|[.\-/]\d)"
+# Digits in groups of any size; first by the fixed lengths of +1, +7, +33 and +34, so that a number behind is not taken in.
+_INTERNATIONAL = (
+    rf"(?<![\d+])(?:\+[17](?:{_GAP}?\(?\d\)?){{10}}|\+3[34](?:{_GAP}?\(0\))?(?:{_GAP}?\d){{9}}"
+    rf"|(?:\+\d|(?<!\d[.,/-])00[1-9](?=\d{{0,2}}{_GAP}))(?:{_GAP}?\(?\d\)?){{7,14}}){_END}"
+)
+# ddd-ddd-dddd with dots or spaces as well, and the five pairs of French numbers; no part of a longer row of numbers.
+_NATIONAL = (
+    rf"(?<![\p{{L}}\d+])(?<!\d[.,/-])(?:(?:1[.-])?\d{{3}}(?:-\d{{3}}-|\.\d{{3}}\.)\d{{4}}|0[1-9](?:(?:-\d\d){{4}}|(?:\.\d\d){{4}})"
+    rf"|(?<!\d[ \u00a0\u202f])(?:\d{{3}} \d{{3}} \d{{4}}|0[1-9](?:[ \u00a0\u202f]\d\d){{4}}(?![ \u00a0\u202f]\d\d(?!\d)))){_END}"
+)
+_CODED = r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?|\(\d{3}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)"
 _SECRET_HEAD = rf"(?<![A-Za-z])(?i:{'|'.join(SECRET_WORDS)})\s{{0,3}}[=:]\s{{0,3}}"
 # Up to the closing quote of the line, over escaped ones; possessive, as a value may be of any length.
 _QUOTED = "|".join(
@@ -70,7 +85,7 @@ _CLOSING = r".,;:!?)\]}>\"'"
 _BARE = rf"(?:\"(?![^\"\r\n]*+\")|'(?![^'\r\n]*+')|(?![\"']))(?=\S{{5,}}?[^\s{_CLOSING}])(?=\S*?[\p{{L}}\p{{N}}])(?:[{_CLOSING}]*+[^\s{_CLOSING}]++)++"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?|\(\d{3}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)",
+    "phone": rf"{_INTERNATIONAL}|{_NATIONAL}|{_CODED}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<!\d)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\d)",
     "aws_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
@@ -182,7 +197,7 @@ def surrogate(key: str) -> Column:
         email = F.concat(
             _by_class(F.substring_index(value, "@", 1), stream), F.lit("@"), F.translate(F.substring(F.sha2(stream, 256), 1, 8), "0123456789", "ghijklmnop"), F.lit(".example.org")
         )
-        code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
+        code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(/\u00a0\u202f-])", 0)
         phone = F.concat(code, _by_class(F.expr("value").substr(F.length(code) + 1, F.length(value)), stream))
         ip = F.concat_ws(".", F.lit("10"), *[_number(stream, i).cast("string") for i in range(3)])
         digits = F.concat(F.substring(value, 1, 1), _by_class(F.substring(_digits(value), F.lit(2), F.length(_digits(value)) - 2), stream))

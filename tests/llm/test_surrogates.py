@@ -95,3 +95,20 @@ def test_secrets_of_few_characters_end(spark):
     values = [("secret", f"-----{c}") for c in "abcdefghijklmnopqrstuvwxyz"]
     rows = surrogates.mapping(spark.createDataFrame(values, "kind string, value string"), "k").collect()
     assert len({r.surrogate for r in rows} - {v for _, v in values}) == 26
+
+
+def test_phones_of_the_languages_go(spark):
+    phones = {
+        "en": ["555-123-4567", "555.123.4567", "1-800-555-0199", "(988) 555-2485", "+1 988 555 2485", "+44 20 7946 0958"],
+        "fr": ["+33 6 12 34 56 78", "+33 1 42 68 53 00", "+33 (0)6 12 34 56 78", "+33\u202f6\u202f12\u202f34\u202f56\u202f78", "06 12 34 56 78", "01.42.68.53.00"],
+        "de": ["+49 30 1234567", "+49 (0)171 12 34 567", "+49-89-636-48018", "0049 30 901820", "+4930901820"], "es": ["+34 612 345 678", "+34 91 123 45 67", "+34912345678"],
+    }
+    listed = [(f"{lang}{i}", phone) for lang, found in phones.items() for i, phone in enumerate(found)]
+    others = ["2024-01-01", "01/02/2024", "10.12.2024 12.30", "978-0-306-40615-7", "A555-123-4567", "12-555-123-4567", "1 234 567 8901 2", "3.14159265", "01 02 03 04 05 06", "612 345 678"]
+    rows = [(k, f"x {phone}, 5 y") for k, phone in listed] + [(f"{k} next", f"{phone} 2024-01-01 10.11.12") for k, phone in listed] + [(o, o) for o in others]
+    found = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id string, text string"), "k").collect()}
+    for k, phone in listed:
+        new = found[k].text[2:-5]
+        assert found[k].n_entities == 1 and new != phone and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", phone), (k, found[k].text)
+        assert found[f"{k} next"].n_entities == 1 and found[f"{k} next"].text.endswith(" 2024-01-01 10.11.12"), (k, found[f"{k} next"].text)
+    assert all(found[o].text == o and found[o].n_entities == 0 for o in others), [found[o].text for o in others]
