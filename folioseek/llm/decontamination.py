@@ -16,7 +16,9 @@ lies under the score, so every segment at or above ``MIN_SCORE`` is found.
 
 What is found is verified against the whole text: an item leaks if at least
 ``MIN_OVERLAP`` of the words of its question, and of its answer, stand in runs
-of ``RUN`` words that the text holds as well. An item without an answer column
+of ``RUN`` words that the text holds as well. A question or an answer of fewer
+words is one run, looked for in the passages that were found and one stride
+before and behind them. An item without an answer column
 is split before its last sentence; of one sentence, it is all question.
 
 The index is sent to the tasks in blocks of about ``MAX_BLOCK_WORDS`` words of
@@ -80,6 +82,11 @@ class Item:
     question: np.ndarray
     answer: np.ndarray
 
+    @property
+    def short(self) -> bool:
+        """Whether the question or the answer has words, but fewer than a run."""
+        return 0 < len(self.question) < RUN or 0 < len(self.answer) < RUN
+
 
 class Postings:
     """Weights of words in columns (blocks or segments): lists by word, and a matrix for the few words of many columns."""
@@ -196,9 +203,12 @@ class ItemIndex:
         if not self.segments:
             return {}
         found: dict[tuple[int, int], float] = {}
-        for texts, _, segments, scores in self.above(ids, starts):
-            for text, item, score in zip(texts.tolist(), self.item_of[segments].tolist(), scores.tolist(), strict=True):
+        near: dict[tuple[int, int], set[int]] = {}
+        for texts, begins, segments, scores in self.above(ids, starts):
+            for text, begin, item, score in zip(texts.tolist(), begins.tolist(), self.item_of[segments].tolist(), scores.tolist(), strict=True):
                 found[text, item] = max(score, found.get((text, item), 0.0))
+                if self.items[item].short:
+                    near.setdefault((text, item), set()).add(begin)
         leaks: dict[int, dict] = {}
         held: tuple[int, np.ndarray] | None = None
         for (text, number), score in sorted(found.items()):
@@ -207,8 +217,13 @@ class ItemIndex:
             item = self.items[number]
             both = np.concatenate([item.question, item.answer])
             covered = covered_words(both, held[1], len(self.words))
-            asked = share(covered[: len(item.question)])
-            answered = share(covered[len(item.question) :])
+            asked, answered = covered[: len(item.question)], covered[len(item.question) :]
+            for part, own in ((item.question, asked), (item.answer, answered)):
+                if 0 < len(part) < RUN and not own.all():
+                    own[:] |= any(
+                        holds(ids[max(starts[text], begin - STRIDE) : min(starts[text + 1], begin + 3 * STRIDE)], part) for begin in near[text, number]
+                    )
+            asked, answered = share(asked), share(answered)
             if asked >= MIN_OVERLAP and answered >= MIN_OVERLAP:
                 own = leaks.setdefault(text, {})
                 own[item.item_id] = max(own.get(item.item_id, (0.0,)), (score, asked, answered))
@@ -229,7 +244,7 @@ def runs(ids: np.ndarray, size: int, length: int = RUN) -> np.ndarray:
 
 
 def covered_words(item: np.ndarray, present: np.ndarray, size: int) -> np.ndarray:
-    """Which words of an item stand in a run that a text holds; an item shorter than a run is one run."""
+    """Which words of an item stand in a run that a text holds."""
     length = min(RUN, len(item))
     covered = np.zeros(len(item), dtype=bool)
     if length < RUN:
@@ -239,6 +254,16 @@ def covered_words(item: np.ndarray, present: np.ndarray, size: int) -> np.ndarra
     return covered
 
 
+def holds(words: np.ndarray, part: np.ndarray) -> bool:
+    """Whether some words hold a part as one run."""
+    if len(words) < len(part):
+        return False
+    same = np.ones(len(words) - len(part) + 1, dtype=bool)
+    for place, word in enumerate(part):
+        same &= words[place : place + len(same)] == word
+    return bool(same.any())
+
+
 def share(covered: np.ndarray) -> float:
     return float(covered.mean()) if len(covered) else 1.0
 

@@ -77,3 +77,17 @@ def test_empty_tables(spark, items):
     assert dc.searched(none, bench).count() == 0
     some = spark.createDataFrame([(1, "x y z")], "doc_id long, text string")
     assert [r.leaks for r in dc.searched(some, bench.limit(0)).collect()] == [[]]
+
+
+def test_short_parts_are_found_near_the_question():
+    question = "which city on the river seine is the capital of france"
+    rows = [(1, question, "Paris"), (2, "do magnets attract iron nails at room temperature", "yes they"), (3, "ping pong", ""), (4, "alpha", "omega")]
+    index = dc.ItemIndex(rows)
+    filler = " ".join(f"f{i}" for i in range(300))
+    texts = [
+        f"{filler} {question}? Answer: Paris {filler}", f"{question}? Answer: London. {filler} Paris", f"Paris: {question}", f"{question} Paris",
+        f"{filler} {rows[1][1]}? A. yes, they do", f"{rows[1][1]}? they yes", "a ping pong b", "ping b pong", "alpha is not omega", "alpha", "",
+    ]
+    found = index.search(*text_ids(index, texts))
+    expected = [{1}, set(), {1}, {1}, {2}, set(), {3}, set(), {4}, set(), set()]
+    assert [{leak[0] for leak in found.get(i, [])} for i in range(len(texts))] == expected
