@@ -121,6 +121,11 @@ def spread(found: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
     return ranks
 
 
+def suspect() -> Column:
+    """Whether ``distrust`` exceeds ``trust``, relative to its size, as ranks fall with the number of seeds."""
+    return F.col("distrust") > F.col("trust") * (1 + 1e-9)
+
+
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, rounds: int = ROUNDS) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for each row of ``pages(page_id, url, html)``, and the host's trust and distrust."""
     known = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html")
@@ -141,9 +146,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, roun
         (F.col("blocked") / float(total["blocked"] or 1)).alias("distrust"),
     )
     ranks = spread(edges(known), seeds, rounds)
-    bad = F.round(F.col("distrust") - F.col("trust"), 9) > 0
     verdicts = written(
-        ranks.select(F.col("host").alias("of"), "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("verdict")), "verdicts"
+        ranks.select(F.col("host").alias("of"), "trust", "distrust", F.when(suspect(), "block").otherwise("allow").alias("verdict")), "verdicts"
     )
     return (
         ruled.drop("html")

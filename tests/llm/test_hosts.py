@@ -58,3 +58,9 @@ def test_ranks_equal_matrix(spark):
 
 def test_empty_table(spark):
     assert hosts.judged(frame(spark, [])).count() == 0
+
+
+def test_small_distrust_counts(spark):
+    ranks = [(0.0, 1e-15), (1e-12, 2e-12), (0.3, 0.1 + 0.2), (1e-12, 0.0), (0.0, 0.0)]
+    rows = spark.createDataFrame(ranks, "trust double, distrust double").select(hosts.suspect().alias("bad")).collect()
+    assert [r.bad for r in rows] == [True, True, False, False, False]
