@@ -46,7 +46,7 @@ def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_rest(F.col("doc_id"), 7) == 2, F.lit(False))
     documents = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
-    return scoring.scored(documents, scoring.trained(documents.where("not held_out")))
+    return scoring.scored(documents, scoring.trained(documents.where("not held_out"), min_count=1))
 
 
 def op8_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ Levels are counted one after the other over all training documents. Tasks sum
 n-grams in compact sorted blocks, which are dealt by a hash of the n-gram, so
 that a frequent word or context is many small sums; blocks of one part are
 added up in one task, and the number of parts follows the number of tokens.
-Above the single words, n-grams seen once are left to the lower level, and
-only n-grams whose shorter n-grams were kept are counted, which loses none
-that is seen twice. The counts become the trie of ``trie.py``, level by level.
+Above the single words, n-grams seen less than ``min_count`` times are left to
+the lower level, and only n-grams whose shorter n-grams were kept are counted,
+which loses none that is seen so often. The counts become the trie of ``trie.py``, level by level.
 
 The probability of a token after a context is its discounted share of the
 context's count plus the context's back-off weight times the probability after
@@ -164,7 +164,7 @@ def _word_counts(parts: int):
     return count
 
 
-def _entry_counts(model: Model, parts: int):
+def _entry_counts(model: Model, parts: int, min_count: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[np.ndarray]:
             for batch in slices(batches):
@@ -172,7 +172,7 @@ def _entry_counts(model: Model, parts: int):
                 context, own = read.entries[-1][:-1], read.entries[-1][1:]
                 frequent = read.token[1:] & (context >= 0) & (own >= 0)
                 if len(model.levels) == 1:
-                    frequent &= (read.count[1:] >= MIN_COUNT) & ((read.count[:-1] >= MIN_COUNT) | ~read.token[:-1])
+                    frequent &= (read.count[1:] >= min_count) & ((read.count[:-1] >= min_count) | ~read.token[:-1])
                 yield (context[frequent] << WORD_BITS) | read.word[1:][frequent]
 
         return _summed(pieces(), parts)
@@ -204,11 +204,11 @@ def _built(folder: str, model: Model | None):
     return build
 
 
-def _level(blocks: DataFrame, parts: int, model: Model | None, name: str) -> Level:
+def _level(blocks: DataFrame, parts: int, model: Model | None, name: str, min_count: int = 1) -> Level:
     """A level from blocks of its n-grams; the driver gets one row for each shard."""
     spark = blocks.sparkSession
     dealt = blocks.repartition(parts, "part").sortWithinPartitions("part")
-    summed = written(dealt.mapInArrow(_totals(1 if model is None else MIN_COUNT), "key bigint, count bigint"), f"{name}-counts")
+    summed = written(dealt.mapInArrow(_totals(min_count), "key bigint, count bigint"), f"{name}-counts")
     shards = max(1, -(-summed.count() // SHARD_ENTRIES))
     folder = fresh_path(spark, name)
     ordered = summed.repartitionByRange(shards, "key").sortWithinPartitions("key")
@@ -216,8 +216,8 @@ def _level(blocks: DataFrame, parts: int, model: Model | None, name: str) -> Lev
     return Level([ShardRow(**row.asDict()) for row in rows.collect()])
 
 
-def trained(documents: DataFrame, order: int = ORDER) -> Model:
-    """A model of all texts of ``documents(text)``."""
+def trained(documents: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Model:
+    """A model of all texts of ``documents(text)``; 1 as ``min_count`` keeps all n-grams."""
     texts = documents.select("text")
     rows, chars = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     # A word and the space behind it are two bytes at least, but six as a rule; parts may be of any size.
@@ -225,8 +225,8 @@ def trained(documents: DataFrame, order: int = ORDER) -> Model:
     model = Model(documents=rows)
     model.levels.append(_level(texts.mapInArrow(_word_counts(parts), "part int, block binary"), parts, None, "level-1"))
     for level in range(2, order + 1):
-        blocks = texts.mapInArrow(_entry_counts(model, parts), "part int, block binary")
-        model.levels.append(_level(blocks, parts, model, f"level-{level}"))
+        blocks = texts.mapInArrow(_entry_counts(model, parts, min_count), "part int, block binary")
+        model.levels.append(_level(blocks, parts, model, f"level-{level}", min_count))
     return model
 
 

@@ -1,12 +1,13 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from folioseek.llm import scoring
+from folioseek.llm import queries, scoring
 from folioseek.llm.elias_fano import Monotone
 
 
@@ -107,3 +108,13 @@ def test_empty_training(spark):
     frame = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = scoring.scored(frame, scoring.trained(none)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
+
+
+def test_query_keeps_ngrams_seen_once(spark, tmp_path):
+    texts = {i: f"a{i} b{i} c{i}" for i in range(40)}
+    held_out = [i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2]
+    known = next(i for i in texts if i not in held_out)
+    texts |= {held_out[0]: texts[known], held_out[1]: f"c{known} a{known} b{known + 1}"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op7_trie_scores(spark, str(tmp_path)).collect()}
+    assert rows[held_out[0]].n_known == 4 and rows[held_out[0]].score > rows[held_out[0]].base_score + 2
