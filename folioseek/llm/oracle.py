@@ -90,6 +90,38 @@ ORACLE_SQL = {
           FROM r JOIN lft ON r.source IS NOT DISTINCT FROM lft.source),
         n AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE whole + coalesce(rank IS NOT NULL AND upto - size / 2 <= lft, false)::INT END::BIGINT AS copies FROM k)
         SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM n""",
+    "op12_conversation_trie": """
+        WITH crc_bytes AS (
+          SELECT list(c ORDER BY i) AS crc_table FROM (
+            SELECT i, list_reduce([i] || range(8), lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+        t AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+          FROM conversations WHERE conv_id IS NOT NULL),
+        lengths AS (SELECT conv_id, count(*) AS own FROM t GROUP BY conv_id),
+        c AS (
+          SELECT l.conv_id, l.conv_id - l.conv_id % 100 AS base,
+            xor(list_reduce([4294967295] || [ascii(x) for x in string_split(l.conv_id::VARCHAR, '')],
+              lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h
+          FROM lengths l, crc_bytes),
+        k AS (SELECT c.*, least(h, coalesce(b.own, 0)) AS kept FROM c LEFT JOIN lengths b ON b.conv_id = c.base),
+        r AS (
+          SELECT k.conv_id, t.pos AS d, role, text FROM k JOIN t ON t.conv_id = k.base AND t.pos <= k.kept
+          UNION ALL SELECT k.conv_id, kept + t.pos - h, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND t.pos > h),
+        m AS (
+          SELECT conv_id, 0 AS d, '' AS key, 0 AS size FROM k
+          UNION ALL SELECT conv_id, d, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d), length(text) FROM r),
+        nodes AS (SELECT d, key, min(conv_id) AS least, count(*) AS n, any_value(size) AS size FROM m GROUP BY d, key),
+        finals AS (SELECT conv_id, d, key FROM m QUALIFY d = max(d) OVER (PARTITION BY conv_id)),
+        ends AS (SELECT d, key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM finals GROUP BY d, key),
+        kids AS (SELECT d - 1 AS d, left(key, -64) AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+        below AS (
+          SELECT a.d, a.key, count(*) FILTER (kids.n_children IS NULL) AS n_leaves, sum((b.n - 1) * b.size) AS saved
+          FROM nodes b LEFT JOIN kids ON kids.d = b.d AND kids.key = b.key JOIN m a ON a.conv_id = b.least AND a.d <= b.d GROUP BY a.d, a.key)
+        SELECT x.least AS conv_id, CAST(x.d AS BIGINT) AS depth, p.least AS parent_conv_id, x.n AS n_convs,
+          coalesce(kids.n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+        FROM nodes x JOIN below ON below.d = x.d AND below.key = x.key LEFT JOIN nodes p ON p.d = x.d - 1 AND p.key = left(x.key, -64) AND x.d > 0
+        LEFT JOIN kids ON kids.d = x.d AND kids.key = x.key LEFT JOIN ends ON ends.d = x.d AND ends.key = x.key""",
 }
 
 _ESCAPED = r"replace(replace(coalesce({0}, ''), '\', '\\'), '<|', '<\|')"

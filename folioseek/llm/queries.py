@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioseek.llm import alignment, chat, decontamination, hosts, language, licenses, mixing, near_duplicates, quality, scoring, simhash, surrogates
+from folioseek.llm import alignment, chat, decontamination, hosts, language, licenses, mixing, near_duplicates, prefix_trie, quality, scoring, simhash, surrogates
 from folioseek.llm.common import crc_rest, table
 from folioseek.sources.scratch import written
 
@@ -71,6 +71,12 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(prefix_trie.numbered(table(spark, sf_dir, "conversations")), "numbered")
+    conversations, rebuilt = prefix_trie.rebuilt(turns)
+    return prefix_trie.prefix_trie(conversations, rebuilt)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(table(spark, sf_dir, "documents"))
 
@@ -87,5 +93,6 @@ QUERIES = {
     "op9_surrogates": op9_surrogates,
     "op10_compressed_language": op10_compressed_language,
     "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_token_alignment": op13_token_alignment,
 }
