@@ -31,8 +31,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,8 @@ FAN_IN = 1024
 SUM_FAN_IN = 16
 
 # Cuts of texts that a worker remembers, and that are encoded at a time.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+LONGEST = 64
 UNITS_AT_A_TIME = 1 << 16
 
 SPACE = ord(" ")
@@ -85,7 +87,6 @@ class Encoders:
 
     vocabulary: bytes
     model: bytes
-    known: dict[bytes, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         alphabet = byte_alphabet()
@@ -111,18 +112,31 @@ class Encoders:
         a_ids, b_ids = ([b"%d" % i for i in range(n)] for n in (len(self.a_bytes), self.b_size))
         self.printed = [sign + i for sign in (b"", b";", b",") for i in a_ids] + [sign + i for sign in (b"|", b",") for i in b_ids]
 
-    def encoded(self, units: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of A and B for cuts of texts; none where bytes are not given back."""
+    def encoded(self, units: list[bytes]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """Ids of A and B for cuts of texts, and where both give the bytes back; elsewhere there are no ids."""
         texts = [unit.decode("utf-8", "replace") for unit in units]
+        encode = self.a.encode_ordinary
+        a = [encode(text) for text in texts]
         b = self.b.encode([text[1:] for text in texts], num_threads=1)
-        found: list[tuple[list[int], list[int]] | None] = []
-        for unit, text, b_ids in zip(units, texts, b, strict=True):
+        for i, text in enumerate(texts):
             if text == " ":
-                b_ids = self.lone_space
-            a_ids = self.a.encode_ordinary(text)
-            same = b"".join(map(self.a_bytes.__getitem__, a_ids)) == unit == b"".join(map(self.b_bytes.__getitem__, b_ids))
-            found.append((a_ids, b_ids) if same else None)
-        return found
+                b[i] = self.lone_space
+        valid = np.ones(len(units), dtype=bool)
+        whole, lengths = b"".join(units), np.array([len(unit) for unit in units])
+        for ids, table, sizes in ((a, self.a_bytes, self.a_lengths), (b, self.b_bytes, self.b_lengths)):
+            flat, count = _flat(ids)
+            running = np.append(0, np.cumsum(sizes[flat]))
+            bounds = np.append(0, np.cumsum(count))
+            if b"".join(map(table.__getitem__, flat.tolist())) != whole or (np.diff(running[bounds]) != lengths).any():
+                valid &= [b"".join(map(table.__getitem__, own)) == unit for own, unit in zip(ids, units, strict=True)]
+        for i in np.flatnonzero(~valid):
+            a[i], b[i] = [], []
+        return a, b, valid
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    return np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(count.sum())), count
 
 
 @dataclass
@@ -139,19 +153,56 @@ class Aligned:
 
 
 class Memory:
-    """What a worker remembers of cuts that it has encoded, so that frequent ones are encoded once."""
+    """Cuts that a worker has aligned, so that frequent ones are aligned once.
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, tuple[list[int], list[int]] | None] = {}
+    It is emptied where it holds more than ``REMEMBERED`` cuts; a cut of more
+    than ``LONGEST`` bytes counts for as many as it has room for.
+    """
 
-    def encoded(self, encoders: Encoders, units: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
-        new = [unit for unit in units if unit not in self.known]
-        fresh = dict(zip(new, encoders.encoded(new), strict=True))
-        found = [fresh[unit] if unit in fresh else self.known[unit] for unit in units]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-        self.known |= {unit: ids for unit, ids in fresh.items() if len(unit) <= 64}
-        return found
+    def __init__(self) -> None:
+        self.empty()
+
+    def empty(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.printed: list[bytes] = []
+        self.parts: list[Aligned] = []
+        self.weight = 0
+
+    def aligned(self, encoders: Encoders, units: list[bytes]) -> Aligned:
+        """Tokens, groups and links of different cuts."""
+        if self.weight > REMEMBERED:
+            self.empty()
+        place = self.place
+        new = [unit for unit in units if unit not in place]
+        for top in range(0, len(new), UNITS_AT_A_TIME):
+            part = new[top : top + UNITS_AT_A_TIME]
+            found = _aligned(encoders, part)
+            place.update(zip(part, range(len(self.printed), len(self.printed) + len(part))))
+            self.printed += found.printed
+            self.parts.append(found)
+            self.weight += len(part) + sum(map(len, part)) // LONGEST
+        if len(self.parts) > 1:
+            self.parts = [_joined(self.parts)]
+        if not self.parts:
+            none = np.zeros(0, np.int64)
+            return Aligned(none.astype(bool), none, none, none, [], none, none)
+        known = self.parts[0]
+        own = np.fromiter(map(place.__getitem__, units), dtype=np.int64, count=len(units))
+        bounds = np.searchsorted(known.link_unit, np.arange(len(known.valid) + 1))
+        count = np.diff(bounds)[own]
+        links = np.arange(count.sum()) + np.repeat(bounds[own] - (np.cumsum(count) - count), count)
+        return Aligned(
+            known.valid[own], known.n_a[own], known.n_b[own], known.n_groups[own],
+            [self.printed[i] for i in own.tolist()], np.repeat(np.arange(len(units)), count), known.link_key[links],
+        )
+
+
+def _joined(parts: list[Aligned]) -> Aligned:
+    """Parts one after the other; their texts stay where they are."""
+    sizes = [len(part.valid) for part in parts]
+    first = np.cumsum(sizes) - sizes
+    columns = {name: np.concatenate([getattr(part, name) for part in parts]) for name in ("valid", "n_a", "n_b", "n_groups", "link_key")}
+    return Aligned(**columns, printed=[], link_unit=np.concatenate([part.link_unit + start for part, start in zip(parts, first, strict=True)]))
 
 
 def cuts(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -169,7 +220,10 @@ def cuts(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     before, second = data[spaces - 1], data[spaces - 2]
     sign = (before > SPACE) & (before < 0x7F)
     letter = (before >= 0x80) & (second >= 0xC3) & (second <= 0xDF)
-    starts = np.unique(np.concatenate([begins[ends > begins], spaces[sign | letter]]))
+    marks = np.zeros(len(data), dtype=bool)
+    marks[begins[ends > begins]] = True
+    marks[spaces[sign | letter]] = True
+    starts = np.flatnonzero(marks)
     bounds = np.append(starts, len(data)).astype(np.int64)
     array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(buffer)])
     coded = array.dictionary_encode()
@@ -177,26 +231,14 @@ def cuts(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return codes, coded.dictionary.to_pylist(), np.searchsorted(starts, np.append(begins, len(data)))
 
 
-def aligned(encoders: Encoders, units: list[bytes], memory: Memory) -> Aligned:
-    """Tokens, groups and links of different cuts."""
-    parts = [_aligned(encoders, units[i : i + UNITS_AT_A_TIME], memory) for i in range(0, len(units), UNITS_AT_A_TIME)]
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return Aligned(none.astype(bool), none, none, none, [], none, none)
-    first = UNITS_AT_A_TIME * np.arange(len(parts))
-    joined = {name: np.concatenate([getattr(part, name) for part in parts]) for name in ("valid", "n_a", "n_b", "n_groups", "link_key")}
-    link_unit = np.concatenate([part.link_unit + start for part, start in zip(parts, first, strict=True)])
-    return Aligned(**joined, link_unit=link_unit, printed=[text for part in parts for text in part.printed])
-
-
-def _aligned(encoders: Encoders, units: list[bytes], memory: Memory) -> Aligned:
-    found = memory.encoded(encoders, units)
-    valid = np.array([ids is not None for ids in found], dtype=bool)
-    n_a, n_b = (np.array([len(ids[side]) if ids else 0 for ids in found], dtype=np.int64) for side in (0, 1))
-    a, b = (np.fromiter((i for ids in found if ids for i in ids[side]), dtype=np.int64, count=total) for side, total in ((0, n_a.sum()), (1, n_b.sum())))
+def _aligned(encoders: Encoders, units: list[bytes]) -> Aligned:
+    a_ids, b_ids, valid = encoders.encoded(units)
+    (a, n_a), (b, n_b) = _flat(a_ids), _flat(b_ids)
     a_ends, b_ends = np.cumsum(encoders.a_lengths[a]), np.cumsum(encoders.b_lengths[b])
     # Between two neighbouring ends there is one token of each: a link.
-    ends = np.union1d(a_ends, b_ends)
+    marks = np.zeros(a_ends[-1] + 1 if len(a_ends) else 0, dtype=bool)
+    marks[a_ends] = marks[b_ends] = True
+    ends = np.flatnonzero(marks)
     in_a, in_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
     a_unit = np.repeat(np.arange(len(units)), n_a)
     both = (a_ends[in_a] == ends) & (b_ends[in_b] == ends)
@@ -258,7 +300,7 @@ def _first_pass(source: Source, shards: int, slice_bytes: int):
         task = TaskContext.get().partitionId() << 32
         for number, batch in enumerate(_whole_slices(batches, slice_bytes)):
             codes, units, first = cuts(batch.column("text"))
-            found = aligned(encoders, units, memory)
+            found = memory.aligned(encoders, units)
             of_valid = np.repeat(_valid_texts(found, codes, first), np.diff(first))
             times = np.bincount(codes[of_valid], minlength=len(units))
             keys, place = np.unique(found.link_key, return_inverse=True)
@@ -428,7 +470,7 @@ def _second_pass(source: Source):
 
 def _measured(encoders: Encoders, memory: Memory, rows: pa.RecordBatch, keys: np.ndarray, counts: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
     codes, units, first = cuts(rows.column("text"))
-    found = aligned(encoders, units, memory)
+    found = memory.aligned(encoders, units)
     valid = _valid_texts(found, codes, first)
     # Links of texts without tokens may be missing among the keys; what is summed for them is not used.
     place = np.minimum(np.searchsorted(keys, found.link_key), max(len(keys) - 1, 0))
