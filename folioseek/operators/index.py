@@ -1,71 +1,85 @@
-"""The chunk index: build, keep, open and search."""
+"""The chunk index: build, keep, add to, open and search.
+
+An index is a folder of segments and of published versions. A segment is
+written once and never changed: chunks with vectors in files of at most
+``ROWS_PER_FILE`` rows in the order of ``row``, inverted blocks of them
+(``postings``), in how many chunks each bucket occurs, and which file holds
+which rows. A version names its segments and its statistics, and is published
+in one step (``sources.versions``): a reader keeps to the version it opened
+while another is written, and a build that dies leaves the old one in place.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from hashlib import sha256
+from operator import or_
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from folioseek.config import DEFAULT_K, ChunkSettings
 from folioseek.functions.prompts import prefixed_question
 from folioseek.operators.chunking import chunk_documents
 from folioseek.operators.embedders import HashedTerms
+from folioseek.operators.postings import make_postings, walk
 from folioseek.operators.retrieval import MAX_BLOCK_HITS, nearest
+from folioseek.sources import versions
 from folioseek.sources.files import spread_small
 
 CHUNK_KEY = ("doc_id", "chunk_no")
+IDS = (*CHUNK_KEY, "segment", "row")
 
-# Folders the chunks of an index are spread over.
-PARTS = 4096
-
+# Rows of a file are those that have the bits of ``row`` above these in common.
+SLOT_BITS = 14
+ROWS_PER_FILE = 1 << SLOT_BITS
 
-def indexed_chunks(corpus: DataFrame, embedder, settings: ChunkSettings = ChunkSettings()) -> DataFrame:
-    """Chunk rows with vectors, from ``(doc_id, source, full_text)``.
+# Small row groups, so that few texts are read for a hit.
+ROW_GROUP_BYTES = 8 << 20
 
-    It is one pass without a shuffle. ``part`` comes from the task that makes a
-    row, so a task writes to one folder only, and a search that knows the parts
-    of its hits reads no other folders to fetch their texts.
-    """
-    documents = corpus.select("doc_id", "source", "full_text")
-    return _with_part(embedder.vectorize_chunks(chunk_documents(documents, settings=settings)))
+# Ranges of rows that are pushed down to the scan for texts.
+MAX_RANGES = 64
 
 
-def _with_part(chunks: DataFrame) -> DataFrame:
-    # ``row`` is a key that is unique by construction: pages of one document and
-    # documents that are sent again have the same chunk numbers.
-    return chunks.withColumns({"part": F.spark_partition_id() % PARTS, "row": F.uuid()})
+def indexed_chunks(corpus: DataFrame, embedder, settings: ChunkSettings = ChunkSettings()) -> DataFrame:
+    """Chunk rows with vectors, from ``(doc_id, source, full_text)``, in one pass without a shuffle."""
+    documents = corpus.select("doc_id", "source", "full_text")
+    return embedder.vectorize_chunks(chunk_documents(documents, settings=settings))
 
 
 @dataclass(frozen=True)
 class ChunkIndex:
-    """Chunks with vectors below ``path``, opened with their embedder."""
+    """One version of the index below ``path``, opened with its embedder."""
 
     spark: SparkSession
     path: str
     embedder: object
+    version: int
+    meta: dict
+
+    def _read(self, name: str) -> list[str]:
+        return [f"{self.path}/segments/{segment['id']}/{name}" for segment in self.meta["segments"]]
 
     @cached_property
-    def meta(self) -> Row:
-        return self.spark.read.parquet(f"{self.path}/meta").first()
+    def schema(self) -> T.StructType:
+        return T.StructType.fromJson(json.loads(self.meta["schema"]))
 
     @cached_property
     def chunks(self) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(self.meta["schema"]))
-        return self.spark.read.schema(schema).parquet(f"{self.path}/chunks")
+        return self.spark.read.schema(self.schema).parquet(*self._read("chunks"))
 
     @cached_property
     def prepared(self):
         """What scoring needs to know of the whole index; bounded by the embedder's ``dim``."""
-        if not self.embedder.uses_statistics:
-            return None
-        statistics = self.spark.read.parquet(f"{self.path}/statistics")
-        return self.embedder.prepare(statistics, self.meta["num_chunks"])
+        return _prepared(self.spark, self.path, self.meta, self.embedder)
 
     def retrieve(self, questions: DataFrame, k: int = DEFAULT_K, prefix: str | None = None) -> DataFrame:
         """``(question_id, rank, score, doc_id, chunk_no)`` of the k best chunks; searched when called."""
-        return self._search(questions, k, prefix, lambda hits: hits.drop("part", "row"))
+        return self._search(questions, k, prefix, lambda hits: hits.drop("segment", "row"))
 
     def retrieve_texts(
         self, questions: DataFrame, k: int = DEFAULT_K, prefix: str | None = None
@@ -73,14 +87,26 @@ class ChunkIndex:
         """``retrieve`` with the ``source`` and ``text`` of each chunk."""
 
         def attach(hits: DataFrame) -> DataFrame:
-            texts = self.chunks.select("part", "row", "source", "text")
             # The hits of a block of questions are bounded, see ``nearest``;
             # only a block of one question may go beyond, by its k.
-            found = F.broadcast(hits) if k <= MAX_BLOCK_HITS else hits
-            return texts.join(found, ["part", "row"]).drop("part", "row")
+            bounded = k <= MAX_BLOCK_HITS
+            texts = self._files_with(hits, bounded).select("segment", "row", "source", "text")
+            return texts.join(F.broadcast(hits) if bounded else hits, ["segment", "row"]).drop("segment", "row")
 
         return self._search(questions, k, prefix, attach)
 
+    def _files_with(self, hits: DataFrame, bounded: bool) -> DataFrame:
+        """The chunks of the files that hold ``hits``, with the row groups left out that cannot."""
+        files = self.spark.read.parquet(*self._read("files"))
+        slots = hits.select("segment", _slot(F.col("row")).alias("slot")).distinct()
+        # As many names as there are hits at most.
+        found = slots.join(files, ["segment", "slot"]).select("segment", "file").distinct().collect()
+        if not found:
+            return self.chunks.where(F.lit(False))
+        paths = sorted(f"{self.path}/segments/{row['segment']}/chunks/{row['file']}" for row in found)
+        texts = self.spark.read.schema(self.schema).parquet(*paths)
+        return texts.where(_in_ranges(hits.select("row").distinct().toArrow()["row"].to_numpy())) if bounded else texts
+
     def _search(self, questions: DataFrame, k: int, prefix: str | None, attach) -> DataFrame:
         prefix = self.embedder.prefix if prefix is None else prefix
         asked = questions.select("question_id", prefixed_question(F.col("question"), prefix).alias("text"))
@@ -88,17 +114,43 @@ class ChunkIndex:
             self.embedder.vectorize(asked),
             self.chunks,
             self.embedder,
-            ids=(*CHUNK_KEY, "part", "row"),
+            ids=IDS,
             k=k,
             prepared=self.prepared,
             attach=attach,
+            walk=self._postings(k) if self.embedder.uses_statistics else None,
         )
 
+    def _postings(self, k: int):
+        slack = {segment["id"]: segment["slack"] for segment in self.meta["segments"]}
+        types = {name: self.schema[name].dataType.simpleString() for name in IDS}
+        return self.spark.read.parquet(*self._read("postings")), walk(IDS, k, slack), types
+
+
+def _slot(row: Column) -> Column:
+    return F.shiftright(row, SLOT_BITS)
+
+
+def _in_ranges(rows: np.ndarray, most: int = MAX_RANGES) -> Column:
+    """A condition on ``row`` that Parquet can check on its statistics: the rows in ranges, cut where they are furthest apart."""
+    rows = np.sort(rows)
+    gaps = np.diff(rows)
+    cuts = np.sort(np.argsort(-gaps, kind="stable")[: most - 1])
+    ends = np.append(rows[cuts], rows[-1]).tolist()
+    starts = np.append(rows[0], rows[cuts + 1]).tolist()
+    return reduce(or_, [F.col("row").between(low, high) for low, high in zip(starts, ends)])
+
+
+def _prepared(spark: SparkSession, path: str, meta: dict, embedder):
+    if not embedder.uses_statistics:
+        return None
+    return embedder.prepare(spark.read.parquet(f"{path}/statistics/{meta['statistics']}"), meta["num_chunks"])
+
 
 def build_index(
     corpus: DataFrame, path: str, settings: ChunkSettings = ChunkSettings(), embedder=HashedTerms()
 ) -> ChunkIndex:
-    """Chunk and embed a corpus and replace what is kept below ``path``."""
+    """Chunk and embed a corpus and replace what is published below ``path``."""
     return _write_index(indexed_chunks(spread_small(corpus, "doc_id"), embedder, settings), path, embedder)
 
 
@@ -108,33 +160,126 @@ def index_chunks(chunks: DataFrame, path: str, embedder=HashedTerms()) -> ChunkI
     ``chunks``: ``doc_id, source, chunk_no, num_chunks, text``.
     """
     rows = chunks.select("doc_id", "source", "chunk_no", "num_chunks", "text")
-    return _write_index(_with_part(embedder.vectorize(rows)), path, embedder)
+    return _write_index(embedder.vectorize(rows), path, embedder)
 
 
 def _write_index(chunks: DataFrame, path: str, embedder) -> ChunkIndex:
-    chunks.write.mode("overwrite").partitionBy("part").parquet(f"{path}/chunks")
-    return complete_index(chunks.sparkSession, path, chunks.schema, embedder)
+    segment = write_segment(chunks, path, embedder, new_segment())
+    return _published(chunks.sparkSession, path, embedder, segment, replace=True)
+
+
+def add_to_index(chunks: DataFrame, path: str, embedder, segment: int | None = None) -> ChunkIndex:
+    """Add chunks with vectors, as ``indexed_chunks`` makes them, to what is published, or publish them first.
 
+    ``segment`` names the addition: one that is published already is not added again.
+    """
+    spark = chunks.sparkSession
+    segment = new_segment() if segment is None else segment
+    number, base = versions.current(spark, path)
+    if base and segment in [part["id"] for part in base["segments"]]:
+        return ChunkIndex(spark, path, embedder, number, base)
+    return _published(spark, path, embedder, write_segment(chunks, path, embedder, segment), replace=False)
+
+
+def compact_index(index: ChunkIndex) -> ChunkIndex:
+    """One segment in place of those of ``index``, which has to be the present version."""
+    segment = write_segment(index.chunks.drop("segment", "row"), index.path, index.embedder, new_segment())
+    return _published(index.spark, index.path, index.embedder, segment, replace=True, after=index.version)
 
-def complete_index(spark: SparkSession, path: str, schema: T.StructType, embedder) -> ChunkIndex:
-    """Count chunks and buckets after the chunks below ``path`` were written."""
-    chunks = spark.read.schema(schema).parquet(f"{path}/chunks")
+
+def drop_unused(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Drop all but the newest ``keep`` versions and the folders that only the others use.
+
+    To be called while nothing is written to the index. Readers of dropped
+    versions fail. Returns the names of the dropped folders.
+    """
+    kept = [versions.read(spark, path, number) for number in versions.drop_versions(spark, path, keep)]
+    segments = {str(segment["id"]) for meta in kept for segment in meta["segments"]}
+    gone = versions.drop_folders(spark, f"{path}/segments", segments)
+    return gone + versions.drop_folders(spark, f"{path}/statistics", {meta["statistics"] for meta in kept if meta["statistics"]})
+
+
+def new_segment(*names: object) -> int:
+    """A number for a segment: one that ``names`` stand for, or that nobody else has."""
+    text = " ".join(map(str, names)) if names else uuid4().hex
+    return int.from_bytes(sha256(text.encode()).digest()[:7], "big")
+
+
+def write_segment(chunks: DataFrame, path: str, embedder, segment: int) -> dict:
+    """Write the chunks of a segment, their counts and their files; a repeated attempt replaces its own."""
+    spark, folder = chunks.sparkSession, f"{path}/segments/{segment}"
+    rows = chunks.withColumns({"segment": F.lit(segment).cast("long"), "row": F.monotonically_increasing_id()})
+    writer = rows.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).option("parquet.block.size", ROW_GROUP_BYTES)
+    writer.parquet(f"{folder}/chunks")
+    stored = spark.read.schema(rows.schema).parquet(f"{folder}/chunks")
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    files = stored.groupBy("segment", _slot(F.col("row")).alias("slot"), name.alias("file")).agg(F.count("*").alias("num_rows"))
+    files.write.mode("overwrite").parquet(f"{folder}/files")
     if embedder.uses_statistics:
-        embedder.statistics(chunks).write.mode("overwrite").parquet(f"{path}/statistics")
-    meta = chunks.agg(F.count(F.lit(1)).alias("num_chunks")).select(
-        "num_chunks",
-        F.lit(embedder.name).alias("embedder"),
-        F.lit(embedder.dim).alias("dim"),
-        F.lit(schema.json()).alias("schema"),
-    )
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
-    return ChunkIndex(spark, path, embedder)
+        embedder.statistics(stored).write.mode("overwrite").parquet(f"{folder}/statistics")
+    count = spark.read.schema(files.schema).parquet(f"{folder}/files").agg(F.coalesce(F.sum("num_rows"), F.lit(0))).first()[0]
+    return {"id": segment, "num_chunks": count, "schema": rows.schema.json(), "stored": stored}
+
+
+def _published(spark: SparkSession, path: str, embedder, segment: dict, replace: bool, after: int | None = None) -> ChunkIndex:
+    """Publish a version with the segment, in place of the others or beside them."""
+    stored, used = segment.pop("stored"), None
+    while True:
+        number, base = versions.current(spark, path)
+        if after is not None and number != after:
+            raise versions.VersionTaken(f"version {number} of {path} is newer than {after}")
+        others: Sequence[dict] = [] if replace or not base else base["segments"]
+        if segment["id"] in [part["id"] for part in others]:
+            return ChunkIndex(spark, path, embedder, number, base)
+        if others and (base["embedder"], base["dim"]) != (embedder.name, embedder.dim):
+            raise ValueError(f"index holds vectors of {(base['embedder'], base['dim'])}, not of {(embedder.name, embedder.dim)}")
+        meta = {
+            "embedder": embedder.name,
+            "dim": embedder.dim,
+            "num_chunks": segment["num_chunks"] + (base["num_chunks"] if others else 0),
+            "schema": segment["schema"],
+            "segments": [],
+            "statistics": None,
+        }
+        own = {"id": segment["id"], "num_chunks": segment["num_chunks"], "slack": 1.0}
+        if embedder.uses_statistics:
+            meta["statistics"] = uuid4().hex
+            counts = spark.read.parquet(f"{path}/segments/{segment['id']}/statistics")
+            if others:
+                before = spark.read.parquet(f"{path}/statistics/{base['statistics']}")
+                counts = before.unionByName(counts).groupBy("bucket").agg(F.sum("df").alias("df"))
+            counts.write.parquet(f"{path}/statistics/{meta['statistics']}")
+            weights = _prepared(spark, path, meta, embedder)
+            if used is None:
+                used = weights
+                postings = make_postings(stored, embedder.column, (*CHUNK_KEY, "row"), used)
+                postings = postings.withColumn("segment", F.lit(segment["id"]).cast("long"))
+                postings.write.mode("overwrite").parquet(f"{path}/segments/{segment['id']}/postings")
+            own["slack"] = _widening(used, weights)
+            if others:
+                wider = _widening(_prepared(spark, path, base, embedder), weights)
+                others = [part | {"slack": part["slack"] * wider} for part in others]
+        meta["segments"] = [*others, own]
+        try:
+            versions.publish(spark, path, number + 1, meta)
+        except versions.VersionTaken:
+            if after is not None:
+                raise
+            continue  # another writer was faster; its version is the base now
+        return ChunkIndex(spark, path, embedder, number + 1, meta)
+
+
+def _widening(before: np.ndarray, now: np.ndarray) -> float:
+    """By how much shares can have grown between two squared weights: a vector shrinks no more than its weights."""
+    return float(np.sqrt(max(1.0, (before / now).max())))
 
 
 def open_index(spark: SparkSession, path: str, embedder=HashedTerms()) -> ChunkIndex:
-    """Open an index; its questions must be embedded as its chunks were."""
-    index = ChunkIndex(spark, path, embedder)
-    stored = (index.meta["embedder"], index.meta["dim"])
+    """Open the present version of an index; its questions must be embedded as its chunks were."""
+    number, meta = versions.current(spark, path)
+    if meta is None:
+        raise FileNotFoundError(f"no index is published in {path}")
+    stored = (meta["embedder"], meta["dim"])
     if stored != (embedder.name, embedder.dim):
         raise ValueError(f"index holds vectors of {stored}, not of {(embedder.name, embedder.dim)}")
-    return index
+    return ChunkIndex(spark, path, embedder, number, meta)

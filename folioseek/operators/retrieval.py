@@ -24,6 +24,10 @@ TASKS_PER_CORE = 8
 SPLITS_PER_TASK = 64
 
 
+# Scores that wait to be merged with the best rows.
+WAITING_ROWS = 2048
+
+
 class BestRows:
     """The k best rows per question seen so far in one task."""
 
@@ -34,6 +38,8 @@ class BestRows:
         self.question = np.empty(0, np.int64)
         self.score = np.empty(0, np.float64)
         self.ids: list[np.ndarray] | None = None
+        self.waiting: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
+        self.num_waiting = 0
 
     def add(self, scores: np.ndarray, ids: list[np.ndarray]) -> None:
         """Merge a ``rows x questions`` tile; smaller ids win equal scores."""
@@ -44,10 +50,29 @@ class BestRows:
         row, question = np.nonzero(worthy)
         if len(row) == 0:
             return
-        new_ids = [column[row] for column in ids]
+        self._merge(question, scores[row, question], [column[row] for column in ids])
+
+    def add_cells(self, question: np.ndarray, scores: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Take in single scores with the question and the ids of each; ``flush`` merges the last of them."""
+        worthy = np.flatnonzero((scores >= self.bar[question]) & (scores > self.floor))
+        if len(worthy):
+            self.waiting.append((question[worthy], scores[worthy], [column[worthy] for column in ids]))
+            self.num_waiting += len(worthy)
+        # Merging sorts all that is kept, so it waits until there is something to merge.
+        enough = min(WAITING_ROWS, 2 * self.k * len(self.bar))
+        if self.num_waiting > max(enough, len(self.question) // 2):
+            self.flush()
+
+    def flush(self) -> None:
+        if self.waiting:
+            questions, scores, ids = zip(*self.waiting)
+            self.waiting, self.num_waiting = [], 0
+            self._merge(np.concatenate(questions), np.concatenate(scores), [np.concatenate(column) for column in zip(*ids)])
+
+    def _merge(self, question: np.ndarray, scores: np.ndarray, new_ids: list[np.ndarray]) -> None:
         self.ids = new_ids if self.ids is None else [np.concatenate(p) for p in zip(self.ids, new_ids)]
         self.question = np.concatenate([self.question, question])
-        self.score = np.concatenate([self.score, scores[row, question]])
+        self.score = np.concatenate([self.score, scores])
         order = np.lexsort((*reversed(self.ids), -self.score, self.question))
         sorted_question = self.question[order]
         place = np.arange(len(order)) - np.searchsorted(sorted_question, sorted_question)
@@ -73,38 +98,44 @@ def _id_array(column: pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-def _search_block(
-    vectors: DataFrame, column: str, ids: Sequence[str], question_ids: list, question_type: str, scorer, k: int
-) -> DataFrame:
-    """``(question_id, score, *ids, rank)``: k best rows per question, found once and written."""
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast((scorer, question_ids))
-    types = {"question_id": question_type, "score": "double"}
-    types |= {name: vectors.schema[name].dataType.simpleString() for name in ids}
+def scan(column: str, ids: Sequence[str], k: int):
+    """Search rows by the scores of all of them."""
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, question_ids = shared.value
-        kept = BestRows(len(question_ids), k, scorer.floor())
+    def find(batches: Iterator[pa.RecordBatch], scorer) -> BestRows:
+        kept = BestRows(scorer.num_questions, k, scorer.floor())
         for batch in batches:
             id_columns = [_id_array(batch.column(name)) for name in ids]
             for top, scores in scorer.tiles(batch.column(column)):
                 kept.add(scores, [values[top : top + len(scores)] for values in id_columns])
+        return kept
+
+    return find
+
+
+def _search_block(stored: DataFrame, find, id_types: dict[str, str], question_ids: list, question_type: str, scorer, k: int) -> DataFrame:
+    """``(question_id, score, *ids, rank)``: k best rows per question, found once and written."""
+    spark = stored.sparkSession
+    shared = spark.sparkContext.broadcast((scorer, question_ids))
+    types = {"question_id": question_type, "score": "double"} | id_types
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, question_ids = shared.value
+        kept = find(batches, scorer)
         if len(kept.question):
             columns = {
                 "question_id": pa.array([question_ids[q] for q in kept.question], ARROW_TYPES[question_type]),
                 "score": pa.array(kept.score),
             }
-            for name, values in zip(ids, kept.ids):
+            for name, values in zip(id_types, kept.ids):
                 columns[name] = pa.array(values.tolist(), ARROW_TYPES[types[name]])
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = ", ".join(f"{name} {kind}" for name, kind in types.items())
-    stored = vectors.select(column, *ids)
     splits = stored.rdd.getNumPartitions()
     tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-splits // SPLITS_PER_TASK))
     found = stored.coalesce(tasks).mapInArrow(best, schema)
     # The window sees k rows per task and question, not one per chunk.
-    ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), *[F.asc(name) for name in ids])
+    ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), *[F.asc(name) for name in id_types])
     best_found = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     hits = written(best_found, "hits")
     shared.destroy()
@@ -137,6 +168,7 @@ def nearest(
     k: int,
     prepared=None,
     attach=lambda hits: hits,
+    walk=None,
 ) -> DataFrame:
     """Exact k nearest rows of ``vectors`` for each ``(question_id, vector)``.
 
@@ -147,12 +179,16 @@ def nearest(
     whatever is done with them, and ``attach`` may broadcast them. With more
     questions than one block holds, each block is completed by ``attach`` and
     written before the next one: neither the driver nor an executor ever holds
-    more than one block.
+    more than one block. ``walk`` searches rows of another form than ``vectors``
+    and says of which: ``(rows, find, types of ids)``.
     """
     question_type = question_vectors.schema["question_id"].dataType.simpleString()
     column = embedder.column
     # Blocks are counted and then read one by one; vectors are made once.
     questions = written(question_vectors.select("question_id", column), "questions")
+    if walk is None:
+        walk = vectors.select(column, *ids), scan(column, ids, k), {name: vectors.schema[name].dataType.simpleString() for name in ids}
+    stored, find, id_types = walk
     counted = questions.agg(F.count("question_id").alias("ids"), F.count_distinct("question_id").alias("distinct"), F.count("*").alias("rows"))
     ids_found = counted.first()
     if len(set(ids_found)) > 1:
@@ -165,7 +201,7 @@ def nearest(
         rows = part.collect() if blocks else []  # bounded: see MAX_BLOCK_CELLS
         scorer = embedder.scorer([row[column] for row in rows], prepared)
         asked = [row["question_id"] for row in rows]
-        return attach(_search_block(vectors, column, ids, asked, question_type, scorer, k))
+        return attach(_search_block(stored, find, id_types, asked, question_type, scorer, k))
 
     if blocks <= 1:
         return search(0)

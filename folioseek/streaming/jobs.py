@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioseek.config import ChunkSettings
 from folioseek.operators.embedders import HashedTerms
-from folioseek.operators.index import ChunkIndex, indexed_chunks
+from folioseek.operators.index import ChunkIndex, add_to_index, indexed_chunks, new_segment
 from folioseek.plans.answering import answer_questions
 from folioseek.sources.scratch import owned
 
@@ -23,16 +23,19 @@ def stream_chunks(
 ) -> StreamingQuery:
     """Add the chunks of arriving ``(doc_id, source, full_text)`` to an index.
 
-    Chunking and embedding keep no state, so the file sink writes each chunk
-    exactly once. ``complete_index`` brings the statistics up to date.
+    Each batch is a segment named by the checkpoint and the number of the
+    batch. Its counts are added to those of the version before, and the new
+    version is published in one step, so a batch that is run again counts once
+    and readers see whole batches. ``compact_index`` joins many small segments.
     ``tasks`` spreads batches that come in fewer files than there are cores.
     """
-    arriving = documents if tasks is None else documents.repartition(tasks, "doc_id")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        arriving = batch if tasks is None else batch.repartition(tasks, "doc_id")
+        add_to_index(indexed_chunks(arriving, embedder, settings), path, embedder, new_segment(checkpoint, batch_id))
+
     return (
-        indexed_chunks(arriving, embedder, settings)
-        .writeStream.format("parquet")
-        .partitionBy("part")
-        .option("path", f"{path}/chunks")
+        documents.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

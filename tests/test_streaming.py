@@ -1,5 +1,4 @@
-from folioseek.operators.embedders import HashedTerms
-from folioseek.operators.index import build_index, complete_index, indexed_chunks
+from folioseek.operators.index import build_index, open_index
 from folioseek.plans.answering import answer_questions
 from folioseek.sources.scratch import fresh_path
 from folioseek.streaming.jobs import stream_answers, stream_chunks
@@ -17,7 +16,8 @@ def test_documents_and_questions_as_streams(spark, tmp_path):
     for batch in (first, later):
         batch.write.mode("append").parquet(source)
         stream_chunks(arriving, path, f"{path}/checkpoint").awaitTermination()
-    streamed = complete_index(spark, path, indexed_chunks(arriving, HashedTerms()).schema, HashedTerms())
+    streamed = open_index(spark, path)
+    assert streamed.version == len(streamed.meta["segments"]) == 2
     whole = build_index(first.unionByName(later), fresh_path(spark, "index"))
     columns = ["doc_id", "chunk_no", "num_chunks", "source", "text", "vec"]
     assert sorted(streamed.chunks.select(*columns).collect()) == sorted(whole.chunks.select(*columns).collect())
