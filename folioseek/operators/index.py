@@ -14,19 +14,19 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 from hashlib import sha256
-from operator import or_
 from uuid import uuid4
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from folioseek.config import DEFAULT_K, ChunkSettings
 from folioseek.functions.prompts import prefixed_question
 from folioseek.operators.chunking import chunk_documents
 from folioseek.operators.embedders import HashedTerms
-from folioseek.operators.postings import make_postings, walk
+from folioseek.operators.postings import make_postings, postings_schema, walk
 from folioseek.operators.retrieval import MAX_BLOCK_HITS, nearest
 from folioseek.sources import versions
 from folioseek.sources.files import spread_small
@@ -44,6 +44,9 @@ ROW_GROUP_BYTES = 8 << 20
 # Ranges of rows that are pushed down to the scan for texts.
 MAX_RANGES = 64
 
+FILES = "segment bigint, slot bigint, file string, num_rows bigint"
+STATISTICS = "bucket int, df bigint"
+
 
 def indexed_chunks(corpus: DataFrame, embedder, settings: ChunkSettings = ChunkSettings()) -> DataFrame:
     """Chunk rows with vectors, from ``(doc_id, source, full_text)``, in one pass without a shuffle."""
@@ -97,15 +100,24 @@ class ChunkIndex:
 
     def _files_with(self, hits: DataFrame, bounded: bool) -> DataFrame:
         """The chunks of the files that hold ``hits``, with the row groups left out that cannot."""
-        files = self.spark.read.parquet(*self._read("files"))
-        slots = hits.select("segment", _slot(F.col("row")).alias("slot")).distinct()
-        # As many names as there are hits at most.
-        found = slots.join(files, ["segment", "slot"]).select("segment", "file").distinct().collect()
-        if not found:
-            return self.chunks.where(F.lit(False))
+        if not bounded:
+            slots = hits.select("segment", _slot(F.col("row")).alias("slot")).distinct()
+            return self._texts(self._files().join(slots, ["segment", "slot"], "left_semi"))
+        rows = hits.select("segment", "row").toArrow()
+        segment, row = (rows[name].to_numpy() for name in ("segment", "row"))
+        places = np.unique(np.stack([segment, row >> SLOT_BITS], axis=1), axis=0)
+        slots = self.spark.createDataFrame(pa.table({"segment": places[:, 0], "slot": places[:, 1]}))
+        texts = self._texts(self._files().join(F.broadcast(slots), ["segment", "slot"], "left_semi"))
+        return texts.where(_in_ranges(row)) if len(row) else texts
+
+    def _files(self) -> DataFrame:
+        return self.spark.read.schema(FILES).parquet(*self._read("files"))
+
+    def _texts(self, files: DataFrame) -> DataFrame:
+        """The chunks of ``files``; there are as many names as hits at most, or as files of the index."""
+        found = files.select("segment", "file").distinct().collect()
         paths = sorted(f"{self.path}/segments/{row['segment']}/chunks/{row['file']}" for row in found)
-        texts = self.spark.read.schema(self.schema).parquet(*paths)
-        return texts.where(_in_ranges(hits.select("row").distinct().toArrow()["row"].to_numpy())) if bounded else texts
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.chunks.where(F.lit(False))
 
     def _search(self, questions: DataFrame, k: int, prefix: str | None, attach) -> DataFrame:
         prefix = self.embedder.prefix if prefix is None else prefix
@@ -124,7 +136,9 @@ class ChunkIndex:
     def _postings(self, k: int):
         slack = {segment["id"]: segment["slack"] for segment in self.meta["segments"]}
         types = {name: self.schema[name].dataType.simpleString() for name in IDS}
-        return self.spark.read.parquet(*self._read("postings")), walk(IDS, k, slack), types
+        lists = {name: kind for name, kind in types.items() if name != "segment"}
+        schema = f"{postings_schema(lists)}, segment bigint"
+        return self.spark.read.schema(schema).parquet(*self._read("postings")), walk(IDS, k, slack), types
 
 
 def _slot(row: Column) -> Column:
@@ -138,13 +152,13 @@ def _in_ranges(rows: np.ndarray, most: int = MAX_RANGES) -> Column:
     cuts = np.sort(np.argsort(-gaps, kind="stable")[: most - 1])
     ends = np.append(rows[cuts], rows[-1]).tolist()
     starts = np.append(rows[0], rows[cuts + 1]).tolist()
-    return reduce(or_, [F.col("row").between(low, high) for low, high in zip(starts, ends)])
+    return F.expr(" OR ".join(f"row BETWEEN {low} AND {high}" for low, high in zip(starts, ends)))
 
 
 def _prepared(spark: SparkSession, path: str, meta: dict, embedder):
     if not embedder.uses_statistics:
         return None
-    return embedder.prepare(spark.read.parquet(f"{path}/statistics/{meta['statistics']}"), meta["num_chunks"])
+    return embedder.prepare(spark.read.schema(STATISTICS).parquet(f"{path}/{meta['statistics']}"), meta["num_chunks"])
 
 
 def build_index(
@@ -196,7 +210,7 @@ def drop_unused(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     kept = [versions.read(spark, path, number) for number in versions.drop_versions(spark, path, keep)]
     segments = {str(segment["id"]) for meta in kept for segment in meta["segments"]}
     gone = versions.drop_folders(spark, f"{path}/segments", segments)
-    return gone + versions.drop_folders(spark, f"{path}/statistics", {meta["statistics"] for meta in kept if meta["statistics"]})
+    return gone + versions.drop_folders(spark, f"{path}/statistics", {meta["statistics"].split("/")[-1] for meta in kept if meta["statistics"]})
 
 
 def new_segment(*names: object) -> int:
@@ -217,7 +231,7 @@ def write_segment(chunks: DataFrame, path: str, embedder, segment: int) -> dict:
     files.write.mode("overwrite").parquet(f"{folder}/files")
     if embedder.uses_statistics:
         embedder.statistics(stored).write.mode("overwrite").parquet(f"{folder}/statistics")
-    count = spark.read.schema(files.schema).parquet(f"{folder}/files").agg(F.coalesce(F.sum("num_rows"), F.lit(0))).first()[0]
+    count = spark.read.schema(FILES).parquet(f"{folder}/files").agg(F.coalesce(F.sum("num_rows"), F.lit(0))).first()[0]
     return {"id": segment, "num_chunks": count, "schema": rows.schema.json(), "stored": stored}
 
 
@@ -243,12 +257,11 @@ def _published(spark: SparkSession, path: str, embedder, segment: dict, replace:
         }
         own = {"id": segment["id"], "num_chunks": segment["num_chunks"], "slack": 1.0}
         if embedder.uses_statistics:
-            meta["statistics"] = uuid4().hex
-            counts = spark.read.parquet(f"{path}/segments/{segment['id']}/statistics")
+            meta["statistics"] = f"segments/{segment['id']}/statistics"
             if others:
-                before = spark.read.parquet(f"{path}/statistics/{base['statistics']}")
-                counts = before.unionByName(counts).groupBy("bucket").agg(F.sum("df").alias("df"))
-            counts.write.parquet(f"{path}/statistics/{meta['statistics']}")
+                both = spark.read.schema(STATISTICS).parquet(f"{path}/{base['statistics']}", f"{path}/{meta['statistics']}")
+                meta["statistics"] = f"statistics/{uuid4().hex}"
+                both.groupBy("bucket").agg(F.sum("df").alias("df")).write.parquet(f"{path}/{meta['statistics']}")
             weights = _prepared(spark, path, meta, embedder)
             if used is None:
                 used = weights

@@ -38,8 +38,13 @@ def current(spark: SparkSession, path: str) -> tuple[int, dict | None]:
 
 
 def read(spark: SparkSession, path: str, number: int) -> dict:
-    """The content of a version, which is one line of JSON."""
-    return json.loads(spark.read.text(f"{path}/published/{number:012d}").first()["value"])
+    """The content of a version."""
+    file, files = _file_system(spark, f"{path}/published/{number:012d}")
+    stream = files.open(file)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def publish(spark: SparkSession, path: str, number: int, content: dict) -> None:

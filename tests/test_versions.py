@@ -28,7 +28,7 @@ def found(index, spark, k=4):
 
 
 def statistics(spark, index):
-    return sorted(tuple(r) for r in spark.read.parquet(f"{index.path}/statistics/{index.meta['statistics']}").collect())
+    return sorted(tuple(r) for r in spark.read.parquet(f"{index.path}/{index.meta['statistics']}").collect())
 
 
 def test_added_segments_equal_one_build(spark):
