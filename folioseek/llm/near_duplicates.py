@@ -6,7 +6,8 @@ equal for two sets with the probability of their similarity, so that 64 hash
 evaluations make 128 values. ``ROWS`` values make a band; two sets that share
 a band are candidates, and candidates are links once their full sets confirm it.
 
-* Equal sets are one class from the start, whatever their number.
+* Equal sets are one class from the start, whatever their number. A class has a
+  number of its own; ids of documents come in at the end.
 * In the bucket of a band every class is compared with two of its members
   chosen by hash, which joins nearly all of a group in linear work. What is
   still in different components of one bucket after that is compared with each
@@ -15,7 +16,7 @@ a band are candidates, and candidates are links once their full sets confirm it.
 * No bucket, class or component is gathered in one task or on the driver.
 
 A row without words is linked with nothing. Rows that repeat a ``doc_id`` are
-one document: they share its component. A row without ``doc_id`` cannot be
+one document: they share its component, and so do texts of all of them. A row without ``doc_id`` cannot be
 compared; it has no component and is kept. Columns other than ``doc_id`` and
 ``text`` are not read, whatever their names.
 """
@@ -82,8 +83,9 @@ def _sets(size: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices([whole])):
             sets = list(shingle_sets(batch.column("text"), size))
+            sets = [s.tobytes() for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"]
+                [pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"]
             )
 
     return make
@@ -121,20 +123,31 @@ def _confirmed(percent: int):
     return confirm
 
 
-def _shingles(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """The full sets of the documents ``ids``."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    made = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), f"doc_id {kind}, shingles binary")
-    return written(made.dropDuplicates(["doc_id"]), "sets")
+def _shingles(texts: DataFrame, classes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``class, shingles``: the full sets of the classes ``ids``, made from the text of one document of each."""
+    wanted = written(classes.join(ids, "class", "left_semi").select("class", "digest", "least"), "wanted")
+    of_these = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    made = of_these.mapInArrow(_sets(size), "digest binary, shingles binary")
+    # A document that repeats may have other sets too.
+    return written(made.join(wanted.select("digest", "class"), "digest").dropDuplicates(["class"]).select("class", "shingles"), "sets")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of classes whose full sets are similar enough."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    sets = _shingles(texts, written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), size)
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    return written(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), f"a {kind}, b {kind}"), "links")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ids")
+    sets = _shingles(texts, classes, ids, size)
+    b = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
+    a = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
+    return written(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
+
+
+def _repeated(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of the classes that one repeated ``doc_id`` has."""
+    named = signed.where("doc_id is not null and digest is not null")
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one < other")
+    pairs = named.join(written(several, "several"), "doc_id").where("digest > one").select("one", "digest").distinct()
+    of = lambda digest, name: classes.select(F.col("digest").alias(digest), F.col("class").alias(name))
+    return written(pairs, "repeated").join(of("one", "a"), "one").join(of("digest", "b"), "digest").select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -153,7 +166,8 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     classes = written(
         signed.where("digest is not null and doc_id is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )
     members = classes.select("class", "n", F.explode("bands").alias("band"))
@@ -174,16 +188,16 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     near = F.col("class") != F.col("hub")
     near &= 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     pair = (F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
-    links = _links(written(crowded.where(near).select(*pair).distinct(), "pairs"), texts, shingle_words, percent)
+    links = _links(written(crowded.where(near).select(*pair).distinct(), "pairs"), texts, classes, shingle_words, percent)
     shared = members.join(hubs.select("band").distinct(), "band", "left_semi")
     links = links.unionByName(_links_apart(shared, components(links), classes, texts, shingle_words, percent))
-    found = written(components(links), "components")
+    found = components(links.unionByName(_repeated(signed, classes))).withColumnRenamed("node", "class")
+    labelled = classes.select("digest", "class", "least").join(written(found, "components"), "class", "left")
+    labelled = written(labelled.withColumn("part", F.coalesce("component", "class")).select("digest", "class", "least", "part"), "labelled")
+    smallest = written(labelled.groupBy("part").agg(F.min("least").alias("component")), "smallest")
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     joined = written(
-        classes.select("digest", "class")
-        .join(found.withColumnRenamed("node", "class"), "class", "left")
-        .join(degree, "class", "left")
-        .select("digest", F.coalesce("component", "class").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
+        labelled.join(smallest, "part").join(degree, "class", "left").select("digest", "component", F.coalesce("n_links", F.lit(0)).alias("n_links")),
         "joined",
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -287,7 +301,6 @@ def _links_apart(members: DataFrame, found: DataFrame, classes: DataFrame, texts
     meet in one group: a bucket of any size is many small groups, and a pair of
     documents is never a row.
     """
-    kind = texts.schema["doc_id"].dataType.simpleString()
     labelled = written(
         members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
             "component", F.coalesce("component", "class")
@@ -309,16 +322,15 @@ def _links_apart(members: DataFrame, found: DataFrame, classes: DataFrame, texts
         .withColumn("other", other)
         .select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class", "n", "component", "bands")
     )
-    schema = f"band bigint, low int, high int, part int, class {kind}, n bigint, component {kind}, bands array<bigint>"
+    schema = "band bigint, low int, high int, part int, class bigint, n bigint, component bigint, bands array<bigint>"
     keys = ["band", "low", "high"]
     suspects = written(left.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(_suspects(percent), schema), "suspects")
-    ids = written(suspects.select(F.col("class").alias("doc_id")).distinct(), "ids")
-    sets = _shingles(texts, ids, size).withColumnRenamed("doc_id", "class")
+    sets = _shingles(texts, classes, written(suspects.select("class").distinct(), "ids"), size)
     return written(
         suspects.join(sets, "class")
         .select(*suspects.columns, "shingles")
         .repartition(*keys)
         .sortWithinPartitions(*keys, "class")
-        .mapInArrow(_compared(percent), f"a {kind}, b {kind}"),
+        .mapInArrow(_compared(percent), "a bigint, b bigint"),
         "links",
     )

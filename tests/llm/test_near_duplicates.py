@@ -66,6 +66,16 @@ def test_crowded_group_equals_brute_force(spark, monkeypatch):
     assert found(spark, rows, 3, 85) == brute(rows, 3, 85)
 
 
+def test_repeated_ids_with_several_texts_equal_brute_force(spark):
+    a, b = (" ".join(f"{side}{i}" for i in range(100)) for side in "ab")
+    rows = [(1, a), (1, b), (2, f"{b} z"), (3, f"{a} z"), (4, "of its own"), (4, None), (5, f"{a} y"), (5, "another text altogether"), (6, "another text altogether")]
+    assert found(spark, rows, 3, 85) == brute(rows, 3, 85)
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice([a, b]).split()[:90] + [f"n{draw.randrange(3)}"]) for _ in range(40)]
+    rows = [(draw.randrange(25), text) for text in texts]
+    assert found(spark, rows, 3, 85) == brute(rows, 3, 85)
+
+
 def test_empty_table(spark):
     assert found(spark, [], 5, 80) == []
 
