@@ -14,8 +14,8 @@ last bin is put in order. A source with a third of all rows is therefore
 summed like any other.
 
 A null text has no words; a document without words is taken no time. A null
-source is a source, the last. Rows that repeat a ``doc_id`` have one rank and
-stand next to each other. A null ``doc_id`` is hashed like a value of its own.
+source is a source, the last. Rows that repeat a ``doc_id``, or have none, share a rank and
+stand next to each other; where the target falls among equal ones, so many of them are taken.
 Other columns pass through; results replace columns of the same name.
 """
 
@@ -26,6 +26,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioseek.llm.common import words
+from folioseek.operators.scans import running
 from folioseek.sources.scratch import written
 
 WEIGHTS = (5, 2, 1)
@@ -147,6 +148,8 @@ def taken(sizes: DataFrame, made: DataFrame, seed: int = 1) -> DataFrame:
         made.select(*[F.col(c).alias(f"plan {c}") for c in made.columns]),
         F.col("source").eqNullSafe(plan_of["of"]) & (F.col(LEVEL) == plan_of["at"]),
     ).withColumn("plan rank", _rank(seed, plan_of["part"]))
+    own = F.struct(rank.alias("rank"), "doc_id", "size")
+    rows = _numbered(rows, own == plan_of["limit"], made)
     first, second = _bin(rank, F.lit(0.0), F.lit(1.0)), _bin(rank, plan_of["next_low"], plan_of["next_high"])
     first_bin, second_bin = plan_of["first_bin"], plan_of["second_bin"]
     inside = (
@@ -155,7 +158,7 @@ def taken(sizes: DataFrame, made: DataFrame, seed: int = 1) -> DataFrame:
         .when(first != first_bin, first < first_bin)
         .when(second_bin.isNull(), True)
         .when(second != second_bin, second < second_bin)
-        .otherwise(F.coalesce(F.struct(rank, "doc_id", "size") <= plan_of["limit"], F.lit(False)))
+        .otherwise(F.coalesce((own < plan_of["limit"]) | ((own == plan_of["limit"]) & (F.coalesce("plan number", F.lit(1)) <= plan_of["ties"])), F.lit(False)))
     )
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(plan_of["whole"] + inside.cast("int")).cast("long")
     kept = [c for c in sizes.columns if c not in (LEVEL, "source_size", "target", "copies", "taken")]
@@ -163,6 +166,20 @@ def taken(sizes: DataFrame, made: DataFrame, seed: int = 1) -> DataFrame:
     return found.withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def _numbered(rows: DataFrame, is_tie: Column, made: DataFrame) -> DataFrame:
+    """``rows`` with ``plan number`` where rows are equal in rank, id and size and not all of them are taken.
+
+    Only such rows are numbered, in ranges of any size; hardly ever are there any.
+    """
+    none = F.lit(None).cast("long").alias("plan number")
+    if made.where("ties < tie_rows").isEmpty():
+        return rows.select("*", none)
+    is_tie = F.coalesce(is_tie & (F.col("plan ties") < F.col("plan tie_rows")), F.lit(False))
+    order = ["doc_id", *(["text"] if "text" in rows.columns else [])]
+    ties = running(rows.where(is_tie), ["plan of"], order, {"plan number": F.lit(1)})
+    return rows.where(~is_tie).select("*", none).unionByName(ties.withColumn("plan number", F.col("plan number").cast("long")))
+
+
 def mixed(
     documents: DataFrame,
     weights: Sequence[int] = WEIGHTS,
@@ -215,9 +232,16 @@ def _cuts(ranked: DataFrame, left: DataFrame) -> DataFrame:
     near = written(near.drop("bin", "cut_of").withColumnsRenamed({"next_low": "low", "next_high": "high"}), "near")
     second = written(_boundary(near).select(F.col("of").alias("in_of"), "left", F.col("bin").alias("second_bin")), "bins")
     last = near.drop("left").join(second, _same("of", "in_of")).where(_bin(F.col("rank"), F.col("low"), F.col("high")) == F.col("second_bin"))
+    # Rows that are equal in rank, id and size are one group, of which some may be taken.
+    groups = last.groupBy("of", "left", "rank", "doc_id", "size").agg(F.count("*").alias("rows"))
     order = W.partitionBy("of").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    last = last.withColumn("up_to", F.sum("size").over(order)).where(F.col("up_to") - F.col("size") / 2 <= F.col("left"))
-    limit = last.groupBy("of").agg(F.max(F.struct("rank", "doc_id", "size")).alias("limit")).withColumnRenamed("of", "limit_of")
+    before = F.sum(F.col("rows") * F.col("size")).over(order) - F.col("rows") * F.col("size")
+    fitting = F.floor((F.col("left") - F.col("before")) / F.col("size") + 0.5)
+    groups = groups.withColumn("before", before).withColumn("ties", F.least("rows", fitting)).where("ties > 0")
+    best = F.max(F.struct("rank", "doc_id", "size", "ties", "rows")).alias("best")
+    limit = groups.groupBy("of").agg(best).select(
+        F.col("of").alias("limit_of"), F.struct("best.rank", "best.doc_id", "best.size").alias("limit"), "best.ties", F.col("best.rows").alias("tie_rows")
+    )
     cuts = first.select("cut_of", F.col("bin").alias("first_bin"), "next_low", "next_high")
     cuts = cuts.join(second.select("in_of", "second_bin"), _same("cut_of", "in_of"), "left").drop("in_of")
     return cuts.join(limit, _same("cut_of", "limit_of"), "left").drop("limit_of")

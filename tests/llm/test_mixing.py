@@ -77,3 +77,19 @@ def test_empty_table_and_only_empty_texts(spark):
     assert mixing.mixed(documents(spark, [])).count() == 0
     rows = mixing.mixed(documents(spark, [(1, None, "a"), (2, "", None)])).collect()
     assert [(r.size, r.taken) for r in rows] == [(0, 0), (0, 0)]
+
+
+@pytest.mark.parametrize("ids", ["null", "repeated", "two of them"])
+def test_equal_rows_are_taken_one_by_one(spark, ids):
+    """Thousands of rows that are equal in all that a rank knows; texts differ in their words only."""
+    doc_id = {"null": lambda i: None, "repeated": lambda i: 7, "two of them": lambda i: i % 2}[ids]
+    rows = [(doc_id(i), " ".join(f"w{k}" for k in range(100)), "abc"[i % 3]) for i in range(3000)]
+    first = mixing.mixed(documents(spark, rows)).collect()
+    assert len(first) == len(rows)
+    for source in "abc":
+        own = [r for r in first if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 50
+        assert max(r.copies for r in own) - min(r.copies for r in own) <= 1
+    again = mixing.mixed(documents(spark, rows[::-1]).repartition(5)).collect()
+    count = lambda found: sorted(map(str, ((r.doc_id, r.source, r.copies) for r in found)))
+    assert count(first) == count(again)
