@@ -129,3 +129,30 @@ def test_an_operation_drops_its_tables(spark):
     assert kept.count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_each_model_is_logged_with_what_it_answered(spark, tmp_path):
+    """Options reach the model, its embedder picks the index, and no model's answers stand under another's name."""
+    from folioseek.config import ModelSettings
+    from folioseek.plans.evaluation import EvaluatedModel, evaluate_models
+
+    corpus = spark.createDataFrame([(1, "first", "alpha beta"), (2, "second", "alpha gamma gamma")], "doc_id long, source string, full_text string")
+    register_embedder("words of a test", HashedTerms)
+    register_embedder("lengths of a test", lambda: UserVectors("lengths", 1, lambda texts: [[-len(text)] for text in texts], prefix=""))
+    indexes = {}
+    for name in ("words of a test", "lengths of a test"):
+        indexes[name] = str(tmp_path / name.split()[0])
+        build_index(corpus, indexes[name], embedder=embedder_named(name))
+    say = lambda options: lambda prompt: f"{options['word']} {prompt}"
+    models = [
+        EvaluatedModel(ModelSettings("a", "words of a test", "A {context} {question}", {"word": "yes"}), say),
+        EvaluatedModel(ModelSettings("b", "lengths of a test", "B {context} {question}", {"word": "no"}), say),
+    ]
+    questions = spark.createDataFrame([(1, "alpha gamma gamma or")], "question_id long, question string")
+    table = f"{fixtures.fresh_database(spark)}.runs"
+    log = {r["run_name"]: r for r in evaluate_models(questions, models, indexes, table, "one", k=1).collect()}
+    assert sorted(log) == ["a", "b"]
+    assert log["a"]["outputs"].startswith("yes A") and log["b"]["outputs"].startswith("no B")
+    assert log["a"]["source"] == log["b"]["source"] == "second" and log["b"]["template"] == "B {context} {question}"
+    # The same run again replaces its rows.
+    assert evaluate_models(questions, models, indexes, table, "one", k=1).count() == 2

@@ -6,6 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from folioseek.operators.embedders import HashedTerms
 from folioseek.operators.index import ChunkIndex, build_index
 from folioseek.sources.files import read_binary, spread_small
 from folioseek.sources.scratch import fresh_path
@@ -41,14 +42,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
-_INDEXES: dict[tuple[str, str], ChunkIndex] = {}
+_INDEXES: dict[tuple, ChunkIndex] = {}
 
 
-def index(spark: SparkSession, sf_dir: str) -> ChunkIndex:
+def index(spark: SparkSession, sf_dir: str, embedder=HashedTerms()) -> ChunkIndex:
     """The index of the documents, built by the first query that needs it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, embedder)
     if key not in _INDEXES:
-        _INDEXES[key] = build_index(corpus(spark, sf_dir), fresh_path(spark, "index"))
+        _INDEXES[key] = build_index(corpus(spark, sf_dir), fresh_path(spark, "index"), embedder=embedder)
     return _INDEXES[key]
 
 

@@ -261,6 +261,25 @@ def parameter_statement() -> str:
     return "\nUNION ALL\n".join(rows)
 
 
+def evaluated(model_id: str, dim: int) -> str:
+    """What the stand-in of a model answers, with contexts from vectors of ``dim`` buckets."""
+    model = MODELS[model_id]
+    statement = with_ctes(
+        f"{HITS} contexts asked",
+        f"""
+, prompts AS (
+  SELECT question_id, group_no, source, length({rendered(model.template)}) AS n FROM asked),
+first_even AS (
+  SELECT * FROM prompts WHERE n % 2 = 0
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY group_no) = 1)
+SELECT 'first run' AS run_id, {quoted(model_id)} AS run_name, question AS questions,
+       coalesce(n || ' characters at {model.options["temperature"]}', {quoted(NO_ANSWER)}) AS outputs,
+       coalesce(source, 'NA') AS source, {quoted(model.template)} AS template
+FROM questions LEFT JOIN first_even USING (question_id)""".lstrip(),
+    )
+    return statement.replace(f"% {DEFAULT_DIM})", f"% {dim})")
+
+
 ORACLE_SQL: dict[str, str] = {
     "page_split": """
 SELECT doc_id, source, (pos // 20)::INTEGER AS page, string_agg(line, chr(10) ORDER BY pos) AS full_text
@@ -422,6 +441,7 @@ WHERE u.role = 'user' AND a.role = 'assistant'""",
             list(MODELS.values()),
         ),
     ),
+    "eval_models": "\nUNION ALL\n".join(f"SELECT * FROM ({evaluated(*run)})" for run in (("openai", 4096), ("Llama-2-13b-chat-hf", DEFAULT_DIM))),
     "run_params": parameter_statement(),
     "stream_index": INDEX_ROWS,
     "stream_answers": ANSWER_ROWS,

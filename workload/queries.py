@@ -14,12 +14,12 @@ from folioseek.functions.vectors import term_frequencies
 from folioseek.operators import answers as ans
 from folioseek.operators import chunking, contexts, layout, pages
 from folioseek.operators.chat import chat_history as history_rows
-from folioseek.operators.embedders import HashedTerms, UserVectors
+from folioseek.operators.embedders import HashedTerms, UserVectors, register_embedder
 from folioseek.operators.index import build_index, open_index
 from folioseek.operators.retrieval import nearest
 from folioseek.plans.answering import answer_questions, answer_questions_with_model
 from folioseek.plans.ingest import ingest
-from folioseek.plans.evaluation import log_evaluation, log_run_parameters
+from folioseek.plans.evaluation import EvaluatedModel, evaluate_models, log_evaluation, log_run_parameters
 from folioseek.sources.files import decode_pages, spare_cores
 from folioseek.sources.scratch import fresh_path
 from folioseek.sources.tables import ensure_questions, project_corpus, save_corpus
@@ -316,6 +316,25 @@ def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_evaluation(qa_batch(spark, sf_dir), list(MODELS.values()), name, "first run")
 
 
+# Stand-ins for the embedders of two models, and a function that answers as its options say.
+EMBEDDERS = {"BAAI/bge-large-en": HashedTerms(), "text-embedding-ada-002": HashedTerms(dim=4096)}
+EVALUATED = ("openai", "Llama-2-13b-chat-hf")
+
+
+def _length_and_temperature(options):
+    temperature = options["temperature"]
+    return lambda prompt: "I don't know" if len(prompt) % 2 else f"{len(prompt)} characters at {temperature}"
+
+
+def eval_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for name, embedder in EMBEDDERS.items():
+        register_embedder(name, lambda embedder=embedder: embedder)
+    indexes = {name: fx.index(spark, sf_dir, embedder).path for name, embedder in EMBEDDERS.items()}
+    models = [EvaluatedModel(MODELS[name], _length_and_temperature) for name in EVALUATED]
+    table = f"{fx.fresh_database(spark)}.eval_models"
+    return evaluate_models(fx.questions(spark, sf_dir), models, indexes, table, "first run")
+
+
 def run_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"{fx.fresh_database(spark)}.run_params"
     return log_run_parameters(fx.questions(spark, sf_dir), "benchmark", list(MODELS.values()), name, "first run")
@@ -394,6 +413,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chat_history,
         eval_questions,
         eval_log,
+        eval_models,
         run_params,
         stream_index,
         stream_answers,
