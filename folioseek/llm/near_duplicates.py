@@ -195,7 +195,9 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     labelled = classes.select("digest", "class", "least").join(written(found, "components"), "class", "left")
     labelled = written(labelled.withColumn("part", F.coalesce("component", "class")).select("digest", "class", "least", "part"), "labelled")
     smallest = written(labelled.groupBy("part").agg(F.min("least").alias("component")), "smallest")
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
+    # Summed by each side first, so that a link never becomes two rows.
+    sides = [links.groupBy(F.col(side).alias("class")).agg(F.count("*").alias("n")) for side in ("a", "b")]
+    degree = sides[0].unionByName(sides[1]).groupBy("class").agg(F.sum("n").alias("n_links"))
     joined = written(
         labelled.join(smallest, "part").join(degree, "class", "left").select("digest", "component", F.coalesce("n_links", F.lit(0)).alias("n_links")),
         "joined",

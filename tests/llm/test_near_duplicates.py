@@ -99,3 +99,10 @@ def test_shingles_do_not_cross_texts():
     sets = list(nd.shingle_sets(pa.array(["a b c d", "a b", "", None, "a b c d"]), 3))
     assert [len(s) for s in sets] == [2, 1, 0, 0, 2]
     assert (sets[0] == sets[4]).all() and not set(sets[0]) & set(sets[1])
+
+
+def test_links_of_a_document_are_counted(spark):
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join(base[:-1] + ["x"]), " ".join(base[:-1] + ["y"]), " ".join(base), "alone"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_links"] for r in nd.near_duplicates(frame, 3, 85).collect()} == {0: 2, 1: 2, 2: 2, 3: 2, 4: 0}
