@@ -183,7 +183,7 @@ def _host_sql(rounds: int) -> str:
     shares AS MATERIALIZED (
       SELECT source AS giver, target, true AS forward, weight / sum(weight) OVER (PARTITION BY source) AS share FROM e
       UNION ALL SELECT target, source, false, weight / sum(weight) OVER (PARTITION BY target) FROM e){steps}
-    SELECT page_id, u.host, path, rule, coalesce(ruled, CASE WHEN round(distrust - trust, 9) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+    SELECT page_id, u.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust * (1 + 1e-9) THEN 'block' ELSE 'allow' END) AS verdict
     FROM u LEFT JOIN r{rounds} r ON r.host = u.host"""
 
 
