@@ -42,16 +42,15 @@ def append_log(rows: DataFrame, table: str) -> None:
     keys = ["run_id", "run_name"]
     ordered = rows.select(*[c for c in rows.columns if c not in keys], *keys)
     spark = rows.sparkSession
-    if not spark.catalog.tableExists(table):
-        ordered.write.partitionBy(*keys).saveAsTable(table)
-        return
-    # Inserts take the mode from the session alone.
-    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        ordered.write.insertInto(table, overwrite=True)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in ordered.schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY ({', '.join(keys)})")
+    # An insert would take the mode from the session, which other threads share;
+    # a write to the folder has it as an option of its own.
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'")
+    folder = described.first()["data_type"]
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(folder)
+    spark.catalog.recoverPartitions(table)
+    spark.catalog.refreshTable(table)
 
 
 def parameter_rows(settings: DataFrame, run_name: str) -> DataFrame:

@@ -142,3 +142,18 @@ def test_a_local_session_gets_a_folder_of_its_own(tmp_path, monkeypatch):
     monkeypatch.setattr(scratch.tempfile, "mkdtemp", lambda prefix: str(tmp_path))
     session = FakeSession("local[2]", None)
     assert shared_folder(session) == shared_folder(session) == str(tmp_path)
+
+
+def test_two_threads_log_two_runs_and_the_session_stays_as_it_was(spark, database):
+    from concurrent.futures import ThreadPoolExecutor
+
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    answers = spark.createDataFrame([("q", "a", "s"), ("r", "b", "s")], "question string, answer string, source string")
+    models = list(MODELS.values())
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: log_evaluation(answers, models[:2], f"{database}.logs", f"run {i}"), range(3)))
+    log_evaluation(answers, models[:2], f"{database}.logs", "run 1")  # replaces its own rows
+    log = spark.table(f"{database}.logs")
+    counted = {(r["run_id"], r["run_name"]): r["count"] for r in log.groupBy("run_id", "run_name").count().collect()}
+    assert counted == {(f"run {i}", m.model_id): 2 for i in range(3) for m in models[:2]}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
