@@ -40,6 +40,8 @@ ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 BLOCK = 1 << 14
 PART = 512
+# Shingles of sets that are compared at once.
+MEMBERS = 1 << 19
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -119,6 +121,7 @@ def _confirmed(percent: int):
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 linked.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return confirm
 
@@ -260,26 +263,39 @@ def _suspects(percent: int):
 def _linked(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Those of the pairs ``a, b`` whose sets are similar enough; ``a`` is in order.
 
-    The members of one set are marked, and the marks are summed over all the
-    sets that it is compared with at once.
+    The sets are cut into runs of about ``MEMBERS`` shingles, or one set with
+    more, and two runs meet at a time.
     """
     if not len(a):
         return []
-    sizes = np.array([len(s) for s in sets])
+    run = np.cumsum([len(s) for s in sets]) // MEMBERS
+    meeting = run[a] * (run[-1] + 1) + run[b]
+    return [pair for own in np.unique(meeting) for pair in _linked_runs(sets, a[meeting == own], b[meeting == own], percent)]
+
+
+def _linked_runs(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """As ``_linked``, at once.
+
+    The members of one set are marked, and the marks are summed over all the
+    sets that it is compared with.
+    """
+    used = np.unique(np.concatenate([a, b]))
+    sizes = np.array([len(sets[u]) for u in used])
     starts = np.cumsum(sizes) - sizes
-    members = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    members = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True)[1]
     marks = np.zeros(len(members), dtype=np.int64)
     linked = []
     for own, first, count in zip(*np.unique(a, return_index=True, return_counts=True), strict=True):
-        others = b[first : first + count]
+        others = np.searchsorted(used, b[first : first + count])
         ends = np.cumsum(sizes[others])
         places = np.arange(ends[-1]) + np.repeat(starts[others] - (ends - sizes[others]), sizes[others])
-        mine = members[starts[own] : starts[own] + sizes[own]]
+        place = np.searchsorted(used, own)
+        mine = members[starts[place] : starts[place] + sizes[place]]
         marks[mine] = 1
         common = np.add.reduceat(marks[members[places]], ends - sizes[others])
         marks[mine] = 0
-        near = 100 * common >= percent * (sizes[own] + sizes[others] - common)
-        linked += [(int(own), int(other)) for other in others[near]]
+        near = 100 * common >= percent * (sizes[place] + sizes[others] - common)
+        linked += [(int(own), int(used[other])) for other in others[near]]
     return linked
 
 
@@ -292,6 +308,7 @@ def _compared(percent: int):
                 ids = rows.column("class")
                 a, b = (ids.take(pa.array(places)) for places in zip(*linked, strict=True))
                 yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+            pa.default_memory_pool().release_unused()
 
     return compare
 

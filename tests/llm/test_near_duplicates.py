@@ -106,3 +106,14 @@ def test_links_of_a_document_are_counted(spark):
     texts = [" ".join(base), " ".join(base[:-1] + ["x"]), " ".join(base[:-1] + ["y"]), " ".join(base), "alone"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["n_links"] for r in nd.near_duplicates(frame, 3, 85).collect()} == {0: 2, 1: 2, 2: 2, 3: 2, 4: 0}
+
+
+@pytest.mark.parametrize("members", [nd.MEMBERS, 1000, 50])
+def test_runs_of_sets_lose_no_link(monkeypatch, members):
+    monkeypatch.setattr(nd, "MEMBERS", members)
+    draw = np.random.default_rng(3)
+    bases = [np.sort(draw.choice(3000, int(draw.integers(40, 400)), replace=False)).astype(np.uint64) for _ in range(6)]
+    sets = [bases[i % 6][draw.random(len(bases[i % 6])) > 0.06] for i in range(60)]
+    pairs = [(i, j) for i in range(60) for j in range(i + 1, 60)]
+    near = [(i, j) for i, j in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    assert near and sorted(nd._linked(sets, *map(np.array, zip(*pairs, strict=True)), 80)) == near
