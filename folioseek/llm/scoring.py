@@ -1,9 +1,13 @@
 """Language-model scores from an n-gram trie learned from the corpus.
 
 Levels are counted one after the other over all training documents. Tasks sum
-n-grams in compact sorted blocks, which are dealt by a hash of the n-gram, so
-that a frequent word or context is many small sums; blocks of one part are
-added up in one task, and the number of parts follows the number of tokens.
+n-grams in compact sorted blocks, which are dealt by ranges of n-grams, so that
+a frequent word or context is many small sums and lies in as many parts as it
+fills; blocks of one part are added up in one task, which also writes that part
+of the level, so that counts are shuffled once and never stand as rows. Ranges
+of words are even, as their hashes are; those of longer n-grams come from the
+n-grams of a sample of texts (``SAMPLE_BYTES``), which decides where
+parts end and nothing else. The number of parts follows the number of tokens.
 Above the single words, n-grams seen less than ``min_count`` times are left to
 the lower level, and only n-grams whose shorter n-grams were kept are counted,
 which loses none that is seen so often. The counts become the trie of ``trie.py``, level by level.
@@ -32,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from folioseek.llm.common import grouped, slices, tokens
-from folioseek.llm.trie import SHARD_SCHEMA, WORD_BITS, Level, ShardRow, build_entries, build_words, shard_batch
+from folioseek.llm.trie import SHARD_SCHEMA, Level, ShardRow, build_entries, build_words, shard_batch
 from folioseek.sources.scratch import fresh_path, written
 
 ORDER = 3
@@ -42,7 +46,9 @@ DISCOUNT = 0.5
 END = 1
 FLUSH_ENTRIES = 1 << 20
 PART_TOKENS = 2_000_000
-SHARD_ENTRIES = 1_000_000
+# The sample that the ends of parts are taken from: so much text, or this share of a large corpus.
+SAMPLE_BYTES = 1 << 23
+SAMPLE_SHARE = 0.005
 
 
 @dataclass
@@ -56,6 +62,16 @@ class Model:
     def begin(self) -> int:
         return self.levels[0].entries
 
+    @property
+    def word_bits(self) -> int:
+        """The bits of a word id in the keys of n-grams; the rest of 63 are those of its context."""
+        if not self.levels:
+            return 0
+        bits = self.begin.bit_length()
+        if max(self.begin, self.levels[-1].entries).bit_length() + bits > 63:
+            raise OverflowError("n-grams of this level and its words need more than 63 bits")
+        return bits
+
     def context_counts(self, contexts: np.ndarray) -> np.ndarray:
         """Counts of entries of the highest level, or of the begin of texts."""
         if len(self.levels) > 1:
@@ -125,15 +141,14 @@ def added(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _dealt(keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
-    part = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-    rows = [(p, packed(keys[order[a:b]], counts[order[a:b]])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+def _dealt(keys: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """A block for each part; part ``i`` holds the keys below ``ends[i]``."""
+    cuts = np.concatenate([[0], np.searchsorted(keys, ends), [len(keys)]])
+    rows = [(part, packed(keys[a:b], counts[a:b])) for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "block"])
 
 
-def _summed(pieces: Iterator[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+def _summed(pieces: Iterator[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Blocks of n-grams from the keys of one batch after the other, summed up to ``FLUSH_ENTRIES`` entries and more."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -145,88 +160,95 @@ def _summed(pieces: Iterator[np.ndarray], parts: int) -> Iterator[pa.RecordBatch
             held = [added(held)]
             size = len(held[0][0])
             if size > FLUSH_ENTRIES:
-                yield _dealt(*held[0], parts)
+                yield _dealt(*held[0], ends)
                 held, size = [], 0
     if held:
-        yield _dealt(*added(held), parts)
+        yield _dealt(*added(held), ends)
 
 
-def _word_counts(parts: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pieces() -> Iterator[np.ndarray]:
-            for batch in slices(batches):
-                found = tokens(batch.column("text"))
-                hashes = (found.hashes() >> np.uint64(1)).astype(np.int64) if len(found.distinct) else np.zeros(0, np.int64)
-                yield np.concatenate([hashes[found.codes], np.full(batch.num_rows, END, np.int64)])
+def _words(texts: pa.Array) -> np.ndarray:
+    """The hashes of all words and ends of texts."""
+    found = tokens(texts)
+    hashes = (found.hashes() >> np.uint64(1)).astype(np.int64) if len(found.distinct) else np.zeros(0, np.int64)
+    return np.concatenate([hashes[found.codes], np.full(len(texts), END, np.int64)])
 
-        return _summed(pieces(), parts)
 
-    return count
+def _entries(model: Model, texts: pa.Array, min_count: int) -> np.ndarray:
+    """The keys of all n-grams of texts on the level above the highest."""
+    read = model.read(texts)
+    context, own = read.entries[-1][:-1], read.entries[-1][1:]
+    frequent = read.token[1:] & (context >= 0) & (own >= 0)
+    if len(model.levels) == 1:
+        frequent &= (read.count[1:] >= min_count) & ((read.count[:-1] >= min_count) | ~read.token[:-1])
+    return (context[frequent] << model.word_bits) | read.word[1:][frequent]
 
 
-def _entry_counts(model: Model, parts: int, min_count: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pieces() -> Iterator[np.ndarray]:
-            for batch in slices(batches):
-                read = model.read(batch.column("text"))
-                context, own = read.entries[-1][:-1], read.entries[-1][1:]
-                frequent = read.token[1:] & (context >= 0) & (own >= 0)
-                if len(model.levels) == 1:
-                    frequent &= (read.count[1:] >= min_count) & ((read.count[:-1] >= min_count) | ~read.token[:-1])
-                yield (context[frequent] << WORD_BITS) | read.word[1:][frequent]
+def _keys(model: Model, texts: pa.Array, min_count: int) -> np.ndarray:
+    return _entries(model, texts, min_count) if model.levels else _words(texts)
+
 
-        return _summed(pieces(), parts)
+def _blocks(model: Model, ends: np.ndarray, min_count: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _summed((_keys(model, batch.column("text"), min_count) for batch in slices(batches)), ends)
 
     return count
 
 
-def _totals(min_count: int):
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, ["part"]):
-            keys, counts = added([unpacked(block.as_py()) for block in rows.column("block")])
-            kept = counts >= min_count
-            yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(counts[kept])], ["key", "count"])
+def _sampled(model: Model, min_count: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = np.unique(_keys(model, batch.column("text"), min_count))
+            yield pa.RecordBatch.from_arrays([pa.array(found)], ["key"])
+
+    return keys
 
-    return total
 
+def _ends(model: Model, sample: DataFrame, parts: int, min_count: int) -> np.ndarray:
+    """Where the parts of the next level end but the last; the driver gets these keys only."""
+    if not model.levels or parts == 1:
+        return np.array([(part << 63) // parts for part in range(1, parts)], dtype=np.int64)
+    keys = sample.mapInArrow(_sampled(model, min_count), "key bigint").distinct()
+    shares = [part / parts for part in range(1, parts)]
+    found = keys.agg(F.percentile_approx("key", shares, 10 * parts).alias("ends")).first().ends
+    return np.unique(np.array(found or [], dtype=np.int64))
 
-def _built(folder: str, model: Model | None):
+
+def _built(folder: str, model: Model, min_count: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [(batch.column("key").to_numpy(), batch.column("count").to_numpy()) for batch in batches if batch.num_rows]
-        if not pieces:
-            return
-        keys, counts = (np.concatenate(arrays) for arrays in zip(*pieces, strict=True))
-        if model is None:
-            yield shard_batch(build_words(folder, keys, counts))
-        else:
-            yield shard_batch(build_entries(folder, keys, counts, model.context_counts, DISCOUNT))
+        for rows in grouped(batches, ["part"]):
+            keys, counts = added([unpacked(block.as_py()) for block in rows.column("block")])
+            kept = counts >= min_count
+            if not kept.any():
+                continue
+            if model.levels:
+                yield shard_batch(build_entries(folder, keys[kept], counts[kept], model.word_bits, model.context_counts, DISCOUNT))
+            else:
+                yield shard_batch(build_words(folder, keys[kept], counts[kept]))
 
     return build
 
 
-def _level(blocks: DataFrame, parts: int, model: Model | None, name: str, min_count: int = 1) -> Level:
-    """A level from blocks of its n-grams; the driver gets one row for each shard."""
-    spark = blocks.sparkSession
-    dealt = blocks.repartition(parts, "part").sortWithinPartitions("part")
-    summed = written(dealt.mapInArrow(_totals(min_count), "key bigint, count bigint"), f"{name}-counts")
-    shards = max(1, -(-summed.count() // SHARD_ENTRIES))
-    folder = fresh_path(spark, name)
-    ordered = summed.repartitionByRange(shards, "key").sortWithinPartitions("key")
-    rows = written(ordered.mapInArrow(_built(folder, model), SHARD_SCHEMA), f"{name}-shards")
-    return Level([ShardRow(**row.asDict()) for row in rows.collect()])
+def _level(texts: DataFrame, ends: np.ndarray, model: Model, min_count: int) -> Level:
+    """The next level from all n-grams of texts; the driver gets one row for each shard."""
+    name = f"level-{len(model.levels) + 1}"
+    blocks = texts.mapInArrow(_blocks(model, ends, min_count), "part int, block binary")
+    dealt = blocks.repartition(len(ends) + 1, "part").sortWithinPartitions("part")
+    folder = fresh_path(texts.sparkSession, name)
+    rows = written(dealt.mapInArrow(_built(folder, model, min_count if model.levels else 1), SHARD_SCHEMA), f"{name}-shards")
+    return Level([ShardRow(**row.asDict()) for row in rows.collect()], model.word_bits)
 
 
 def trained(documents: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Model:
     """A model of all texts of ``documents(text)``; 1 as ``min_count`` keeps all n-grams."""
     texts = documents.select("text")
-    rows, chars = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    rows, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     # A word and the space behind it are two bytes at least, but six as a rule; parts may be of any size.
-    parts = max(1, -(-(rows + (chars or 0) // 6) // PART_TOKENS))
+    parts = max(1, -(-(rows + (size or 0) // 6) // PART_TOKENS))
+    share = min(1.0, max(SAMPLE_BYTES / max(1, size or 0), SAMPLE_SHARE))
+    sample = written(texts.where(F.length("text") <= SAMPLE_BYTES).sample(share, seed=1), "sample") if parts > 1 else texts
     model = Model(documents=rows)
-    model.levels.append(_level(texts.mapInArrow(_word_counts(parts), "part int, block binary"), parts, None, "level-1"))
-    for level in range(2, order + 1):
-        blocks = texts.mapInArrow(_entry_counts(model, parts, min_count), "part int, block binary")
-        model.levels.append(_level(blocks, parts, model, f"level-{level}", min_count))
+    for _ in range(order):
+        model.levels.append(_level(texts, _ends(model, sample, parts, min_count), model, min_count))
     return model
 
 

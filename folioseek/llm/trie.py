@@ -2,7 +2,8 @@
 
 Level 1 is the vocabulary: the 63-bit hashes of words in order, their counts
 and their ids, which are their places. An entry of a higher level is a context
-(an entry of the level below) and a word id. Entries stand in the order of
+(an entry of the level below) and a word id; a key is
+the context and, in as many bits as the vocabulary needs, the word. Entries stand in the order of
 context and word. For each context a monotone pointer says where its entries
 begin; the ids are made one rising sequence by adding, within a context, the
 last value of the context before, so that both are Elias-Fano coded and a word
@@ -35,7 +36,6 @@ from folioseek.llm.elias_fano import Monotone
 # A code is a rounded-up number of 1024ths of a factor two below one, so that no probability is rounded up.
 STEPS = 1024
 LARGEST_CODE = 65535
-WORD_BITS = 32
 
 
 def quantised(probabilities: np.ndarray) -> np.ndarray:
@@ -130,12 +130,12 @@ def build_words(folder: str, keys: np.ndarray, counts: np.ndarray) -> ShardRow:
     return ShardRow(path, int(keys[0]), int(keys[-1]), len(keys), int(counts.sum()), 0.0, 0.0)
 
 
-def build_entries(folder: str, keys: np.ndarray, counts: np.ndarray, context_counts, discount: float) -> ShardRow:
-    """A shard of a higher level from keys ``context << WORD_BITS | word`` in order and their counts.
+def build_entries(folder: str, keys: np.ndarray, counts: np.ndarray, word_bits: int, context_counts, discount: float) -> ShardRow:
+    """A shard of a higher level from keys ``context << word_bits | word`` in order and their counts.
 
     ``context_counts`` gives the counts of contexts in the level below.
     """
-    context, word = keys >> WORD_BITS, keys & ((1 << WORD_BITS) - 1)
+    context, word = keys >> word_bits, keys & ((1 << word_bits) - 1)
     low = int(context[0])
     begins = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
     ends = np.append(begins[1:], len(keys))
@@ -162,7 +162,8 @@ def build_entries(folder: str, keys: np.ndarray, counts: np.ndarray, context_cou
 class Level:
     """The shards of one level, mapped when they are first asked."""
 
-    def __init__(self, rows: list[ShardRow]):
+    def __init__(self, rows: list[ShardRow], word_bits: int = 0):
+        self.word_bits = word_bits
         self.rows = sorted(rows, key=lambda row: row.first)
         self.firsts = np.array([row.first for row in self.rows], dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum([row.entries for row in self.rows])]).astype(np.int64)
@@ -172,18 +173,18 @@ class Level:
         # Back-off weights of contexts at the ends of shards, from all shards that hold a part of them.
         kept: dict[int, float] = {}
         for row in self.rows:
-            ends = {row.first >> WORD_BITS: row.first_kept}
-            ends[row.last >> WORD_BITS] = row.last_kept
+            ends = {row.first >> word_bits: row.first_kept}
+            ends[row.last >> word_bits] = row.last_kept
             for context, share in ends.items():
                 kept[context] = kept.get(context, 0.0) + share
         self.end_contexts = np.array(sorted(kept), dtype=np.int64)
         self.end_weights = restored(quantised(1 - np.minimum([kept[c] for c in sorted(kept)], 1.0))) if kept else np.zeros(0)
 
-    def __getstate__(self) -> list[ShardRow]:
-        return self.rows
+    def __getstate__(self) -> tuple[list[ShardRow], int]:
+        return self.rows, self.word_bits
 
-    def __setstate__(self, rows: list[ShardRow]) -> None:
-        self.__init__(rows)
+    def __setstate__(self, state: tuple[list[ShardRow], int]) -> None:
+        self.__init__(*state)
 
     def _shard(self, number: int) -> tuple[dict[str, np.ndarray], dict[str, Monotone]]:
         if number not in self._shards:
@@ -234,10 +235,10 @@ class Level:
         """The entry of each context and word, -1 if there is none or either is -1."""
         found = np.full(len(contexts), -1, dtype=np.int64)
         asked = np.flatnonzero((contexts >= 0) & (words >= 0))
-        keys = (contexts[asked] << WORD_BITS) | words[asked]
+        keys = (contexts[asked] << self.word_bits) | words[asked]
         for shard, places in self._routed(keys):
             sequences = self._shard(shard)[1]
-            low = self.rows[shard].first >> WORD_BITS
+            low = self.rows[shard].first >> self.word_bits
             places = places[(contexts[asked[places]] - low) < sequences["pointers"].n - 1]
             if not len(places):
                 continue
@@ -266,9 +267,9 @@ class Level:
             return result
         own = contexts[known]
         weight = np.ones(len(own))
-        for shard, places in self._routed((own << WORD_BITS) | ((1 << WORD_BITS) - 1)):
+        for shard, places in self._routed((own << self.word_bits) | ((1 << self.word_bits) - 1)):
             arrays, sequences = self._shard(shard)
-            local = own[places] - (self.rows[shard].first >> WORD_BITS)
+            local = own[places] - (self.rows[shard].first >> self.word_bits)
             inside = local < sequences["pointers"].n - 1
             weight[places[inside]] = restored(arrays["weights"][local[inside]])
         at = np.minimum(np.searchsorted(self.end_contexts, own), len(self.end_contexts) - 1)

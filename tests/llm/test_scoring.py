@@ -39,13 +39,13 @@ def tokens(text):
     return ["<s >", *(w.decode() for w in (text or "").encode().lower().split()), "</s >"]
 
 
-def brute(training, texts):
+def brute(training, texts, min_count):
     """Scores by dictionaries, after the formulas of the module."""
     split = [tokens(t) for t in training]
     one = Counter(w for t in split for w in t[1:])
     two = Counter(p for t in split for p in zip(t, t[1:], strict=False))
     three = Counter(p for t in split for p in zip(t, t[1:], t[2:], strict=False))
-    two, three = ({k: v for k, v in c.items() if v >= 2} for c in (two, three))
+    two, three = ({k: v for k, v in c.items() if v >= min_count} for c in (two, three))
     total, kept = sum(one.values()), Counter()
     count = lambda c: len(split) if c == ("<s >",) else one[c[0]] if len(c) == 1 else two[c]
     for counts in (two, three):
@@ -66,25 +66,24 @@ def brute(training, texts):
         yield len(words) - 1, sum(w in one for w in words[1:]), total, base, score
 
 
-@pytest.mark.parametrize("shard", [scoring.SHARD_ENTRIES, 40])
-def test_scores_equal_brute_force(spark, monkeypatch, shard):
-    monkeypatch.setattr(scoring, "SHARD_ENTRIES", shard)
-    monkeypatch.setattr(scoring, "PART_TOKENS", 500)
+@pytest.mark.parametrize(("part", "min_count"), [(scoring.PART_TOKENS, 1), (300, 1), (300, 2)])
+def test_scores_equal_brute_force(spark, monkeypatch, part, min_count):
+    monkeypatch.setattr(scoring, "PART_TOKENS", part)
     draw = random.Random(6)
     texts = [" ".join(f"W{int(draw.expovariate(0.08))}" for _ in range(draw.choice([0, 1, 30, 90]))) for _ in range(60)]
     texts += [None, "", "same text twice", "same text twice", "</s> <s>", "é\x00 É " * 50, "w1 " * 2000]
     rows = [(i, t, i % 5 != 0, 7) for i, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, train boolean, count int")
-    model = scoring.trained(frame.where("train"))
+    model = scoring.trained(frame.where("train"), min_count=min_count)
     got = {r.doc_id: r for r in scoring.scored(frame.select("doc_id", "text"), model).collect()}
-    expected = brute([t for _, t, train, _ in rows if train], texts)
+    expected = brute([t for _, t, train, _ in rows if train], texts, min_count)
     for i, (n, known, total, base, score) in enumerate(expected):
         row = got[i]
         assert (row.n_tokens, row.n_known, row.train_tokens) == (n, known, total)
         assert row.base_score == pytest.approx(base, rel=1e-12)
         assert row.score == pytest.approx(score, abs=0.0004 * n + 1e-9)
-    if shard == 40:
-        assert len(model.levels[0].rows) > 1 and len(model.levels[1].rows) > 2
+    if part == 300:
+        assert len(model.levels[0].rows) > 2 and len(model.levels[1].rows) > 2
 
 
 def test_probabilities_do_not_exceed_one(spark):
