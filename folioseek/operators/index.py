@@ -38,7 +38,8 @@ IDS = (*CHUNK_KEY, "segment", "row")
 SLOT_BITS = 14
 ROWS_PER_FILE = 1 << SLOT_BITS
 
-# Small row groups, so that few texts are read for a hit.
+# Small row groups, so that few texts are read for a hit, and few blocks of postings,
+# whose lists are long, are decoded at a time: a reader takes up to 4,096 rows of a group.
 ROW_GROUP_BYTES = 8 << 20
 
 # Ranges of rows that are pushed down to the scan for texts.
@@ -267,7 +268,7 @@ def _published(spark: SparkSession, path: str, embedder, segment: dict, replace:
                 used = weights
                 postings = make_postings(stored, embedder.column, (*CHUNK_KEY, "row"), used)
                 postings = postings.withColumn("segment", F.lit(segment["id"]).cast("long"))
-                postings.write.mode("overwrite").parquet(f"{path}/segments/{segment['id']}/postings")
+                postings.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/segments/{segment['id']}/postings")
             own["slack"] = _widening(used, weights)
             if others:
                 wider = _widening(_prepared(spark, path, base, embedder), weights)

@@ -28,7 +28,7 @@ from folioseek.operators.retrieval import ARROW_TYPES, BestRows
 # Chunks of a block, at most 128.
 BLOCK_CHUNKS = 64
 
-# Pairs of a bucket and a question, and of a chunk and a question, that are worked on at a time.
+# Entries of posting lists, pairs of a bucket and a question, and of a chunk and a question, that are worked on at a time.
 STEP_CELLS = 1 << 20
 
 # Above rounding errors of sums and of shares stored with 32 bits.
@@ -104,13 +104,15 @@ class BlockSearch:
         self.bounded = self.skipped = self.scored = 0
 
     def add(self, blocks: pa.RecordBatch, ids: Sequence[str]) -> None:
-        """Search blocks, as many at a time as have ``STEP_CELLS`` pairs of a bucket and a question."""
+        """Search blocks, as many at a time as have ``STEP_CELLS`` entries, or pairs of a bucket and a question."""
         buckets = _Lists(blocks.column("bucket"))
         bucket = buckets.numbers()
         asked = np.append(0, np.cumsum(self.scorer.first[bucket + 1] - self.scorer.first[bucket]))[buckets.bounds]
+        entries = _Lists(blocks.column("chunk")).bounds
         top = 0
         while top < len(blocks):
-            end = max(top + 1, int(np.searchsorted(asked, asked[top] + STEP_CELLS, side="right")) - 1)
+            ends = [int(np.searchsorted(sums, sums[top] + STEP_CELLS, side="right")) - 1 for sums in (asked, entries)]
+            end = max(top + 1, min(ends))
             if asked[end] > asked[top]:
                 self._add(blocks.slice(top, end - top), ids)
             top = end
@@ -154,10 +156,13 @@ class BlockSearch:
         """Score the chunks of a block against ``question``; each posting list at ``place`` is worth ``worth`` to question ``which``."""
         size = data.sizes[number]
         norms = data.norms(number)
-        step = max(1, STEP_CELLS // max(size, 1))
-        for low in range(0, len(question), step):
-            mine = (which >= low) & (which < low + step)
-            chosen, value, target = place[mine], worth[mine], which[mine] - low
+        # Each question takes up its cells and the entries of its lists.
+        taken = size + np.bincount(which, weights=data.ends[place] - data.starts[place], minlength=len(question))
+        passes = np.cumsum(taken) // STEP_CELLS
+        lows = np.flatnonzero(np.diff(passes, prepend=-1))
+        for low, high in zip(lows, np.append(lows[1:], len(question))):
+            first, last = np.searchsorted(which, (low, high))
+            chosen, value, target = place[first:last], worth[first:last], which[first:last] - low
             starts, counts = data.starts[chosen], data.ends[chosen] - data.starts[chosen]
             entries = _spread(starts, counts)
             cell = np.repeat(target, counts) * size + data.chunk[entries]
