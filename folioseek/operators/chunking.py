@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from folioseek.config import ChunkSettings
 from folioseek.functions.text import let, tokens
 from folioseek.sources.scratch import written
 
+# Texts of a user's tokenizer whose chunks are Python values at a time.
+TOKENIZED_TEXTS = 64
+
 
 def token_windows(text: Column, settings: ChunkSettings = ChunkSettings()) -> Column:
     """``array<struct(chunk_no, num_chunks, chunk)>`` of a text.
@@ -128,17 +132,25 @@ def chunk_with_tokenizer(
         ]
     )
 
-    @F.pandas_udf(T.ArrayType(window))
-    def windows(texts: pd.Series) -> pd.Series:
-        def cut(value: str | None) -> list[dict]:
-            ids = encode(value) if value else []
+    def cut(texts: pa.Array) -> tuple[list[int], pa.StructArray]:
+        counts, numbers, chunks = [], [], []
+        for value in texts:
+            text = value.as_py()
+            ids = encode(text) if text else []
             starts = range(0, len(ids), settings.step)
-            return [
-                {"chunk_no": i, "num_chunks": len(starts), "chunk": decode(ids[at : at + settings.size])}
-                for i, at in enumerate(starts)
-            ]
-
-        return texts.map(cut)
+            counts.append(len(starts))
+            numbers += range(len(starts))
+            chunks += [decode(ids[at : at + settings.size]) for at in starts]
+        totals = [count for count in counts for _ in range(count)]
+        columns = [pa.array(numbers, pa.int32()), pa.array(totals, pa.int32()), pa.array(chunks, pa.string())]
+        return counts, pa.StructArray.from_arrays(columns, [field.name for field in window])
+
+    @F.arrow_udf(T.ArrayType(window))
+    def windows(texts: pa.Array) -> pa.Array:
+        # A batch has up to 10,000 texts; the chunks of a few at a time go over to Arrow.
+        parts = [cut(texts.slice(top, TOKENIZED_TEXTS)) for top in range(0, len(texts), TOKENIZED_TEXTS)]
+        ends = accumulate((count for counts, _ in parts for count in counts), initial=0)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([part for _, part in parts]))
 
     return _explode_windows(documents, text, windows(F.col(text)))
 

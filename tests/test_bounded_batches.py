@@ -4,7 +4,9 @@ import numpy as np
 import pyarrow.dataset as ds
 import pytest
 
+from folioseek.config import ChunkSettings
 from folioseek.operators import index as idx, postings
+from folioseek.operators.chunking import chunk_with_tokenizer
 from folioseek.operators.embedders import HashedTerms, SparseScorer
 from folioseek.operators.postings import BlockSearch
 from test_versions import blocks_of
@@ -40,3 +42,20 @@ def test_steps_of_a_search_are_bounded_by_entries(monkeypatch, cells):
     assert searched() == expected
     assert sum(rows for rows, _ in seen) == len(blocks)
     assert all(rows == 1 or entries <= cells for rows, entries in seen)
+
+
+def test_chunks_of_a_tokenizer_are_python_values_a_few_at_a_time(spark):
+    class Counted(str):
+        alive = 0
+
+        def __new__(cls, value):
+            Counted.alive += 1
+            return super().__new__(cls, Counted.alive)
+
+        def __del__(self):
+            Counted.alive -= 1
+
+    documents = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "'abcdef' AS full_text")
+    chunks = chunk_with_tokenizer(documents, list, Counted, settings=ChunkSettings(3, 0)).collect()
+    assert len(chunks) == 4000
+    assert max(int(row["text"]) for row in chunks) < 1000
