@@ -10,6 +10,7 @@ from folioseek.operators.chunking import chunk_with_tokenizer
 from folioseek.operators.embedders import HashedTerms, SparseScorer
 from folioseek.operators.postings import BlockSearch
 from test_versions import blocks_of
+from workload import fixtures
 
 
 def test_postings_are_written_in_small_row_groups(spark, tmp_path, monkeypatch):
@@ -59,3 +60,15 @@ def test_chunks_of_a_tokenizer_are_python_values_a_few_at_a_time(spark):
     chunks = chunk_with_tokenizer(documents, list, Counted, settings=ChunkSettings(3, 0)).collect()
     assert len(chunks) == 4000
     assert max(int(row["text"]) for row in chunks) < 1000
+
+
+def test_documents_are_packed_into_few_files(spark, tmp_path, monkeypatch):
+    rows = [(i, f"t{i}\nü:\f ") for i in range(500)] + [(7, "again"), (500, None), (501, ""), (-3, "x"), (None, "y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    paths = []
+    monkeypatch.setattr(fixtures, "fresh_path", lambda spark, name: paths.append(str(tmp_path / name)) or paths[-1])
+    found = {(row["source"], bytes(row["content"]).decode()) for row in fixtures.document_files(spark, str(tmp_path)).collect()}
+    expected = {(f"file-{i}", f"t{i}\nü:\f \f") for i in range(500) if i != 7}
+    expected |= {("file-500", "\f"), ("file-501", "\f"), ("file-", "x\f"), ("file-", "y\f")}
+    assert found - expected == {("file-7", "again\ft7\nü:\f \f")} and expected <= found
+    assert len(list((tmp_path / "files").rglob("*.txt"))) < 40

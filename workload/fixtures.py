@@ -14,6 +14,8 @@ from folioseek.sources.tables import use_database
 
 LINES_PER_TABLE = 20
 
+FILES_PER_PACK = 256
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,12 +31,22 @@ def spread_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files of their own, read back as ``source, content``."""
+    """The documents as files of a form feed after each text of an id, read back as ``source, content``.
+
+    Files are packed: with one for each document of a few kilobytes, the time
+    would go into making and listing folders, which the driver does alone.
+    """
     path = fresh_path(spark, "files")
     documents = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    documents.write.partitionBy("doc_id").option("lineSep", "\f").text(path)
-    name = F.concat(F.lit("file-"), F.regexp_extract("source", r"doc_id=(\d+)/", 1))
-    return read_binary(spark, path, "*.txt").select(name.alias("source"), "content")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\f"))
+    files = documents.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(text)), "").alias("content"))
+    name = F.concat(F.lit("file-"), F.regexp_extract(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), r"^(\d*)$", 1))
+    packed = files.select(F.concat(name, F.lit(":"), F.base64(F.encode("content", "utf-8"))).alias("value"))
+    packed.write.option("maxRecordsPerFile", FILES_PER_PACK).option("lineSep", "\f").text(path)
+    entries = F.split(F.rtrim(F.decode("content", "utf-8"), F.lit("\f")), "\f")
+    entry = read_binary(spark, path, "*.txt").select(F.explode(entries).alias("entry"))
+    parts = F.split("entry", ":")
+    return entry.select(parts[0].alias("source"), F.unbase64(parts[1]).alias("content"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
