@@ -15,6 +15,9 @@ from folioseek.sources.scratch import written
 # Texts of a user's tokenizer whose chunks are Python values at a time.
 TOKENIZED_TEXTS = 64
 
+# Tokens of a document of blocks up to which it is put together in one row.
+WHOLE_TOKENS = 1 << 18
+
 
 def token_windows(text: Column, settings: ChunkSettings = ChunkSettings()) -> Column:
     """``array<struct(chunk_no, num_chunks, chunk)>`` of a text.
@@ -67,7 +70,8 @@ def chunk_blocks(
 
     ``order`` are the columns that put the blocks of a document in sequence; a
     block ends where a token ends. The result is that of ``chunk_documents``
-    over the joined blocks, but a document of any size stays spread over the
+    over the joined blocks. Documents of up to ``WHOLE_TOKENS`` are joined, so
+    their words move once. A larger one, of any size, stays spread over the
     tasks: only the token counts of its blocks are summed up in one place, and
     each chunk is put together from the blocks that it touches.
     """
@@ -78,8 +82,18 @@ def chunk_blocks(
     )
     # Written once, then read for the counts alone and for the words. Blocks
     # without words are left out after that: a filter before would tokenize twice.
-    found = written(blocks.select(key, place, words.alias("found")), "blocks")
-    blocks = found.select(key, "place", "found.n", "found.words").where(F.col("n") > 0)
+    found = written(blocks.select(key, place, words.alias("found")), "blocks", compression="zstd")
+    blocks = found.select(key, "place", "found.n", "found.words").where((F.col("n") > 0) & F.col(key).isNotNull())
+    # No more than one in ``WHOLE_TOKENS`` of all words, so few enough to be broadcast.
+    large = F.broadcast(blocks.groupBy(key).agg(F.sum("n").alias("total")).where(F.col("total") > WHOLE_TOKENS).select(key))
+    in_order = F.sort_array(F.collect_list(F.struct("place", "words")))
+    whole = blocks.join(large, key, "left_anti").groupBy(key).agg(F.array_join(in_order["words"], " ").alias(text))
+    pieced = _chunks_of_pieces(blocks.join(large, key, "left_semi"), key, settings)
+    return chunk_documents(whole, text, settings).select(pieced.columns).unionByName(pieced)
+
+
+def _chunks_of_pieces(blocks: DataFrame, key: str, settings: ChunkSettings) -> DataFrame:
+    """``(key, chunk_no, num_chunks, text)`` of ``key, place, n, words``, each chunk from the blocks that it touches."""
     whole = Window.partitionBy(key)
     before = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     counts = blocks.select(

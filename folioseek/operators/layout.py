@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioseek.functions.text import clean_layout_text, drop_selection_marks
-from folioseek.sources.scratch import written
 
 # Roles of paragraphs that are left out, kinds of cells, heading line.
 LEFT_OUT_ROLES = ("pageNumber", "pageFooter")
@@ -27,32 +26,16 @@ BLOCK_ROWS = 4096
 BLOCK = ("doc_id", "table_idx", "blk")
 
 
-def mark_paragraphs(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Paragraphs with their ``clean`` text and whether they are to ``keep``.
+def kept_paragraphs(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
+    """``(doc_id, para_idx, role, clean)`` of the paragraphs that are printed.
 
     A paragraph is left out for its role, or when its clean text is the clean
     text of a cell of the same document. A paragraph without a role is kept.
     """
-    cell_texts = cells.select("doc_id", clean_layout_text(F.col("content")).alias("clean")).distinct()
-    # Written, so that the join has a plain shuffle on both sides: adaptive
-    # execution splits a skewed key only where no sum stands above the shuffle.
-    cell_texts = written(cell_texts, "cell-texts").withColumn("in_table", F.lit(True))
-    cleaned = paragraphs.withColumn("clean", clean_layout_text(F.col("content")))
-    left_out = F.coalesce(F.col("role"), F.lit("")).isin(*LEFT_OUT_ROLES)
-    # Both sides grow with the corpus. A merge join spills where it has to, and
-    # adaptive execution splits a hot text on the side of the paragraphs.
-    return (
-        cleaned.join(cell_texts.hint("merge"), ["doc_id", "clean"], "left")
-        .withColumn("keep", F.col("in_table").isNull() & ~left_out)
-        .drop("in_table")
-    )
-
-
-def kept_paragraphs(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
-    """``(doc_id, para_idx, role, clean)`` of the paragraphs that are printed."""
     left_out = F.coalesce(F.col("role"), F.lit("")).isin(*LEFT_OUT_ROLES)
     # Not made distinct: an anti join does not need it, and a sum above the
-    # shuffle would keep adaptive execution from splitting a hot text.
+    # shuffle would keep adaptive execution from splitting a hot text. Both sides
+    # grow with the corpus, and a merge join spills where it has to.
     cell_texts = cells.select("doc_id", clean_layout_text(F.col("content")).alias("clean"))
     cleaned = paragraphs.where(~left_out).withColumn("clean", clean_layout_text(F.col("content")))
     return cleaned.join(cell_texts.hint("merge"), ["doc_id", "clean"], "left_anti").select(
@@ -62,18 +45,18 @@ def kept_paragraphs(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
 
 def _in_blocks(cells: DataFrame, block_rows: int) -> DataFrame:
     block = F.floor(F.col("cell_idx") / block_rows).cast("int")
-    return (
-        cells.withColumn("blk", block)
-        .withColumn("content", drop_selection_marks(F.col("content")))
-        .repartition(*BLOCK)
-    )
+    return cells.withColumn("blk", block).withColumn("content", drop_selection_marks(F.col("content")))
 
 
 def _carried_headers(blocked: DataFrame, reset_per_table: bool) -> DataFrame:
     """Per block, the last header of each column in earlier blocks of the document or table."""
-    is_header = F.col("kind") == HEADER_KIND
-    last_headers = blocked.groupBy(*BLOCK, "column_index").agg(
-        F.max_by(F.when(is_header, F.col("content")), F.when(is_header, F.col("cell_idx"))).alias("header")
+    # Only headers move here, and one row for each column of a block, not the cells.
+    columns = blocked.select(*BLOCK, "column_index").distinct()
+    headers = blocked.where(F.col("kind") == HEADER_KIND).select(*BLOCK, "column_index", "cell_idx", "content")
+    last_headers = (
+        columns.unionByName(headers, allowMissingColumns=True)
+        .groupBy(*BLOCK, "column_index")
+        .agg(F.max_by("content", "cell_idx").alias("header"))
     )
     scope = ["doc_id", "table_idx"] if reset_per_table else ["doc_id"]
     before = (
@@ -110,7 +93,7 @@ def _with_headings(blocked: DataFrame, reset_per_table: bool) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     header = F.when(F.col("kind") == HEADER_KIND, F.col("content"))
-    local = blocked.withColumn("heading", F.last(header, ignorenulls=True).over(so_far))
+    local = blocked.repartition(*BLOCK).withColumn("heading", F.last(header, ignorenulls=True).over(so_far))
     return (
         local.join(_carried_headers(blocked, reset_per_table), list(BLOCK), "left")
         .withColumn("heading", F.coalesce("heading", F.col("carried")[F.col("column_index")]))
@@ -148,15 +131,12 @@ def layout_blocks(
     Section 0 holds paragraphs, section 1 tables. Every document has a block,
     if only an empty one.
     """
-    marked = mark_paragraphs(paragraphs, cells)
-    paragraph_line = F.when(F.col("keep"), F.concat("clean", F.lit("\n"))).otherwise("")
+    block = F.floor(F.col("para_idx") / block_rows).cast("int").alias("blk")
+    lines = kept_paragraphs(paragraphs, cells).select("doc_id", block, "para_idx", F.concat("clean", F.lit("\n")).alias("line"))
+    # A row for each block stands for the paragraphs left out, whose texts need not move.
+    empty = paragraphs.select("doc_id", block).distinct().select("*", F.lit(None).cast(lines.schema["para_idx"].dataType).alias("para_idx"), F.lit("").alias("line"))
     paragraph_blocks = (
-        marked.select(
-            "doc_id",
-            F.floor(F.col("para_idx") / block_rows).cast("int").alias("blk"),
-            "para_idx",
-            paragraph_line.alias("line"),
-        )
+        lines.unionByName(empty)
         .groupBy("doc_id", "blk")
         .agg(_concatenated("para_idx", "line").alias("text"))
         .select("doc_id", F.lit(0).alias("section"), F.lit(-1).alias("table_idx"), "blk", "text")

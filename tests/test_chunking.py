@@ -3,7 +3,8 @@ import random
 import pytest
 
 from folioseek.config import ChunkSettings
-from folioseek.operators.chunking import chunk_blocks, chunk_documents, chunk_metadata, chunk_with_tokenizer
+from folioseek.operators import chunking
+from folioseek.operators.chunking import _chunks_of_pieces, chunk_blocks, chunk_documents, chunk_metadata, chunk_with_tokenizer
 from folioseek.operators.pages import longest_document, split_pages
 
 
@@ -96,3 +97,20 @@ def test_longest_document_breaks_ties_by_id(spark):
     longest = longest_document(documents)
     assert longest.first()["doc_id"] == 2
     assert "TakeOrderedAndProject" in longest._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [0, 60, 1 << 18])
+def test_words_of_small_documents_move_once(spark, monkeypatch, limit):
+    monkeypatch.setattr(chunking, "WHOLE_TOKENS", limit)
+    blocks = [(doc, at, " ".join(f"{doc}.{at}.{i}" for i in range(9))) for doc in range(12) for at in range(doc + 1)]
+    texts = {doc: " ".join(text for other, _, text in blocks if other == doc) for doc in range(12)}
+    frame = spark.createDataFrame([*blocks, (None, 0, "lost"), (20, 0, " ")], "doc_id long, at int, text string")
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, full_text string")
+    settings = ChunkSettings(8, 3)
+    whole = chunk_documents(documents, settings=settings)
+    cut = chunk_blocks(frame, ["at"], settings=settings)
+    assert sorted(cut.collect()) == sorted(whole.select(*cut.columns).collect())
+    pieces = []
+    monkeypatch.setattr(chunking, "_chunks_of_pieces", lambda rows, *rest: pieces.append(rows) or _chunks_of_pieces(rows, *rest))
+    chunk_blocks(frame, ["at"], settings=settings)
+    assert {row["doc_id"] for row in pieces[0].collect()} == {doc for doc in range(12) if 9 * (doc + 1) > limit}

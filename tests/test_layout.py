@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from folioseek.operators.layout import flatten_layout, kept_paragraphs, with_headings
+from folioseek.operators.layout import flatten_layout, kept_paragraphs, layout_blocks, with_headings
 
 CELLS = "doc_id long, table_idx int, cell_idx int, row_index int, column_index int, kind string, content string"
 PARAGRAPHS = "doc_id long, para_idx int, role string, content string"
@@ -106,3 +106,18 @@ def test_one_document_with_most_cells_is_cut_into_blocks(spark):
     }
     plan = headed._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and "blk" in plan
+
+
+def test_cell_texts_are_not_written_and_left_out_paragraphs_leave_a_block(spark, monkeypatch):
+    monkeypatch.setattr("pyspark.sql.DataFrame.write", property(lambda self: pytest.fail("a table was written")))
+    cells = cell_frame(spark, [(1, 0, 0, 0, 0, "content", "a"), (1, 0, 1, 1, 0, "content", "a")])
+    rows = [(1, 0, None, "a"), (1, 1, None, "b"), (1, 2, None, None), (2, 0, "pageNumber", "b"), (None, 0, None, "n")]
+    blocks = layout_blocks(spark.createDataFrame(rows, PARAGRAPHS), cells, block_rows=1).where("section = 0").collect()
+    found = {(row["doc_id"], row["blk"], row["text"]) for row in blocks}
+    assert found == {(1, 0, ""), (1, 1, "b\n"), (1, 2, ""), (2, 0, ""), (None, 0, "n\n")}
+
+
+def test_only_headers_move_to_be_carried(spark):
+    cells = cell_frame(spark, random_cells(2))
+    plan = with_headings(cells, block_rows=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1  # the cells themselves, once
