@@ -52,11 +52,9 @@ def _carried_headers(blocked: DataFrame, reset_per_table: bool) -> DataFrame:
     """Per block, the last header of each column in earlier blocks of the document or table."""
     # Only headers move here, and one row for each column of a block, not the cells.
     columns = blocked.select(*BLOCK, "column_index").distinct()
-    headers = blocked.where(F.col("kind") == HEADER_KIND).select(*BLOCK, "column_index", "cell_idx", "content")
-    last_headers = (
-        columns.unionByName(headers, allowMissingColumns=True)
-        .groupBy(*BLOCK, "column_index")
-        .agg(F.max_by("content", "cell_idx").alias("header"))
+    headers = blocked.where(F.col("kind") == HEADER_KIND).groupBy(*BLOCK, "column_index")
+    last_headers = columns.join(
+        headers.agg(F.max_by("content", "cell_idx").alias("header")), [*BLOCK, "column_index"], "left"
     )
     scope = ["doc_id", "table_idx"] if reset_per_table else ["doc_id"]
     before = (

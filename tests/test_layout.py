@@ -121,3 +121,17 @@ def test_only_headers_move_to_be_carried(spark):
     cells = cell_frame(spark, random_cells(2))
     plan = with_headings(cells, block_rows=2)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1  # the cells themselves, once
+
+
+@pytest.mark.parametrize("reset", [False, True])
+def test_text_does_not_depend_on_how_rows_are_spread(spark, reset):
+    rows = random_cells(3)
+    lines = [(d, i, None, f"p{d}.{i}") for d in range(3) for i in range(7)]
+    cells, paragraphs = cell_frame(spark, rows), spark.createDataFrame(lines, PARAGRAPHS)
+    plain = sorted(flatten_layout(paragraphs, cells, reset, 2).collect())
+    spread = flatten_layout(paragraphs.repartition(4, "doc_id"), cells.repartition(4, "doc_id"), reset, 2)
+    assert sorted(spread.collect()) == plain
+    headings = expected_headings(rows, reset)
+    assert sum(text.count(f"with column heading '{heading}'") for _, text in plain for heading in set(headings.values())) == sum(
+        1 for row in rows if row[5] == "content" and headings[row[0], row[1], row[2]] is not None
+    )
