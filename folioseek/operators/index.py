@@ -26,7 +26,7 @@ from folioseek.config import DEFAULT_K, ChunkSettings
 from folioseek.functions.prompts import prefixed_question
 from folioseek.operators.chunking import chunk_documents
 from folioseek.operators.embedders import HashedTerms
-from folioseek.operators.postings import make_postings, postings_schema, walk
+from folioseek.operators.postings import BATCH_BLOCKS, make_postings, postings_schema, walk
 from folioseek.operators.retrieval import MAX_BLOCK_HITS, nearest
 from folioseek.sources import versions
 from folioseek.sources.files import spread_small
@@ -132,6 +132,7 @@ class ChunkIndex:
             prepared=self.prepared,
             attach=attach,
             walk=self._postings(k) if self.embedder.uses_statistics else None,
+            batch_rows=BATCH_BLOCKS if self.embedder.uses_statistics else None,
         )
 
     def _postings(self, k: int):

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioseek.sources.scratch import fresh_path, written
+from folioseek.sources.session import small_batches
 
 # Bounds of one block of questions. Vectors of a block are sent to all
 # executors and its hits are broadcast to fetch texts, so both are limited:
@@ -112,7 +113,7 @@ def scan(column: str, ids: Sequence[str], k: int):
     return find
 
 
-def _search_block(stored: DataFrame, find, id_types: dict[str, str], question_ids: list, question_type: str, scorer, k: int) -> DataFrame:
+def _search_block(stored: DataFrame, find, id_types: dict[str, str], question_ids: list, question_type: str, scorer, k: int, batch_rows: int | None = None) -> DataFrame:
     """``(question_id, score, *ids, rank)``: k best rows per question, found once and written."""
     spark = stored.sparkSession
     shared = spark.sparkContext.broadcast((scorer, question_ids))
@@ -137,7 +138,8 @@ def _search_block(stored: DataFrame, find, id_types: dict[str, str], question_id
     # The window sees k rows per task and question, not one per chunk.
     ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), *[F.asc(name) for name in id_types])
     best_found = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    hits = written(best_found, "hits")
+    with small_batches(spark, batch_rows):
+        hits = written(best_found, "hits")
     shared.destroy()
     return hits.where(F.col("rank") <= k)
 
@@ -169,6 +171,7 @@ def nearest(
     prepared=None,
     attach=lambda hits: hits,
     walk=None,
+    batch_rows: int | None = None,
 ) -> DataFrame:
     """Exact k nearest rows of ``vectors`` for each ``(question_id, vector)``.
 
@@ -180,7 +183,7 @@ def nearest(
     questions than one block holds, each block is completed by ``attach`` and
     written before the next one: neither the driver nor an executor ever holds
     more than one block. ``walk`` searches rows of another form than ``vectors``
-    and says of which: ``(rows, find, types of ids)``.
+    and says of which: ``(rows, find, types of ids)``; ``batch_rows`` of them go to Python at a time.
     """
     question_type = question_vectors.schema["question_id"].dataType.simpleString()
     column = embedder.column
@@ -201,7 +204,7 @@ def nearest(
         rows = part.collect() if blocks else []  # bounded: see MAX_BLOCK_CELLS
         scorer = embedder.scorer([row[column] for row in rows], prepared)
         asked = [row["question_id"] for row in rows]
-        return attach(_search_block(stored, find, id_types, asked, question_type, scorer, k))
+        return attach(_search_block(stored, find, id_types, asked, question_type, scorer, k, batch_rows))
 
     if blocks <= 1:
         return search(0)

@@ -1,14 +1,16 @@
 """What one task holds at a time does not grow with the table."""
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
 
 from folioseek.config import ChunkSettings
-from folioseek.operators import index as idx, postings
+from folioseek.operators import index as idx, postings, retrieval
 from folioseek.operators.chunking import chunk_with_tokenizer
 from folioseek.operators.embedders import HashedTerms, SparseScorer
 from folioseek.operators.postings import BlockSearch
+from folioseek.sources.session import BATCH_ROWS, small_batches
 from test_versions import blocks_of
 from workload import fixtures
 
@@ -72,3 +74,29 @@ def test_documents_are_packed_into_few_files(spark, tmp_path, monkeypatch):
     expected |= {("file-500", "\f"), ("file-501", "\f"), ("file-", "x\f"), ("file-", "y\f")}
     assert found - expected == {("file-7", "again\ft7\nü:\f \f")} and expected <= found
     assert len(list((tmp_path / "files").rglob("*.txt"))) < 40
+
+
+def test_a_search_hands_few_blocks_to_python_at_a_time(spark, tmp_path, monkeypatch):
+    corpus = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "'s' AS source", "concat('w', id, ' v', id % 7) AS full_text")
+    index = idx.build_index(corpus, str(tmp_path / "index"), embedder=HashedTerms(dim=4096))
+    questions = spark.createDataFrame([(1, "w5 v3"), (2, "w77")], "question_id long, question string")
+    before, write, seen = spark.conf.get(BATCH_ROWS), retrieval.written, []
+    monkeypatch.setattr(retrieval, "written", lambda df, name: (seen.append((name, spark.conf.get(BATCH_ROWS))), write(df, name))[1])
+    rows = index.retrieve(questions, k=2).where("rank = 1").orderBy("question_id").collect()
+    assert [row["doc_id"] for row in rows] == [5, 77]
+    assert ("hits", str(postings.BATCH_BLOCKS)) in seen and postings.BATCH_BLOCKS <= 64
+    assert spark.conf.get(BATCH_ROWS) == before
+
+
+def test_small_batches_end_with_the_last_that_needs_them(spark):
+    before = spark.conf.get(BATCH_ROWS)
+    first, second = small_batches(spark, 8), small_batches(spark, 8)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    sizes = spark.range(0, 50, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(batch)]}) for batch in batches), "n long")
+    assert sizes.agg({"n": "max"}).first()[0] == 8
+    second.__exit__(None, None, None)
+    assert spark.conf.get(BATCH_ROWS) == before
+    with small_batches(spark, None):
+        assert spark.conf.get(BATCH_ROWS) == before
