@@ -13,24 +13,29 @@ import numpy as np
 
 BLOCK_WORDS = 8
 BLOCK_BITS = 64 * BLOCK_WORDS
-_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
-_COUNT = _BITS.sum(axis=1).astype(np.int64)
-# The place of the k-th one in a byte.
+# The place of the k-th one in a byte, at 8 times the byte and k.
 _PLACE = np.zeros((256, 8), dtype=np.int64)
 for _byte in range(256):
-    _ones = np.flatnonzero(_BITS[_byte])
+    _ones = np.flatnonzero((_byte >> np.arange(8)) & 1)
     _PLACE[_byte, : len(_ones)] = _ones
+_PLACE = _PLACE.reshape(-1)
 _U = np.uint64
+# Every second bit, every second pair, half of every byte, the lowest and the highest bit of every byte.
+_PAIRS, _FOURS, _HALVES, _LOWEST, _HIGHEST = (_U(int(digits * 8, 16)) for digits in ("55", "33", "0f", "01", "80"))
 
 
 @dataclass
 class Monotone:
-    """``n`` rising integers: ``bits`` and ``ones`` (before each block) for the high parts, ``low`` of ``width`` bits each."""
+    """``n`` rising integers: ``bits`` for the high parts, ``low`` of ``width`` bits each.
+
+    ``ones`` counts those before each block, ``inner`` those of a block before its second to eighth word, in 9 bits each.
+    """
 
     n: int
     width: int
     bits: np.ndarray
     ones: np.ndarray
+    inner: np.ndarray
     low: np.ndarray
 
     def __post_init__(self):
@@ -49,7 +54,9 @@ class Monotone:
         marks = np.zeros(blocks * BLOCK_BITS, dtype=np.uint8)
         marks[high + np.arange(n)] = 1
         bits = np.packbits(marks, bitorder="little").view(np.uint64)
-        ones = np.concatenate([[0], np.cumsum(marks.reshape(blocks, -1).sum(axis=1, dtype=np.int64))])[:-1]
+        within = np.cumsum(np.bitwise_count(bits.reshape(blocks, BLOCK_WORDS)), axis=1, dtype=np.int64)
+        ones = np.concatenate([[0], np.cumsum(within[:, -1])])[:-1]
+        inner = np.bitwise_or.reduce(within[:, :-1].astype(np.uint64) << (np.arange(BLOCK_WORDS - 1, dtype=np.uint64) * _U(9)), axis=1)
         low = np.zeros(n * width // 64 + 2, dtype=np.uint64)
         if width:
             part = (values & ((1 << width) - 1)).astype(np.uint64)
@@ -58,27 +65,36 @@ class Monotone:
             np.bitwise_or.at(low, at >> 6, part << shift)
             over = (at & 63) + width > 64
             np.bitwise_or.at(low, (at[over] >> 6) + 1, part[over] >> (_U(64) - shift[over]))
-        return cls(n, width, bits, ones.astype(np.int64), low)
+        return cls(n, width, bits, ones.astype(np.int64), inner, low)
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"bits": self.bits, "ones": self.ones, "low": self.low}
+        return {"bits": self.bits, "ones": self.ones, "inner": self.inner, "low": self.low}
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Where the k-th one, or zero, stands."""
         before = self.ones if ones else self.zeros
         block = np.searchsorted(before, k, side="right") - 1
         rest = k - before[block]
-        words = self.bits[block[:, None] * BLOCK_WORDS + np.arange(BLOCK_WORDS)]
-        words = words if ones else ~words
-        total = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        word = np.minimum((total <= rest[:, None]).sum(axis=1), BLOCK_WORDS - 1)
-        rows = np.arange(len(k))
-        rest -= np.where(word > 0, total[rows, word - 1], 0)
-        bytes_ = np.ascontiguousarray(words[rows, word]).view(np.uint8).reshape(-1, 8)
-        total = np.cumsum(_COUNT[bytes_], axis=1)
-        byte = np.minimum((total <= rest[:, None]).sum(axis=1), 7)
-        rest -= np.where(byte > 0, total[rows, byte - 1], 0)
-        return block * BLOCK_BITS + word * 64 + byte * 8 + _PLACE[bytes_[rows, byte], rest]
+        inner = self.inner[block]
+        word, passed = np.zeros(len(k), dtype=np.int64), np.zeros(len(k), dtype=np.int64)
+        for step in (4, 2, 1):
+            next_ = word + step
+            count = ((inner >> (next_ * 9 - 9).astype(np.uint64)) & _U(511)).astype(np.int64)
+            if not ones:
+                count = next_ * 64 - count
+            beyond = count <= rest
+            word, passed = np.where(beyond, next_, word), np.where(beyond, count, passed)
+        rest = (rest - passed).astype(np.uint64)
+        word += block * BLOCK_WORDS
+        bits = self.bits[word] if ones else ~self.bits[word]
+        # The ones up to the end of each byte, all in one word, and how many of these are not beyond ``rest``.
+        sums = bits - ((bits >> _U(1)) & _PAIRS)
+        sums = (sums & _FOURS) + ((sums >> _U(2)) & _FOURS)
+        sums = ((sums + (sums >> _U(4))) & _HALVES) * _LOWEST
+        byte = np.minimum(np.bitwise_count((((rest * _LOWEST) | _HIGHEST) - sums) & _HIGHEST), 7).astype(np.uint64) << _U(3)
+        rest -= ((sums << _U(8)) >> byte) & _U(255)
+        place = _PLACE[((((bits >> byte) & _U(255)) << _U(3)) | rest).astype(np.int64)]
+        return word * 64 + byte.astype(np.int64) + place
 
     def _ones_from(self, at: np.ndarray) -> np.ndarray:
         """How many ones stand in a row from a place on, up to 64."""
@@ -121,14 +137,13 @@ class Monotone:
         stop = end - high
         last = stop.copy()
         wanted = values & ((1 << self.width) - 1)
-        while True:
-            open_ = np.flatnonzero(low < stop)
-            if not len(open_):
-                break
+        open_ = np.flatnonzero(low < stop)
+        while len(open_):
             middle = (low[open_] + stop[open_]) >> 1
             less = self._low(middle) < wanted[open_]
             low[open_[less]] = middle[less] + 1
             stop[open_[~less]] = middle[~less]
+            open_ = open_[low[open_] < stop[open_]]
         hit = np.flatnonzero(low < last)
         hit = hit[self._low(low[hit]) == wanted[hit]]
         result[within[hit]] = low[hit]

@@ -45,6 +45,8 @@ DISCOUNT = 0.5
 # The hash of the end of a text.
 END = 1
 FLUSH_ENTRIES = 1 << 20
+# Text that is looked up at a time: the more there is, the more n-grams of a shard come together, and the more of them repeat.
+LOOKUP_BYTES = 1 << 21
 PART_TOKENS = 2_000_000
 # The sample that the ends of parts are taken from: so much text, or this share of a large corpus.
 SAMPLE_BYTES = 1 << 23
@@ -189,14 +191,14 @@ def _keys(model: Model, texts: pa.Array, min_count: int) -> np.ndarray:
 
 def _blocks(model: Model, ends: np.ndarray, min_count: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _summed((_keys(model, batch.column("text"), min_count) for batch in slices(batches)), ends)
+        return _summed((_keys(model, batch.column("text"), min_count) for batch in slices(batches, size=LOOKUP_BYTES)), ends)
 
     return count
 
 
 def _sampled(model: Model, min_count: int):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=LOOKUP_BYTES):
             found = np.unique(_keys(model, batch.column("text"), min_count))
             yield pa.RecordBatch.from_arrays([pa.array(found)], ["key"])
 
@@ -266,7 +268,7 @@ def probabilities(model: Model, read: Reading) -> np.ndarray:
 def _scores(model: Model, keep: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, distinct = model.levels[0].total, model.levels[0].entries
-        for batch in slices(batches):
+        for batch in slices(batches, size=LOOKUP_BYTES):
             read = model.read(batch.column("text"))
 
             def per_text(values: np.ndarray, read=read) -> np.ndarray:

@@ -93,7 +93,7 @@ def _prefixed(name: str, sequence: Monotone) -> dict[str, np.ndarray]:
 
 
 def _sequence(name: str, arrays: dict[str, np.ndarray], numbers: dict[str, int]) -> Monotone:
-    return Monotone(numbers[f"{name}_n"], numbers[f"{name}_width"], *(arrays[f"{name}_{key}"] for key in ("bits", "ones", "low")))
+    return Monotone(numbers[f"{name}_n"], numbers[f"{name}_width"], *(arrays[f"{name}_{key}"] for key in ("bits", "ones", "inner", "low")))
 
 
 @dataclass(frozen=True)
@@ -235,16 +235,29 @@ class Level:
         """The entry of each context and word, -1 if there is none or either is -1."""
         found = np.full(len(contexts), -1, dtype=np.int64)
         asked = np.flatnonzero((contexts >= 0) & (words >= 0))
+        if not len(asked) or not self.rows:
+            return found
         keys = (contexts[asked] << self.word_bits) | words[asked]
-        for shard, places in self._routed(keys):
-            sequences = self._shard(shard)[1]
+        # An n-gram that occurs more than once is looked up once.
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        found[asked[order]] = self._found(keys[new])[np.cumsum(new) - 1]
+        return found
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """The entries of distinct keys in order, -1 if there is none."""
+        found = np.full(len(keys), -1, dtype=np.int64)
+        cuts = np.append(np.searchsorted(keys, self.firsts), len(keys))
+        for shard in np.flatnonzero(np.diff(cuts)):
+            sequences = self._shard(int(shard))[1]
             low = self.rows[shard].first >> self.word_bits
-            places = places[(contexts[asked[places]] - low) < sequences["pointers"].n - 1]
-            if not len(places):
+            own = keys[cuts[shard] : cuts[shard + 1]]
+            own = own[: np.searchsorted(own >> self.word_bits, low + sequences["pointers"].n - 1)]
+            if not len(own):
                 continue
-            here = asked[places]
-            # Keys are in order, so equal contexts stand together; where one begins is looked up once.
-            context = contexts[here]
+            # Equal contexts stand together; where one begins is looked up once.
+            context, word = own >> self.word_bits, own & ((1 << self.word_bits) - 1)
             first = np.concatenate([[True], context[1:] != context[:-1]])
             distinct, place = context[first], np.cumsum(first) - 1
             begin = sequences["pointers"].at(distinct - low)
@@ -252,11 +265,11 @@ class Level:
             base = np.zeros(len(distinct), dtype=np.int64)
             later = np.flatnonzero((begin > 0) & (end > begin))
             base[later] = sequences["values"].at(begin[later] - 1)
-            some = (end > begin)[place]
-            here, place = here[some], place[some]
-            local = sequences["values"].find(base[place] + words[here] + 1)
+            some = np.flatnonzero((end > begin)[place])
+            place = place[some]
+            local = sequences["values"].find(base[place] + word[some] + 1)
             inside = (local >= begin[place]) & (local < end[place])
-            found[here[inside]] = local[inside] + self.offsets[shard]
+            found[cuts[shard] + some[inside]] = local[inside] + self.offsets[shard]
         return found
 
     def weights(self, contexts: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -27,6 +28,29 @@ def test_repeated_values_have_their_first_place():
     assert coded.at(np.arange(6)).tolist() == [0, 0, 3, 3, 3, 9] and coded.find(np.array([0, 3, 9, 4, 10])).tolist() == [0, 2, 5, -1, -1]
 
 
+@pytest.mark.parametrize("share", [0.002, 0.1, 0.5, 0.9, 0.998])
+def test_selects_over_many_blocks(share):
+    marks = np.random.default_rng(3).random(20000) < share
+    high = np.cumsum(~marks)[marks]
+    coded = Monotone.of(high << 7)
+    bits = np.unpackbits(coded.bits.view(np.uint8), bitorder="little")
+    # The bits are those of some width; both kinds of places are compared with a plain reading of them.
+    for ones in (True, False):
+        places = np.flatnonzero(bits == ones)
+        assert (coded._select(np.arange(len(places)), ones) == places).all()
+
+
+def test_an_ngram_that_repeats_is_looked_up_once(spark, monkeypatch):
+    text = " ".join(["a b c d"] * 200)
+    model = scoring.trained(spark.createDataFrame([(text,)], "text string"), min_count=1)
+    asked, find = [], Monotone.find
+    monkeypatch.setattr(Monotone, "find", lambda self, values: (asked.append(len(values)), find(self, values))[1])
+    read = model.read(pa.array([text, text]))
+    # Words, then bigrams and trigrams: a begin, four in the text, and an end.
+    assert all(n <= 7 for n in asked) and len(read.word) == 2 * 802
+    assert (read.entries[2][3:801] >= 0).all()
+
+
 def test_blocks_round_trip():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**62, 1000))
     counts = np.random.default_rng(2).integers(1, 2**40, len(keys))
