@@ -20,16 +20,17 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
 from folioseek.config import DEFAULT_K, ChunkSettings
 from folioseek.functions.prompts import prefixed_question
 from folioseek.operators.chunking import chunk_documents
 from folioseek.operators.embedders import HashedTerms
-from folioseek.operators.postings import BATCH_BLOCKS, make_postings, postings_schema, walk
+from folioseek.operators.postings import BATCH_BLOCKS, BLOCK_CHUNKS, make_postings, postings_schema, walk
 from folioseek.operators.retrieval import MAX_BLOCK_HITS, nearest
 from folioseek.sources import versions
 from folioseek.sources.files import spread_small
+from folioseek.sources.session import small_batches, small_scans
 
 CHUNK_KEY = ("doc_id", "chunk_no")
 IDS = (*CHUNK_KEY, "segment", "row")
@@ -42,6 +43,12 @@ ROWS_PER_FILE = 1 << SLOT_BITS
 # whose lists are long, are decoded at a time: a reader takes up to 4,096 rows of a group.
 ROW_GROUP_BYTES = 8 << 20
 
+# A page is decompressed as one array; the collector treats those of the usual 1 MB apart and runs more often for them.
+PAGE_BYTES = 1 << 18
+
+# Rows of documents and chunks that a task decodes at a time, and chunks that go to Python at a time: whole blocks of postings.
+SCAN_ROWS = 4 * BLOCK_CHUNKS
+
 # Ranges of rows that are pushed down to the scan for texts.
 MAX_RANGES = 64
 
@@ -221,18 +228,23 @@ def new_segment(*names: object) -> int:
     return int.from_bytes(sha256(text.encode()).digest()[:7], "big")
 
 
+def _writer(rows: DataFrame) -> DataFrameWriter:
+    return rows.write.mode("overwrite").options(**{"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES})
+
+
 def write_segment(chunks: DataFrame, path: str, embedder, segment: int) -> dict:
     """Write the chunks of a segment, their counts and their files; a repeated attempt replaces its own."""
     spark, folder = chunks.sparkSession, f"{path}/segments/{segment}"
     rows = chunks.withColumns({"segment": F.lit(segment).cast("long"), "row": F.monotonically_increasing_id()})
-    writer = rows.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).option("parquet.block.size", ROW_GROUP_BYTES)
-    writer.parquet(f"{folder}/chunks")
+    with small_scans(spark, SCAN_ROWS):
+        _writer(rows).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{folder}/chunks")
     stored = spark.read.schema(rows.schema).parquet(f"{folder}/chunks")
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     files = stored.groupBy("segment", _slot(F.col("row")).alias("slot"), name.alias("file")).agg(F.count("*").alias("num_rows"))
     files.write.mode("overwrite").parquet(f"{folder}/files")
     if embedder.uses_statistics:
-        embedder.statistics(stored).write.mode("overwrite").parquet(f"{folder}/statistics")
+        with small_scans(spark, SCAN_ROWS):
+            embedder.statistics(stored).write.mode("overwrite").parquet(f"{folder}/statistics")
     count = spark.read.schema(FILES).parquet(f"{folder}/files").agg(F.coalesce(F.sum("num_rows"), F.lit(0))).first()[0]
     return {"id": segment, "num_chunks": count, "schema": rows.schema.json(), "stored": stored}
 
@@ -269,7 +281,8 @@ def _published(spark: SparkSession, path: str, embedder, segment: dict, replace:
                 used = weights
                 postings = make_postings(stored, embedder.column, (*CHUNK_KEY, "row"), used)
                 postings = postings.withColumn("segment", F.lit(segment["id"]).cast("long"))
-                postings.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/segments/{segment['id']}/postings")
+                with small_batches(spark, SCAN_ROWS):
+                    _writer(postings).parquet(f"{path}/segments/{segment['id']}/postings")
             own["slack"] = _widening(used, weights)
             if others:
                 wider = _widening(_prepared(spark, path, base, embedder), weights)

@@ -29,11 +29,11 @@ from folioseek.operators.retrieval import ARROW_TYPES, BestRows
 BLOCK_CHUNKS = 64
 
 # Entries of posting lists, pairs of a bucket and a question, and of a chunk and a question, that are worked on at a time.
-STEP_CELLS = 1 << 18
+STEP_CELLS = 1 << 16
 
-# Blocks that go to a search at a time: a row holds about 10,000 entries, of which a batch of the usual 10,000 rows or 64 MB
-# stands in the JVM and in the worker at once.
-BATCH_BLOCKS = 32
+# Blocks that are decoded and go to a search at a time: a row holds about 10,000 entries, of which a batch of the usual
+# 10,000 rows or 64 MB stands in the JVM and in the worker at once, and a scan in arrays that double until they hold a batch.
+BATCH_BLOCKS = 8
 
 # Above rounding errors of sums and of shares stored with 32 bits.
 SAFE = 1 + 1e-6

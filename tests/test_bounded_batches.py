@@ -4,13 +4,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from folioseek.config import ChunkSettings
 from folioseek.operators import index as idx, postings, retrieval
 from folioseek.operators.chunking import chunk_with_tokenizer
 from folioseek.operators.embedders import HashedTerms, SparseScorer
 from folioseek.operators.postings import BlockSearch
-from folioseek.sources.session import BATCH_ROWS, small_batches
+from folioseek.sources.session import BATCH_ROWS, SCANNED_ROWS, small_batches, small_scans
 from test_versions import blocks_of
 from workload import fixtures
 
@@ -100,3 +101,38 @@ def test_small_batches_end_with_the_last_that_needs_them(spark):
     assert spark.conf.get(BATCH_ROWS) == before
     with small_batches(spark, None):
         assert spark.conf.get(BATCH_ROWS) == before
+
+
+def test_large_rows_are_decoded_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    before, write, seen = spark.conf.get(SCANNED_ROWS), DataFrameWriter.parquet, {}
+
+    def noted(self, path, *rest, **options):
+        seen[path.split("/")[-1].split("-")[0]] = int(spark.conf.get(SCANNED_ROWS))
+        return write(self, path, *rest, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    corpus = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "'s' AS source", "concat('w', id, ' v', id % 7) AS full_text")
+    index = idx.build_index(corpus, str(tmp_path / "index"), embedder=HashedTerms(dim=4096))
+    index.retrieve(spark.createDataFrame([(1, "w5 v3")], "question_id long, question string"), k=2)
+    assert max(seen[name] for name in ("chunks", "statistics", "postings")) <= 512
+    assert seen["hits"] == postings.BATCH_BLOCKS
+    assert spark.conf.get(SCANNED_ROWS) == before
+
+
+def test_postings_are_made_of_few_chunks_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idx, "SCAN_ROWS", 100)
+    corpus = spark.range(0, 1000, 1, 1).selectExpr("id AS doc_id", "'s' AS source", "concat('w', id) AS full_text").coalesce(1)
+    index = idx.build_index(corpus, str(tmp_path / "index"), embedder=HashedTerms(dim=4096))
+    sizes = index._postings(1)[0].selectExpr("size(row) AS n", "explode(row) AS row").groupBy("n").count().collect()
+    assert sum(row["count"] for row in sizes) == 1000
+    # A batch of 100 chunks ends in a block of 36; of 10,000 there would be one short block a task.
+    assert dict(sizes)[36] >= 36 * 4
+
+
+def test_small_scans_do_not_change_what_goes_to_python(spark):
+    rows, batch = spark.conf.get(SCANNED_ROWS), spark.conf.get(BATCH_ROWS)
+    with small_scans(spark, 16), small_batches(spark, 8):
+        assert (spark.conf.get(SCANNED_ROWS), spark.conf.get(BATCH_ROWS)) == ("8", "8")
+    with small_scans(spark, 16):
+        assert (spark.conf.get(SCANNED_ROWS), spark.conf.get(BATCH_ROWS)) == ("16", batch)
+    assert (spark.conf.get(SCANNED_ROWS), spark.conf.get(BATCH_ROWS)) == (rows, batch)
