@@ -22,6 +22,8 @@ _PLACE = _PLACE.reshape(-1)
 _U = np.uint64
 # Every second bit, every second pair, half of every byte, the lowest and the highest bit of every byte.
 _PAIRS, _FOURS, _HALVES, _LOWEST, _HIGHEST = (_U(int(digits * 8, 16)) for digits in ("55", "33", "0f", "01", "80"))
+# The lowest and the highest bit of seven fields of 9 bits, and the bits before the second to eighth word of a block in them.
+_STEPS, _TOPS, _BEFORE = (_U(sum(field(i) << (9 * i) for i in range(7))) for field in (lambda i: 1, lambda i: 256, lambda i: 64 * i + 64))
 
 
 @dataclass
@@ -74,17 +76,15 @@ class Monotone:
         """Where the k-th one, or zero, stands."""
         before = self.ones if ones else self.zeros
         block = np.searchsorted(before, k, side="right") - 1
-        rest = k - before[block]
+        rest = (k - before[block]).view(np.uint64)
         inner = self.inner[block]
-        word, passed = np.zeros(len(k), dtype=np.int64), np.zeros(len(k), dtype=np.int64)
-        for step in (4, 2, 1):
-            next_ = word + step
-            count = ((inner >> (next_ * 9 - 9).astype(np.uint64)) & _U(511)).astype(np.int64)
-            if not ones:
-                count = next_ * 64 - count
-            beyond = count <= rest
-            word, passed = np.where(beyond, next_, word), np.where(beyond, count, passed)
-        rest = (rest - passed).astype(np.uint64)
+        if not ones:
+            inner = _BEFORE - inner
+        # How many of the seven counts are not beyond ``rest``, all compared in one word; the last of these has been passed.
+        wanted = rest * _STEPS
+        beyond = (((wanted | _TOPS) - (inner & ~_TOPS)) | (wanted ^ inner)) ^ (inner & ~wanted)
+        word = np.bitwise_count(beyond & _TOPS).view(np.int8).astype(np.int64)
+        rest -= (inner >> np.where(word > 0, word * 9 - 9, 63).view(np.uint64)) & _U(511)
         word += block * BLOCK_WORDS
         bits = self.bits[word] if ones else ~self.bits[word]
         # The ones up to the end of each byte, all in one word, and how many of these are not beyond ``rest``.
@@ -93,31 +93,43 @@ class Monotone:
         sums = ((sums + (sums >> _U(4))) & _HALVES) * _LOWEST
         byte = np.minimum(np.bitwise_count((((rest * _LOWEST) | _HIGHEST) - sums) & _HIGHEST), 7).astype(np.uint64) << _U(3)
         rest -= ((sums << _U(8)) >> byte) & _U(255)
-        place = _PLACE[((((bits >> byte) & _U(255)) << _U(3)) | rest).astype(np.int64)]
-        return word * 64 + byte.astype(np.int64) + place
+        place = _PLACE[((((bits >> byte) & _U(255)) << _U(3)) | rest).view(np.int64)]
+        return word * 64 + byte.view(np.int64) + place
 
-    def _ones_from(self, at: np.ndarray) -> np.ndarray:
-        """How many ones stand in a row from a place on, up to 64."""
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
+    def _run_from(self, at: np.ndarray, ones: bool) -> np.ndarray:
+        """How many ones, or zeros, stand in a row from a place on, up to 64."""
+        word, shift = at >> 6, (at & 63).view(np.uint64)
         following = self.bits[np.minimum(word + 1, len(self.bits) - 1)]
-        window = (self.bits[word] >> shift) | (following << (_U(63) - shift) << _U(1))
-        zeros = ~window
-        return np.bitwise_count((zeros & (~zeros + _U(1))) - _U(1)).astype(np.int64)
+        ends = (self.bits[word] >> shift) | (following << (_U(63) - shift) << _U(1))
+        if ones:
+            ends = ~ends
+        return np.bitwise_count((ends & (~ends + _U(1))) - _U(1)).astype(np.int64)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), dtype=np.int64)
         at = i * self.width
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        word, shift = at >> 6, (at & 63).view(np.uint64)
         value = self.low[word] >> shift
         value |= self.low[word + 1] << (_U(63) - shift) << _U(1)
-        return (value & _U((1 << self.width) - 1)).astype(np.int64)
+        return (value & _U((1 << self.width) - 1)).view(np.int64)
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The values at places ``i``, all of them in the sequence."""
         high = self._select(i, True) - i
         return (high << self.width) | self._low(i)
 
+    def spans(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places ``i`` and ``i + 1``, all of them in the sequence."""
+        one = self._select(i, True)
+        run = self._run_from(one + 1, False)
+        next_ = one + 1 + run
+        # The next one is beyond the window.
+        far = np.flatnonzero(run == 64)
+        if len(far):
+            next_[far] = self._select(i[far] + 1, True)
+        return ((one - i) << self.width) | self._low(i), ((next_ - i - 1) << self.width) | self._low(i + 1)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value, or -1; values that occur more than once have their first place."""
         result = np.full(len(values), -1, dtype=np.int64)
@@ -128,23 +140,23 @@ class Monotone:
         within = np.flatnonzero((values >= 0) & (high < len(self.bits) * 64 - self.n - 1))
         values, high = values[within], high[within]
         begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
-        end = begin + self._ones_from(begin)
+        end = begin + self._run_from(begin, True)
         # A run of ones that fills the window may go on; its end is the next zero.
         long = np.flatnonzero(end - begin == 64)
         if len(long):
             end[long] = self._select(high[long], False)
-        low = begin - high
-        stop = end - high
-        last = stop.copy()
-        wanted = values & ((1 << self.width) - 1)
+        low, stop = begin - high, end - high
+        # Where a search ends it has looked at the first value that is not less, if there is one.
         open_ = np.flatnonzero(low < stop)
-        while len(open_):
-            middle = (low[open_] + stop[open_]) >> 1
-            less = self._low(middle) < wanted[open_]
-            low[open_[less]] = middle[less] + 1
-            stop[open_[~less]] = middle[~less]
-            open_ = open_[low[open_] < stop[open_]]
-        hit = np.flatnonzero(low < last)
-        hit = hit[self._low(low[hit]) == wanted[hit]]
-        result[within[hit]] = low[hit]
+        low, stop, wanted = low[open_], stop[open_], (values & ((1 << self.width) - 1))[open_]
+        places = within[open_]
+        while len(places):
+            middle = (low + stop) >> 1
+            value = self._low(middle)
+            equal = np.flatnonzero(value == wanted)
+            result[places[equal]] = middle[equal]
+            less = value < wanted
+            low, stop = np.where(less, middle + 1, low), np.where(less, stop, middle)
+            more = np.flatnonzero(low < stop)
+            low, stop, wanted, places = low[more], stop[more], wanted[more], places[more]
         return result

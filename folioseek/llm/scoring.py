@@ -75,31 +75,36 @@ class Model:
         return bits
 
     def context_counts(self, contexts: np.ndarray) -> np.ndarray:
-        """Counts of entries of the highest level, or of the begin of texts."""
+        """Counts of entries of the highest level in order, or of the begin of texts, which comes last."""
         if len(self.levels) > 1:
             return self.levels[-1].counts(contexts)
-        counts = self.levels[0].counts(np.where(contexts == self.begin, -1, contexts))
-        return np.where(contexts == self.begin, self.documents, counts)
+        words = contexts[: np.searchsorted(contexts, self.begin)]
+        return np.append(self.levels[0].counts(words), np.full(len(contexts) - len(words), self.documents))
 
     def read(self, texts: pa.Array) -> Reading:
         """The words of texts and their entries on every level."""
         found = tokens(texts)
         hashes = np.concatenate([(found.hashes() >> np.uint64(1)).astype(np.int64) if len(found.distinct) else np.zeros(0, np.int64), [END]])
-        ids = self.levels[0].words(hashes)
-        known = self.levels[0].counts(ids)
+        order = np.argsort(hashes)
+        ids = self.levels[0].words(hashes[order])
+        # Ids are in the order of hashes; two words of one hash are one.
+        known = ids >= 0
+        new = known & (np.diff(hashes[order], prepend=-1) != 0)
+        words, number = ids[new], np.empty(len(ids), dtype=np.int64)
+        number[order] = np.where(known, np.cumsum(new) - 1, -1)
         # Each text is its begin, its words and its end.
         counts = np.diff(found.starts) + 2
         starts = np.concatenate([[0], np.cumsum(counts)])
         code = np.full(starts[-1], len(hashes) - 1, dtype=np.int64)
         code[starts[:-1]] = -1
         code[np.flatnonzero(_inner(starts))] = found.codes
-        token = code >= 0
-        word = np.where(token, ids[code], -1)
-        entries = [np.where(token, word, self.begin)]
+        # The begin of a text comes after all words.
+        token, number = code >= 0, np.append(number, len(words))[code]
+        entries = [Found(np.append(words, self.begin), number)]
+        word = np.where(token, number, -1)
         for level in self.levels[1:]:
-            above = np.concatenate([[-1], entries[-1][:-1]])
-            entries.append(level.find(np.where(token, above, -1), word))
-        return Reading(starts, token, word, np.where(token, known[code], 0), entries)
+            entries.append(_next(level, entries[-1], words, word))
+        return Reading(starts, token, Found(words, word), entries)
 
 
 def _inner(starts: np.ndarray) -> np.ndarray:
@@ -109,15 +114,66 @@ def _inner(starts: np.ndarray) -> np.ndarray:
     return marks
 
 
+@dataclass
+class Found:
+    """Distinct ids in order, and for every place of some texts where its id stands in them, or -1."""
+
+    distinct: np.ndarray
+    place: np.ndarray
+
+    def spread(self, values: np.ndarray, none) -> np.ndarray:
+        """The values of the distinct ids at every place, and ``none`` where there is no id."""
+        return np.append(values, none)[self.place]
+
+
+def _next(level: Level, context: Found, words: np.ndarray, word: np.ndarray) -> Found:
+    """The entries of a level from those of the level below that end one place before, and the words."""
+    asked = np.flatnonzero((context.place[:-1] >= 0) & (word[1:] >= 0)) + 1
+    # Numbers among the ids of these texts are in the order of ids and short enough to be sorted together with their places.
+    pair = context.place[asked - 1] * len(words) + word[asked]
+    pair, order = _ordered(pair, len(context.distinct) * len(words))
+    # An n-gram that occurs more than once is looked up once.
+    new = np.diff(pair, prepend=-1) != 0
+    pair = pair[new]
+    first = pair // max(1, len(words))
+    entries = level.find((context.distinct[first] << level.word_bits) | words[pair - first * len(words)])
+    known = entries >= 0
+    place = np.full(len(word), -1, dtype=np.int64)
+    place[asked[order]] = np.where(known, np.cumsum(known) - 1, -1)[np.cumsum(new) - 1]
+    return Found(entries[known], place)
+
+
+def _ordered(numbers: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below ``end`` in order, and where each one stood."""
+    bits = len(numbers).bit_length()
+    if end.bit_length() + bits > 63:
+        order = np.argsort(numbers)
+        return numbers[order], order
+    both = np.sort((numbers << bits) | np.arange(len(numbers)))
+    return both >> bits, both & ((1 << bits) - 1)
+
+
 @dataclass
 class Reading:
-    """Texts as begins, words and ends: which are tokens, their word ids, counts, and the entry that ends there on each level."""
+    """Texts as begins, words and ends: which are tokens, their words, and the entry that ends there on each level."""
 
     starts: np.ndarray
     token: np.ndarray
-    word: np.ndarray
-    count: np.ndarray
-    entries: list[np.ndarray]
+    words: Found
+    found: list[Found]
+
+    @property
+    def word(self) -> np.ndarray:
+        """The word ids of tokens, -1 if not in the vocabulary."""
+        return self.words.spread(self.words.distinct, -1)
+
+    @property
+    def entries(self) -> list[np.ndarray]:
+        return [level.spread(level.distinct, -1) for level in self.found]
+
+    def count(self, model: Model) -> np.ndarray:
+        """How often the word of each token was seen, zero for others."""
+        return self.words.spread(model.levels[0].counts(self.words.distinct), 0)
 
 
 def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -178,11 +234,13 @@ def _words(texts: pa.Array) -> np.ndarray:
 def _entries(model: Model, texts: pa.Array, min_count: int) -> np.ndarray:
     """The keys of all n-grams of texts on the level above the highest."""
     read = model.read(texts)
-    context, own = read.entries[-1][:-1], read.entries[-1][1:]
-    frequent = read.token[1:] & (context >= 0) & (own >= 0)
-    if len(model.levels) == 1:
-        frequent &= (read.count[1:] >= min_count) & ((read.count[:-1] >= min_count) | ~read.token[:-1])
-    return (context[frequent] << model.word_bits) | read.word[1:][frequent]
+    last, word = read.found[-1], read.words
+    kept = read.token[1:] & (last.place[:-1] >= 0) & (last.place[1:] >= 0)
+    if len(model.levels) == 1 and min_count > 1:
+        count = read.count(model)
+        kept &= (count[1:] >= min_count) & ((count[:-1] >= min_count) | ~read.token[:-1])
+    kept = np.flatnonzero(kept)
+    return (last.distinct[last.place[kept]] << model.word_bits) | word.distinct[word.place[kept + 1]]
 
 
 def _keys(model: Model, texts: pa.Array, min_count: int) -> np.ndarray:
@@ -257,11 +315,12 @@ def trained(documents: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT
 def probabilities(model: Model, read: Reading) -> np.ndarray:
     """The probability of every place that is a token, in the context of its text."""
     norm = model.levels[0].total + model.levels[0].entries + 1
-    chance = (read.count + 1.0) / norm
-    for place, level in enumerate(model.levels[1:], 1):
-        context = np.concatenate([[-1], read.entries[place - 1][:-1]])
-        context = np.where(read.token, context, -1)
-        chance = level.probabilities(read.entries[place]) + level.weights(context) * chance
+    chance = (read.count(model) + 1.0) / norm
+    for level, context, own in zip(model.levels[1:], read.found, read.found[1:]):
+        weight = context.spread(level.weights(context.distinct), 1.0)
+        # A begin has no context; its probability is not used.
+        chance[1:] *= weight[:-1]
+        chance += own.spread(level.probabilities(own.distinct), 0.0)
     return chance
 
 
@@ -270,15 +329,16 @@ def _scores(model: Model, keep: list[str]):
         total, distinct = model.levels[0].total, model.levels[0].entries
         for batch in slices(batches, size=LOOKUP_BYTES):
             read = model.read(batch.column("text"))
+            count = read.count(model)
 
             def per_text(values: np.ndarray, read=read) -> np.ndarray:
                 return np.add.reduceat(np.where(read.token, values, 0), read.starts[:-1])
 
             columns = {
                 "n_tokens": np.diff(read.starts) - 1,
-                "n_known": per_text((read.count > 0).astype(np.int64)),
+                "n_known": per_text((count > 0).astype(np.int64)),
                 "train_tokens": np.full(batch.num_rows, total, dtype=np.int64),
-                "base_score": per_text(np.log10((read.count + 1.0) / (total + distinct + 1))),
+                "base_score": per_text(np.log10((count + 1.0) / (total + distinct + 1))),
                 "score": per_text(np.log10(probabilities(model, read))),
             }
             arrays = [*(batch.column(c) for c in keep), *map(pa.array, columns.values())]

@@ -193,66 +193,44 @@ class Level:
             self._shards[number] = (arrays, {name: _sequence(name, arrays, numbers) for name in names})
         return self._shards[number]
 
-    def _routed(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """The shards and the places of the keys that lie in their ranges, in the order of keys."""
-        if not self.rows or not len(keys):
-            return
-        order = np.argsort(keys)
-        cuts = np.append(np.searchsorted(keys, self.firsts, sorter=order), len(keys))
-        for shard in np.flatnonzero(np.diff(cuts)):
-            yield int(shard), order[cuts[shard] : cuts[shard + 1]]
+    def _cuts(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """The shards in whose ranges the keys lie, which are in order, and where in them."""
+        if self.rows:
+            cuts = np.append(np.searchsorted(keys, self.firsts), len(keys))
+            for shard in np.flatnonzero(np.diff(cuts)):
+                yield int(shard), slice(cuts[shard], cuts[shard + 1])
 
     def words(self, keys: np.ndarray) -> np.ndarray:
-        """Ids of hashes, -1 if not in the vocabulary."""
+        """Ids of hashes in order, -1 if not in the vocabulary."""
         found = np.full(len(keys), -1, dtype=np.int64)
-        for shard, places in self._routed(keys):
-            local = self._shard(shard)[1]["keys"].find(keys[places])
-            found[places] = np.where(local >= 0, local + self.offsets[shard], -1)
+        for shard, own in self._cuts(keys):
+            local = self._shard(shard)[1]["keys"].find(keys[own])
+            found[own] = np.where(local >= 0, local + self.offsets[shard], -1)
         return found
 
     def counts(self, entries: np.ndarray) -> np.ndarray:
-        """Counts of entries, zero for -1."""
+        """Counts of entries in order."""
         return self._values(entries, "counts").astype(np.int64)
 
     def probabilities(self, entries: np.ndarray) -> np.ndarray:
-        """Discounted probabilities of entries, zero for -1."""
-        result = np.zeros(len(entries))
-        known = np.flatnonzero(entries >= 0)
-        result[known] = restored(self._values(entries[known], "probabilities"))
-        return result
+        """Discounted probabilities of entries in order."""
+        return restored(self._values(entries, "probabilities"))
 
     def _values(self, entries: np.ndarray, name: str) -> np.ndarray:
         result = np.zeros(len(entries), dtype=np.int64)
-        known = np.flatnonzero(entries >= 0)
-        order = known[np.argsort(entries[known])]
-        cuts = np.searchsorted(entries[order], self.offsets)
+        cuts = np.searchsorted(entries, self.offsets)
         for shard in np.flatnonzero(np.diff(cuts)):
-            here = order[cuts[shard] : cuts[shard + 1]]
-            result[here] = self._shard(int(shard))[0][name][entries[here] - self.offsets[shard]]
+            own = slice(cuts[shard], cuts[shard + 1])
+            result[own] = self._shard(int(shard))[0][name][entries[own] - self.offsets[shard]]
         return result
 
-    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The entry of each context and word, -1 if there is none or either is -1."""
-        found = np.full(len(contexts), -1, dtype=np.int64)
-        asked = np.flatnonzero((contexts >= 0) & (words >= 0))
-        if not len(asked) or not self.rows:
-            return found
-        keys = (contexts[asked] << self.word_bits) | words[asked]
-        # An n-gram that occurs more than once is looked up once.
-        order = np.argsort(keys)
-        keys = keys[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        found[asked[order]] = self._found(keys[new])[np.cumsum(new) - 1]
-        return found
-
-    def _found(self, keys: np.ndarray) -> np.ndarray:
-        """The entries of distinct keys in order, -1 if there is none."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entries of keys that are distinct and in order, -1 if there is none."""
         found = np.full(len(keys), -1, dtype=np.int64)
-        cuts = np.append(np.searchsorted(keys, self.firsts), len(keys))
-        for shard in np.flatnonzero(np.diff(cuts)):
-            sequences = self._shard(int(shard))[1]
+        for shard, within in self._cuts(keys):
+            sequences = self._shard(shard)[1]
             low = self.rows[shard].first >> self.word_bits
-            own = keys[cuts[shard] : cuts[shard + 1]]
+            own = keys[within]
             own = own[: np.searchsorted(own >> self.word_bits, low + sequences["pointers"].n - 1)]
             if not len(own):
                 continue
@@ -260,8 +238,7 @@ class Level:
             context, word = own >> self.word_bits, own & ((1 << self.word_bits) - 1)
             first = np.concatenate([[True], context[1:] != context[:-1]])
             distinct, place = context[first], np.cumsum(first) - 1
-            begin = sequences["pointers"].at(distinct - low)
-            end = sequences["pointers"].at(distinct - low + 1)
+            begin, end = sequences["pointers"].spans(distinct - low)
             base = np.zeros(len(distinct), dtype=np.int64)
             later = np.flatnonzero((begin > 0) & (end > begin))
             base[later] = sequences["values"].at(begin[later] - 1)
@@ -269,22 +246,19 @@ class Level:
             place = place[some]
             local = sequences["values"].find(base[place] + word[some] + 1)
             inside = (local >= begin[place]) & (local < end[place])
-            found[cuts[shard] + some[inside]] = local[inside] + self.offsets[shard]
+            found[within.start + some[inside]] = local[inside] + self.offsets[shard]
         return found
 
     def weights(self, contexts: np.ndarray) -> np.ndarray:
-        """Back-off weights; one for a context without entries and for -1."""
-        result = np.ones(len(contexts))
-        known = np.flatnonzero(contexts >= 0)
-        if not self.rows or not len(known):
-            return result
-        own = contexts[known]
-        weight = np.ones(len(own))
-        for shard, places in self._routed((own << self.word_bits) | ((1 << self.word_bits) - 1)):
+        """Back-off weights of contexts in order; one for a context without entries."""
+        weight = np.ones(len(contexts))
+        if not self.rows or not len(contexts):
+            return weight
+        for shard, own in self._cuts((contexts << self.word_bits) | ((1 << self.word_bits) - 1)):
             arrays, sequences = self._shard(shard)
-            local = own[places] - (self.rows[shard].first >> self.word_bits)
-            inside = local < sequences["pointers"].n - 1
-            weight[places[inside]] = restored(arrays["weights"][local[inside]])
-        at = np.minimum(np.searchsorted(self.end_contexts, own), len(self.end_contexts) - 1)
-        result[known] = np.where(self.end_contexts[at] == own, self.end_weights[at], weight)
-        return result
+            local = contexts[own] - (self.rows[shard].first >> self.word_bits)
+            # Those beyond the last context of the shard come last.
+            inside = local[: np.searchsorted(local, sequences["pointers"].n - 1)]
+            weight[own.start : own.start + len(inside)] = restored(arrays["weights"][inside])
+        at = np.minimum(np.searchsorted(self.end_contexts, contexts), len(self.end_contexts) - 1)
+        return np.where(self.end_contexts[at] == contexts, self.end_weights[at], weight)

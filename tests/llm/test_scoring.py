@@ -10,6 +10,7 @@ from hypothesis import given, settings, strategies as st
 
 from folioseek.llm import queries, scoring
 from folioseek.llm.elias_fano import Monotone
+from folioseek.llm.trie import Level
 
 
 @settings(max_examples=150, deadline=None)
@@ -51,6 +52,38 @@ def test_an_ngram_that_repeats_is_looked_up_once(spark, monkeypatch):
     assert (read.entries[2][3:801] >= 0).all()
 
 
+def test_an_ngram_that_repeats_is_scored_once(spark, monkeypatch):
+    text = " ".join(["a b c d"] * 200)
+    model = scoring.trained(spark.createDataFrame([(text,)], "text string"), min_count=1)
+    asked, values = [], Level._values
+    monkeypatch.setattr(Level, "_values", lambda self, entries, name: (asked.append(len(entries)), values(self, entries, name))[1])
+    read = model.read(pa.array([text, text, "x a"]))
+    chances = scoring.probabilities(model, read)
+    assert asked and all(n <= 7 for n in asked)
+    assert (chances[1:802] == chances[803:1604]).all() and (read.entries[1][-3:] == [-1, -1, -1]).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**40), min_size=2, max_size=300), st.integers(0, 39))
+def test_spans_are_values_and_those_after_them(values, shift):
+    values = np.sort(np.array(values, dtype=np.int64) >> shift)
+    begin, end = Monotone.of(values).spans(np.arange(len(values) - 1))
+    assert (begin == values[:-1]).all() and (end == values[1:]).all()
+
+
+def test_spans_over_a_long_gap():
+    values = np.array([0, 1, 2, 3, 4, 5, 6, 7 << 20, 8 << 20])
+    begin, end = Monotone.of(np.repeat(values, 40)).spans(np.arange(40 * len(values) - 1))
+    assert (begin == np.repeat(values, 40)[:-1]).all() and (end == np.repeat(values, 40)[1:]).all()
+
+
+@pytest.mark.parametrize("end", [1 << 20, 1 << 62])
+def test_numbers_are_ordered_with_their_places(end):
+    numbers = np.random.default_rng(5).integers(0, end, 500)
+    found, order = scoring._ordered(numbers, end)
+    assert (found == np.sort(numbers)).all() and (numbers[order] == found).all() and sorted(order) == list(range(500))
+
+
 def test_blocks_round_trip():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**62, 1000))
     counts = np.random.default_rng(2).integers(1, 2**40, len(keys))
