@@ -46,6 +46,9 @@ ROW_GROUP_BYTES = 8 << 20
 # A page is decompressed as one array; the collector treats those of the usual 1 MB apart and runs more often for them.
 PAGE_BYTES = 1 << 18
 
+# Buckets of a block and ends of their lists rise: the second version of the format writes the steps, where it makes no dictionary.
+RISING = {"parquet.writer.version": "PARQUET_2_0"} | {f"parquet.enable.dictionary#{name}.list.element": "false" for name in ("bucket", "ends")}
+
 # Rows of documents and chunks that a task decodes at a time, and chunks that go to Python at a time: whole blocks of postings.
 SCAN_ROWS = 4 * BLOCK_CHUNKS
 
@@ -237,7 +240,8 @@ def write_segment(chunks: DataFrame, path: str, embedder, segment: int) -> dict:
     spark, folder = chunks.sparkSession, f"{path}/segments/{segment}"
     rows = chunks.withColumns({"segment": F.lit(segment).cast("long"), "row": F.monotonically_increasing_id()})
     with small_scans(spark, SCAN_ROWS):
-        _writer(rows).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{folder}/chunks")
+        # Texts are most of an index, and a search reads few of them.
+        _writer(rows).options(maxRecordsPerFile=ROWS_PER_FILE, compression="zstd").parquet(f"{folder}/chunks")
     stored = spark.read.schema(rows.schema).parquet(f"{folder}/chunks")
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     files = stored.groupBy("segment", _slot(F.col("row")).alias("slot"), name.alias("file")).agg(F.count("*").alias("num_rows"))
@@ -282,7 +286,7 @@ def _published(spark: SparkSession, path: str, embedder, segment: dict, replace:
                 postings = make_postings(stored, embedder.column, (*CHUNK_KEY, "row"), used)
                 postings = postings.withColumn("segment", F.lit(segment["id"]).cast("long"))
                 with small_batches(spark, SCAN_ROWS):
-                    _writer(postings).parquet(f"{path}/segments/{segment['id']}/postings")
+                    _writer(postings).options(**RISING).parquet(f"{path}/segments/{segment['id']}/postings")
             own["slack"] = _widening(used, weights)
             if others:
                 wider = _widening(_prepared(spark, path, base, embedder), weights)

@@ -20,6 +20,9 @@ CONTENT_KIND = "content"
 HEADER_KIND = "columnHeader"
 TABLE_LINE = "Below is a Table:"
 
+# The section of texts of cells where paragraphs that repeat them are left out, before those of paragraphs and tables.
+CELL_TEXT = -1
+
 # Cells or paragraphs per block.
 BLOCK_ROWS = 4096
 
@@ -139,8 +142,12 @@ def layout_blocks(
         .agg(_concatenated("para_idx", "line").alias("text"))
         .select("doc_id", F.lit(0).alias("section"), F.lit(-1).alias("table_idx"), "blk", "text")
     )
+    return paragraph_blocks.unionByName(_table_blocks(cells, reset_per_table, block_rows))
+
+
+def _table_blocks(cells: DataFrame, reset_per_table: bool, block_rows: int) -> DataFrame:
     headed = _with_headings(_in_blocks(cells, block_rows), reset_per_table)
-    table_blocks = (
+    return (
         headed.withColumn("line", F.concat(cell_line(F.col("heading")), F.lit("\n")))
         .groupBy(*BLOCK)
         .agg(_concatenated("cell_idx", "line").alias("text"))
@@ -154,7 +161,6 @@ def layout_blocks(
             .alias("text"),
         )
     )
-    return paragraph_blocks.unionByName(table_blocks)
 
 
 def flatten_layout(
@@ -162,11 +168,46 @@ def flatten_layout(
 ) -> DataFrame:
     """``(doc_id, full_text)``: paragraphs, then the tables, one line per cell.
 
-    The last step only strings together the blocks of a document, whose text
-    is one value here. ``layout_blocks`` and ``chunk_blocks`` lead to the same
-    chunks for documents that are too large to be one value.
+    The text of a document is one value here, so its paragraphs, the texts of
+    its cells that leave some of them out, and the blocks of its tables go to
+    one task at once, and no text of a paragraph moves again. ``layout_blocks``
+    and ``chunk_blocks`` lead to the same chunks for documents that are too
+    large to be one value.
     """
-    blocks = layout_blocks(paragraphs, cells, reset_per_table, block_rows)
+    left_out = F.coalesce(F.col("role"), F.lit("")).isin(*LEFT_OUT_ROLES)
+    content = clean_layout_text(F.col("content"))
+    block = F.floor(F.col("para_idx") / block_rows).cast("int")
+    # A paragraph that is left out for its role still stands for its block, without its text.
+    lines = paragraphs.select(
+        "doc_id",
+        F.lit(0).alias("section"),
+        F.lit(-1).alias("table_idx"),
+        block.alias("blk"),
+        "para_idx",
+        F.when(~left_out, content).alias("text"),
+    )
+    no_index = F.lit(None).cast(paragraphs.schema["para_idx"].dataType).alias("para_idx")
+    no_number = F.lit(None).cast("int")
+    cell_texts = cells.select("doc_id", F.lit(CELL_TEXT).alias("section"), no_number.alias("table_idx"), no_number.alias("blk"), no_index, content.alias("text"))
+    tables = _table_blocks(cells, reset_per_table, block_rows).withColumn("para_idx", no_index)
+    together = lines.unionByName(cell_texts).unionByName(tables).repartition("doc_id")
+    # Rows of one text of a document, those of cells first; the text of a table is no paragraph.
+    so_far = (
+        Window.partitionBy("doc_id", "text")
+        .orderBy("section")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    is_cell = F.col("section") == CELL_TEXT
+    repeats = F.coalesce(F.first("section").over(so_far) == CELL_TEXT, F.lit(False)) & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    paragraph = F.col("section") == 0
+    line = F.when(paragraph, F.when(~F.col("repeats"), F.concat("text", F.lit("\n")))).otherwise(F.col("text"))
+    blocks = (
+        together.withColumn("repeats", repeats)
+        .where(~is_cell)
+        .withColumn("line", line)
+        .groupBy("doc_id", "section", "table_idx", "blk")
+        .agg(_concatenated("para_idx", "line").alias("text"))
+    )
     ordered = F.sort_array(F.collect_list(F.struct("section", "table_idx", "blk", "text")))
     return blocks.groupBy("doc_id").agg(
         F.array_join(F.transform(ordered, lambda block: block["text"]), "").alias("full_text")

@@ -11,6 +11,7 @@ from folioseek.operators.embedders import HashedTerms
 from folioseek.operators.index import ChunkIndex, build_index
 from folioseek.operators.layout import flatten_layout
 from folioseek.sources.files import analyze_layout, decode_pages, layout_rows, raw_corpus
+from folioseek.sources.scratch import owned
 from folioseek.sources.tables import save_corpus
 
 
@@ -43,7 +44,10 @@ def ingest(
     if (decode is None) == (analyze is None):
         raise ValueError("either decode or analyze is given")
     use_layout = analyze is not None
-    layouts = layout_corpus(files, analyze) if use_layout else None
-    pages = None if use_layout else page_corpus(files, decode)
-    corpus = raw_corpus(use_layout, layouts, pages).select("doc_id", "source", "page", "full_text")
-    return build_index(save_corpus(corpus, table), path, settings, embedder)
+    # What a layout service found is not read again once the corpus is saved.
+    with owned(files.sparkSession):
+        layouts = layout_corpus(files, analyze) if use_layout else None
+        pages = None if use_layout else page_corpus(files, decode)
+        corpus = raw_corpus(use_layout, layouts, pages).select("doc_id", "source", "page", "full_text")
+        saved = save_corpus(corpus, table)
+    return build_index(saved, path, settings, embedder)

@@ -78,7 +78,7 @@ def analyze_layout(
                     }
                 )
 
-    return written(files.select("source", "content").mapInPandas(results, LAYOUT_SCHEMA), "layouts")
+    return written(files.select("source", "content").mapInPandas(results, LAYOUT_SCHEMA), "layouts", compression="zstd")
 
 
 def layout_rows(layouts: DataFrame) -> tuple[DataFrame, DataFrame]:

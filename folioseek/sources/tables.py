@@ -16,7 +16,7 @@ def use_database(spark: SparkSession, name: str, location: str | None = None) ->
 
 def save_corpus(df: DataFrame, table: str) -> DataFrame:
     """Replace a table with its schema and read it back."""
-    df.write.mode("overwrite").saveAsTable(table)
+    df.write.mode("overwrite").option("compression", "zstd").saveAsTable(table)
     return df.sparkSession.table(table)
 
 

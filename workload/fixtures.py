@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioseek.operators.embedders import HashedTerms
@@ -15,6 +18,7 @@ from folioseek.sources.tables import use_database
 LINES_PER_TABLE = 20
 
 FILES_PER_PACK = 256
+FAST = {"zlib.compress.level": "BEST_SPEED"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,19 +38,27 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files of a form feed after each text of an id, read back as ``source, content``.
 
     Files are packed: with one for each document of a few kilobytes, the time
-    would go into making and listing folders, which the driver does alone.
+    would go into making and listing folders, which the driver does alone. A
+    pack is compressed; a form feed within a file is escaped there.
     """
     path = fresh_path(spark, "files")
     documents = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     text = F.concat(F.coalesce("text", F.lit("")), F.lit("\f"))
     files = documents.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(text)), "").alias("content"))
     name = F.concat(F.lit("file-"), F.regexp_extract(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), r"^(\d*)$", 1))
-    packed = files.select(F.concat(name, F.lit(":"), F.base64(F.encode("content", "utf-8"))).alias("value"))
-    packed.write.option("maxRecordsPerFile", FILES_PER_PACK).option("lineSep", "\f").text(path)
-    entries = F.split(F.rtrim(F.decode("content", "utf-8"), F.lit("\f")), "\f")
-    entry = read_binary(spark, path, "*.txt").select(F.explode(entries).alias("entry"))
-    parts = F.split("entry", ":")
-    return entry.select(parts[0].alias("source"), F.unbase64(parts[1]).alias("content"))
+    escaped = F.replace(F.replace("content", F.lit("%"), F.lit("%25")), F.lit("\f"), F.lit("%0C"))
+    packed = files.select(F.concat(name, F.lit(":"), escaped).alias("value"))
+    packed.write.option("maxRecordsPerFile", FILES_PER_PACK).options(lineSep="\f", compression="gzip", **FAST).text(path)
+    return read_binary(spark, path, "*.txt.gz").select("content").mapInArrow(_unpacked, "source string, content binary")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for pack in batch.column("content"):
+            entries = [entry.partition(b":") for entry in gzip.decompress(pack.as_py()).split(b"\f") if entry]
+            sources = pa.array([name.decode() for name, _, _ in entries], pa.string())
+            contents = pa.array([content.replace(b"%0C", b"\f").replace(b"%25", b"%") for _, _, content in entries], pa.binary())
+            yield pa.RecordBatch.from_arrays([sources, contents], ["source", "content"])
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

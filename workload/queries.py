@@ -21,7 +21,7 @@ from folioseek.plans.answering import answer_questions, answer_questions_with_mo
 from folioseek.plans.ingest import ingest
 from folioseek.plans.evaluation import EvaluatedModel, evaluate_models, log_evaluation, log_run_parameters
 from folioseek.sources.files import decode_pages, spare_cores
-from folioseek.sources.scratch import fresh_path
+from folioseek.sources.scratch import fresh_path, owned
 from folioseek.sources.tables import ensure_questions, project_corpus, save_corpus
 from folioseek.streaming.jobs import stream_answers as answer_stream, stream_chunks
 from workload import fixtures as fx
@@ -129,8 +129,9 @@ def layout_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ingested(spark: SparkSession, sf_dir: str, **reader) -> DataFrame:
-    table = f"{fx.fresh_database(spark)}.corpus"
-    index = ingest(fx.document_files(spark, sf_dir), table, fresh_path(spark, "index"), **reader)
+    table, path = f"{fx.fresh_database(spark)}.corpus", fresh_path(spark, "index")
+    with owned(spark):
+        index = ingest(fx.document_files(spark, sf_dir), table, path, **reader)
     pages = spark.table(table).select("doc_id", "page")
     return index.chunks.join(pages, "doc_id").select("doc_id", "source", "page", "chunk_no", "num_chunks", "text")
 
