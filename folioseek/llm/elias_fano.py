@@ -13,6 +13,10 @@ import numpy as np
 
 BLOCK_WORDS = 8
 BLOCK_BITS = 64 * BLOCK_WORDS
+# Steps of a search that guess; after so many, nearly all values are found.
+EVEN_STEPS = 5
+LONG_RUN = 4
+_CUTS = np.arange(1, 8, dtype=np.int64)
 # The place of the k-th one in a byte, at 8 times the byte and k.
 _PLACE = np.zeros((256, 8), dtype=np.int64)
 for _byte in range(256):
@@ -28,7 +32,7 @@ _STEPS, _TOPS, _BEFORE = (_U(sum(field(i) << (9 * i) for i in range(7))) for fie
 
 @dataclass
 class Monotone:
-    """``n`` rising integers: ``bits`` for the high parts, ``low`` of ``width`` bits each.
+    """``n`` rising integers: ``bits`` for the high parts, ``low`` of ``width`` bits each. ``distinct`` says that none repeats.
 
     ``ones`` counts those before each block, ``inner`` those of a block before its second to eighth word, in 9 bits each.
     """
@@ -39,6 +43,7 @@ class Monotone:
     ones: np.ndarray
     inner: np.ndarray
     low: np.ndarray
+    distinct: bool = False
 
     def __post_init__(self):
         self.zeros = np.arange(len(self.ones), dtype=np.int64) * BLOCK_BITS - self.ones
@@ -146,17 +151,36 @@ class Monotone:
         if len(long):
             end[long] = self._select(high[long], False)
         low, stop = begin - high, end - high
-        # Where a search ends it has looked at the first value that is not less, if there is one.
         open_ = np.flatnonzero(low < stop)
         low, stop, wanted = low[open_], stop[open_], (values & ((1 << self.width) - 1))[open_]
         places = within[open_]
-        while len(places):
-            middle = (low + stop) >> 1
+        # The first steps take the low bits between two that are known for even; where a long run ends is looked up before.
+        least, beyond = np.zeros(len(places), dtype=np.int64), np.full(len(places), 1 << self.width, dtype=np.int64)
+        long = np.flatnonzero(stop - low > LONG_RUN)
+        beyond[long] = np.maximum(self._low(stop[long] - 1), wanted[long]) + 1
+        for _ in range(EVEN_STEPS):
+            middle = np.minimum(low + ((wanted - least) / (beyond - least) * (stop - low)).astype(np.int64), stop - 1)
             value = self._low(middle)
-            equal = np.flatnonzero(value == wanted)
-            result[places[equal]] = middle[equal]
+            equal = value == wanted
+            hit = np.flatnonzero(equal)
+            result[places[hit]] = middle[hit]
             less = value < wanted
             low, stop = np.where(less, middle + 1, low), np.where(less, stop, middle)
-            more = np.flatnonzero(low < stop)
+            # Values that rise have one place; of others the first one may be still to come.
+            more = np.flatnonzero((low < stop) & ~equal if self.distinct else low < stop)
+            value, less = value[more] + 1, less[more]
+            least, beyond = np.where(less, value, least[more]), np.where(less, beyond[more], value)
+            low, stop, wanted, places = low[more], stop[more], wanted[more], places[more]
+        # The others cut what is left into pieces, so that the last few are not looked for in many steps.
+        while len(places):
+            cuts = low[:, None] + (stop - low)[:, None] * _CUTS // (len(_CUTS) + 1)
+            value = self._low(cuts.reshape(-1)).reshape(cuts.shape)
+            less = np.count_nonzero(value < wanted[:, None], axis=1)
+            row, next_ = np.arange(len(places)), np.minimum(less, len(_CUTS) - 1)
+            equal = value[row, next_] == wanted
+            hit = np.flatnonzero(equal)
+            result[places[hit]] = cuts[hit, next_[hit]]
+            low, stop = np.where(less > 0, cuts[row, less - 1] + 1, low), np.where(less < len(_CUTS), cuts[row, next_], stop)
+            more = np.flatnonzero((low < stop) & ~equal if self.distinct else low < stop)
             low, stop, wanted, places = low[more], stop[more], wanted[more], places[more]
         return result

@@ -46,7 +46,7 @@ DISCOUNT = 0.5
 END = 1
 FLUSH_ENTRIES = 1 << 20
 # Text that is looked up at a time: the more there is, the more n-grams of a shard come together, and the more of them repeat.
-LOOKUP_BYTES = 1 << 21
+LOOKUP_BYTES = 1 << 22
 PART_TOKENS = 2_000_000
 # The sample that the ends of parts are taken from: so much text, or this share of a large corpus.
 SAMPLE_BYTES = 1 << 23
@@ -86,7 +86,7 @@ class Model:
         found = tokens(texts)
         hashes = np.concatenate([(found.hashes() >> np.uint64(1)).astype(np.int64) if len(found.distinct) else np.zeros(0, np.int64), [END]])
         order = np.argsort(hashes)
-        ids = self.levels[0].words(hashes[order])
+        ids = self.levels[0].find(hashes[order])
         # Ids are in the order of hashes; two words of one hash are one.
         known = ids >= 0
         new = known & (np.diff(hashes[order], prepend=-1) != 0)

@@ -4,10 +4,9 @@ Level 1 is the vocabulary: the 63-bit hashes of words in order, their counts
 and their ids, which are their places. An entry of a higher level is a context
 (an entry of the level below) and a word id; a key is
 the context and, in as many bits as the vocabulary needs, the word. Entries stand in the order of
-context and word. For each context a monotone pointer says where its entries
-begin; the ids are made one rising sequence by adding, within a context, the
-last value of the context before, so that both are Elias-Fano coded and a word
-is found by searching the successor of that value. An entry carries its
+their keys, which are one rising sequence and Elias-Fano coded, so that the entry of a context
+and a word is found by one search, without a look at where the entries of the context
+begin and end. An entry carries its
 count and its quantised discounted probability, a context its quantised
 back-off weight.
 
@@ -93,7 +92,7 @@ def _prefixed(name: str, sequence: Monotone) -> dict[str, np.ndarray]:
 
 
 def _sequence(name: str, arrays: dict[str, np.ndarray], numbers: dict[str, int]) -> Monotone:
-    return Monotone(numbers[f"{name}_n"], numbers[f"{name}_width"], *(arrays[f"{name}_{key}"] for key in ("bits", "ones", "inner", "low")))
+    return Monotone(numbers[f"{name}_n"], numbers[f"{name}_width"], *(arrays[f"{name}_{key}"] for key in ("bits", "ones", "inner", "low")), distinct=True)
 
 
 @dataclass(frozen=True)
@@ -123,7 +122,7 @@ def shard_batch(row: ShardRow) -> pa.RecordBatch:
 
 def build_words(folder: str, keys: np.ndarray, counts: np.ndarray) -> ShardRow:
     """A shard of level 1 from hashes in order and their counts."""
-    sequence = Monotone.of(keys)
+    sequence = Monotone.of(keys - keys[0])
     arrays = _prefixed("keys", sequence) | {"counts": smallest(counts)}
     path = f"{folder}/{uuid4().hex}"
     write_arrays(path, arrays, {"keys_n": sequence.n, "keys_width": sequence.width})
@@ -135,27 +134,21 @@ def build_entries(folder: str, keys: np.ndarray, counts: np.ndarray, word_bits:
 
     ``context_counts`` gives the counts of contexts in the level below.
     """
-    context, word = keys >> word_bits, keys & ((1 << word_bits) - 1)
+    context = keys >> word_bits
     low = int(context[0])
     begins = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
     ends = np.append(begins[1:], len(keys))
     held = context[begins]
-    pointers = np.searchsorted(context, np.arange(low, int(context[-1]) + 2))
-    # Within a context a value is the last value before it and the word id, plus one.
-    tops = np.cumsum(word[ends - 1] + 1)
-    before = np.concatenate([[0], tops[:-1]])
-    values = np.repeat(before, ends - begins) + word + 1
     totals = context_counts(held).astype(np.float64)
     share = (counts - discount) / np.repeat(totals, ends - begins)
     kept = np.add.reduceat(share, begins)
-    kept_of = np.zeros(len(pointers) - 1)
+    kept_of = np.zeros(int(context[-1]) + 1 - low)
     kept_of[held - low] = kept
-    pointer, sequence = Monotone.of(pointers), Monotone.of(values)
-    arrays = _prefixed("pointers", pointer) | _prefixed("values", sequence)
-    arrays |= {"counts": smallest(counts), "probabilities": quantised(share), "weights": quantised(1 - np.minimum(kept_of, 1.0))}
-    numbers = {"pointers_n": pointer.n, "pointers_width": pointer.width, "values_n": sequence.n, "values_width": sequence.width}
+    # From the first key that the first context can have, so that a run of equal high bits is of one context, and even.
+    sequence = Monotone.of(keys - (low << word_bits))
+    arrays = _prefixed("keys", sequence) | {"counts": smallest(counts), "probabilities": quantised(share), "weights": quantised(1 - np.minimum(kept_of, 1.0))}
     path = f"{folder}/{uuid4().hex}"
-    write_arrays(path, arrays, numbers)
+    write_arrays(path, arrays, {"keys_n": sequence.n, "keys_width": sequence.width})
     return ShardRow(path, int(keys[0]), int(keys[-1]), len(keys), int(counts.sum()), float(kept[0]), float(kept[-1]))
 
 
@@ -169,7 +162,7 @@ class Level:
         self.offsets = np.concatenate([[0], np.cumsum([row.entries for row in self.rows])]).astype(np.int64)
         self.entries = int(self.offsets[-1])
         self.total = sum(row.total for row in self.rows)
-        self._shards: dict[int, tuple] = {}
+        self._shards: dict[int, tuple[dict[str, np.ndarray], Monotone]] = {}
         # Back-off weights of contexts at the ends of shards, from all shards that hold a part of them.
         kept: dict[int, float] = {}
         for row in self.rows:
@@ -186,11 +179,10 @@ class Level:
     def __setstate__(self, state: tuple[list[ShardRow], int]) -> None:
         self.__init__(*state)
 
-    def _shard(self, number: int) -> tuple[dict[str, np.ndarray], dict[str, Monotone]]:
+    def _shard(self, number: int) -> tuple[dict[str, np.ndarray], Monotone]:
         if number not in self._shards:
             arrays, numbers = read_arrays(self.rows[number].path)
-            names = [name[:-2] for name in numbers if name.endswith("_n")]
-            self._shards[number] = (arrays, {name: _sequence(name, arrays, numbers) for name in names})
+            self._shards[number] = (arrays, _sequence("keys", arrays, numbers))
         return self._shards[number]
 
     def _cuts(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -200,14 +192,6 @@ class Level:
             for shard in np.flatnonzero(np.diff(cuts)):
                 yield int(shard), slice(cuts[shard], cuts[shard + 1])
 
-    def words(self, keys: np.ndarray) -> np.ndarray:
-        """Ids of hashes in order, -1 if not in the vocabulary."""
-        found = np.full(len(keys), -1, dtype=np.int64)
-        for shard, own in self._cuts(keys):
-            local = self._shard(shard)[1]["keys"].find(keys[own])
-            found[own] = np.where(local >= 0, local + self.offsets[shard], -1)
-        return found
-
     def counts(self, entries: np.ndarray) -> np.ndarray:
         """Counts of entries in order."""
         return self._values(entries, "counts").astype(np.int64)
@@ -225,28 +209,11 @@ class Level:
         return result
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The entries of keys that are distinct and in order, -1 if there is none."""
+        """The entries of keys in order, or the ids of hashes, -1 if there is none."""
         found = np.full(len(keys), -1, dtype=np.int64)
-        for shard, within in self._cuts(keys):
-            sequences = self._shard(shard)[1]
-            low = self.rows[shard].first >> self.word_bits
-            own = keys[within]
-            own = own[: np.searchsorted(own >> self.word_bits, low + sequences["pointers"].n - 1)]
-            if not len(own):
-                continue
-            # Equal contexts stand together; where one begins is looked up once.
-            context, word = own >> self.word_bits, own & ((1 << self.word_bits) - 1)
-            first = np.concatenate([[True], context[1:] != context[:-1]])
-            distinct, place = context[first], np.cumsum(first) - 1
-            begin, end = sequences["pointers"].spans(distinct - low)
-            base = np.zeros(len(distinct), dtype=np.int64)
-            later = np.flatnonzero((begin > 0) & (end > begin))
-            base[later] = sequences["values"].at(begin[later] - 1)
-            some = np.flatnonzero((end > begin)[place])
-            place = place[some]
-            local = sequences["values"].find(base[place] + word[some] + 1)
-            inside = (local >= begin[place]) & (local < end[place])
-            found[within.start + some[inside]] = local[inside] + self.offsets[shard]
+        for shard, own in self._cuts(keys):
+            local = self._shard(shard)[1].find(keys[own] - (self.rows[shard].first >> self.word_bits << self.word_bits))
+            found[own] = np.where(local >= 0, local + self.offsets[shard], -1)
         return found
 
     def weights(self, contexts: np.ndarray) -> np.ndarray:
@@ -255,10 +222,10 @@ class Level:
         if not self.rows or not len(contexts):
             return weight
         for shard, own in self._cuts((contexts << self.word_bits) | ((1 << self.word_bits) - 1)):
-            arrays, sequences = self._shard(shard)
+            weights = self._shard(shard)[0]["weights"]
             local = contexts[own] - (self.rows[shard].first >> self.word_bits)
             # Those beyond the last context of the shard come last.
-            inside = local[: np.searchsorted(local, sequences["pointers"].n - 1)]
-            weight[own.start : own.start + len(inside)] = restored(arrays["weights"][inside])
+            inside = local[: np.searchsorted(local, len(weights))]
+            weight[own.start : own.start + len(inside)] = restored(weights[inside])
         at = np.minimum(np.searchsorted(self.end_contexts, contexts), len(self.end_contexts) - 1)
         return np.where(self.end_contexts[at] == contexts, self.end_weights[at], weight)

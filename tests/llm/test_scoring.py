@@ -77,6 +77,32 @@ def test_spans_over_a_long_gap():
     assert (begin == np.repeat(values, 40)[:-1]).all() and (end == np.repeat(values, 40)[1:]).all()
 
 
+@pytest.mark.parametrize("even", [True, False])
+def test_a_long_run_is_searched_in_few_steps(monkeypatch, even):
+    draw = np.random.default_rng(8)
+    values = np.unique(draw.integers(0, 1 << 27, 4000) if even else np.exp2(draw.random(4000) * 27).astype(np.int64))
+    # One value far off makes the others a single run.
+    coded = Monotone.of(np.append(values, 1 << 40))
+    coded.distinct = True
+    others = np.setdiff1d(draw.integers(0, 1 << 27, 4000), values)
+    asked, low = [], Monotone._low
+    monkeypatch.setattr(Monotone, "_low", lambda self, i: (asked.append(len(i)), low(self, i))[1])
+    assert (coded.find(values) == np.arange(len(values))).all()
+    assert len(asked) <= 11 and (not even or sum(asked) < 7 * len(values))
+    assert (coded.find(others) == -1).all() and len(asked) <= 22
+
+
+def test_an_ngram_is_found_without_the_begin_and_end_of_its_context(spark, monkeypatch):
+    frame = spark.createDataFrame([("a b c a b d",), ("b c",)], "text string")
+    model = scoring.trained(frame, min_count=1)
+    selects, select = [], Monotone._select
+    monkeypatch.setattr(Monotone, "_select", lambda self, k, ones: (selects.append(ones), select(self, k, ones))[1])
+    read = model.read(pa.array(["a b c a b d", "b c", "c b"]))
+    assert (read.entries[2][2:8] >= 0).all() and read.entries[1][-2] == -1
+    # A search for each of three levels, and none for a context.
+    assert len(selects) <= 3 and not any(selects)
+
+
 @pytest.mark.parametrize("end", [1 << 20, 1 << 62])
 def test_numbers_are_ordered_with_their_places(end):
     numbers = np.random.default_rng(5).integers(0, end, 500)
